@@ -11,7 +11,7 @@ enter two). What meets is verified exactly.
 Skew. Texts with equal sets are one node. A band value shared by more than HOT texts (a common
 passage) is dropped for every text whose other bands still outnumber the possible differences:
 the pigeonhole argument holds without it. The rest, such as members of a large group of near
-copies, meet sixteen salted leaders first; only texts that are still in different components of
+copies, meet a few salted leaders first; only texts that are still in different components of
 the same band value are compared with one another, after a Hamming test inside the join.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behavex.llm.common import blocks, cut, fits_broadcast, hashed_words, mix, semi, shingles, table
@@ -30,7 +30,7 @@ from behavex.llm.components import components
 
 #: A band value with more texts than this is hot.
 HOT = 64
-SALTS = 16
+SALTS = 4
 SKETCH_WORDS = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
@@ -197,6 +197,13 @@ def _verify(bands: Bands):
     return run
 
 
+def _may_link(bands: Bands, a: str, b: str) -> Column:
+    """Sizes and the Hamming distance of the parity sketches allow the similarity; it never rejects a link."""
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (na * bands.den >= nb * bands.num) & (nb * bands.den >= na * bands.num) & (apart * (bands.den + bands.num) <= (na + nb) * (bands.den - bands.num))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
     """(x, y) pairs of document ids that link; texts come by two joins on the ids."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
@@ -244,19 +251,19 @@ def _links(spark: SparkSession, docs: DataFrame, real: DataFrame, reps: DataFram
 
     heads = kept.groupBy("key", "salt").agg(F.min("doc").alias("head")).groupBy("key").agg(F.collect_list("head").alias("heads"))  # SALTS at most
     mine = kept.select("key", "doc").join(heads, "key").groupBy("doc").agg(F.collect_set("heads").alias("h"))
+    sketch = real.select(F.col("doc_id").alias("doc"), "n", *_SKETCH).dropDuplicates(["doc"])
     first = cut(mine.select("doc", F.explode(F.array_distinct(F.flatten("h"))).alias("head")).where("doc <> head").select(F.greatest("doc", "head").alias("x"), F.least("doc", "head").alias("y")).distinct(), "first")
-    linked = cut(verified(first, docs, bands), "linked")
+    x, y = (sketch.select(F.col("doc").alias(c), F.struct("n", *_SKETCH).alias(f"s{c}")) for c in "xy")
+    near = first.join(x, "x").join(y, "y").where(_may_link(bands, "sx", "sy")).select("x", "y")
+    linked = cut(verified(cut(near, "near"), docs, bands), "linked")
 
     part = components(linked.select(F.col("x").alias("u"), F.col("y").alias("v")))
     labelled = kept.select("key", "doc").join(part.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
     labelled = cut(labelled.select("key", "doc", "c"), "labelled")
     open_ = labelled.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("m")).where("a <> b and m > 2").select("key")
-    rows = labelled.join(open_, "key").join(real.select(F.col("doc_id").alias("doc"), "n", *_SKETCH), "doc")
+    rows = labelled.join(open_, "key").join(sketch, "doc")
     a, b = rows.alias("a"), rows.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _SKETCH), F.lit(0))
-    sizes = (F.col("a.n") * bands.den >= F.col("b.n") * bands.num) & (F.col("b.n") * bands.den >= F.col("a.n") * bands.num)
-    close = apart * (bands.den + bands.num) <= (F.col("a.n") + F.col("b.n")) * (bands.den - bands.num)
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") > F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & sizes & close)
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") > F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & _may_link(bands, "a", "b"))
     rest = rest.select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
     more = cut(verified(cut(rest, "rest"), docs, bands), "more")
     return linked.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v"))
