@@ -1,11 +1,12 @@
 """The queries of this subpackage."""
 
+from behavex.llm.decontaminate import OP3_SQL, op3_decontaminate
 from behavex.llm.jaccard_join import op9_jaccard_join
 
 
 def queries() -> dict:
-    return {"op9_jaccard_join": op9_jaccard_join}
+    return {"op3_decontaminate": op3_decontaminate, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": OP3_SQL}
