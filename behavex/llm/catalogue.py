@@ -4,10 +4,17 @@ from behavex.llm.decontaminate import OP3_SQL, op3_decontaminate
 from behavex.llm.jaccard_join import op9_jaccard_join
 from behavex.llm.line_dedup import op5_line_dedup
 from behavex.llm.packing import op8_best_fit_packing
+from behavex.llm.quality import op2_quality_classifier
 
 
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op8_best_fit_packing": op8_best_fit_packing, "op9_jaccard_join": op9_jaccard_join}
+    return {
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_decontaminate": op3_decontaminate,
+        "op5_line_dedup": op5_line_dedup,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_jaccard_join": op9_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
