@@ -1,21 +1,27 @@
 """The queries of this subpackage."""
 
+from behavex.llm.ann import op7_ann
 from behavex.llm.decontaminate import OP3_SQL, op3_decontaminate
 from behavex.llm.jaccard_join import op9_jaccard_join
 from behavex.llm.line_dedup import op5_line_dedup
 from behavex.llm.packing import op8_best_fit_packing
 from behavex.llm.quality import op2_quality_classifier
+from behavex.llm.sharding import OP1_SQL, op1_sharding
+from behavex.llm.token_counts import op4_token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": op1_sharding,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_decontaminate": op3_decontaminate,
+        "op4_token_counts": op4_token_counts,
         "op5_line_dedup": op5_line_dedup,
+        "op7_ann": op7_ann,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_jaccard_join": op9_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_decontaminate": OP3_SQL}
