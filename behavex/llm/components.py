@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behavex.llm.common import cut, discard
@@ -44,3 +46,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def connect(kept: DataFrame, verify: Callable[[DataFrame], DataFrame], rows: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Links among candidates: kept(key, doc, salt) -> verified (u, v) that connect all that the keys' pairs connect.
+
+    Each member of a key first meets the key's leaders, one for each salt (a handful). Then, in
+    keys whose members are still in different components, pairs across components meet. verify
+    keeps the pairs (x, y) that link. rows(doc, ...) has what the test near(left, right) needs, which
+    may only reject pairs that cannot link; it runs inside the joins."""
+    heads = kept.groupBy("key", "salt").agg(F.min("doc").alias("head")).groupBy("key").agg(F.collect_list("head").alias("heads"))  # one for each salt
+    mine = kept.select("key", "doc").join(heads, "key").groupBy("doc").agg(F.collect_set("heads").alias("h"))
+    first = mine.select("doc", F.explode(F.array_distinct(F.flatten("h"))).alias("head")).where("doc <> head")
+    first = cut(first.select(F.greatest("doc", "head").alias("x"), F.least("doc", "head").alias("y")).distinct(), "first")
+    close = first
+    if rows is not None:
+        x, y = (rows.select(F.col("doc").alias(c), F.struct(*(n for n in rows.columns if n != "doc")).alias(f"s{c}")) for c in "xy")
+        close = cut(first.join(x, "x").join(y, "y").where(near("sx", "sy")).select("x", "y"), "near")
+    linked = cut(verify(close), "linked")
+
+    part = components(linked.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    labelled = kept.select("key", "doc").join(part.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
+    labelled = cut(labelled.select("key", "doc", "c"), "labelled")
+    open_ = labelled.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("m")).where("a <> b and m > 2").select("key")
+    members = labelled.join(open_, "key")
+    members = members.join(rows, "doc") if rows is not None else members
+    a, b = members.alias("a"), members.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") > F.col("b.doc")) & (F.col("a.c") != F.col("b.c"))
+    rest = a.join(b, on & near("a", "b") if near else on).select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y"))
+    rest = cut(rest.distinct().join(first, ["x", "y"], "left_anti"), "rest")
+    return linked.unionByName(cut(verify(rest), "more")).select(F.col("x").alias("u"), F.col("y").alias("v"))

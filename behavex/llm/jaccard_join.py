@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behavex.llm.common import blocks, cut, fits_broadcast, hashed_words, mix, semi, shingles, table
-from behavex.llm.components import components
+from behavex.llm.components import components, connect
 
 #: A band value with more texts than this is hot.
 HOT = 64
@@ -249,24 +249,8 @@ def _links(spark: SparkSession, docs: DataFrame, real: DataFrame, reps: DataFram
     kept = met.where(F.col("n") <= HOT).select("key", "doc", F.lit(0).alias("salt"))
     kept = cut(kept.unionByName(hot.join(deep, "doc", "left_semi").select("key", "doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))), "kept")
 
-    heads = kept.groupBy("key", "salt").agg(F.min("doc").alias("head")).groupBy("key").agg(F.collect_list("head").alias("heads"))  # SALTS at most
-    mine = kept.select("key", "doc").join(heads, "key").groupBy("doc").agg(F.collect_set("heads").alias("h"))
     sketch = real.select(F.col("doc_id").alias("doc"), "n", *_SKETCH).dropDuplicates(["doc"])
-    first = cut(mine.select("doc", F.explode(F.array_distinct(F.flatten("h"))).alias("head")).where("doc <> head").select(F.greatest("doc", "head").alias("x"), F.least("doc", "head").alias("y")).distinct(), "first")
-    x, y = (sketch.select(F.col("doc").alias(c), F.struct("n", *_SKETCH).alias(f"s{c}")) for c in "xy")
-    near = first.join(x, "x").join(y, "y").where(_may_link(bands, "sx", "sy")).select("x", "y")
-    linked = cut(verified(cut(near, "near"), docs, bands), "linked")
-
-    part = components(linked.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    labelled = kept.select("key", "doc").join(part.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    labelled = cut(labelled.select("key", "doc", "c"), "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("m")).where("a <> b and m > 2").select("key")
-    rows = labelled.join(open_, "key").join(sketch, "doc")
-    a, b = rows.alias("a"), rows.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") > F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & _may_link(bands, "a", "b"))
-    rest = rest.select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
-    more = cut(verified(cut(rest, "rest"), docs, bands), "more")
-    return linked.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return connect(kept, lambda pairs: verified(pairs, docs, bands), sketch, lambda a, b: _may_link(bands, a, b))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
