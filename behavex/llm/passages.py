@@ -20,12 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from behavex.llm.common import _POSITION, blocks, cut, fits_broadcast, hashed_words, mix, table
 from behavex.llm.components import components, connect
 
-RADIUS, LEAST_WORDS = 6, 8
+RADIUS, LEAST_WORDS = 5, 6
+#: Repeated paragraphs count where they follow one another over at least so many words.
+LEAST_RUN = 20
 BANDS, ROWS = 4, 2
 HOT, SALTS = 64, 4
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -135,7 +138,8 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     """docs(doc_id, text, ...) -> (doc_id, start, n_words, cluster_id, keeper_doc_id, keeper_start, removed): a row for each
     occurrence of a paragraph whose cluster has more than one. start counts the text's words from 0.
 
-    The cluster's first occurrence by (doc_id, start) is kept, the others are removed. Null ids come
+    Of a text, only runs of adjoining repeated paragraphs of LEAST_RUN words or more are given, so that a short
+    common line at a text's edge is none. The cluster's first occurrence by (doc_id, start) is kept, the others are removed. Null ids come
     last; texts of fewer than LEAST_WORDS words, empty and null ones have no paragraphs. Repeated
     rows are occurrences of their own. Other columns are ignored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -161,6 +165,12 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
     clusters = found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).where("n > 1")
     out = found.join(clusters, "cluster_id").withColumn("removed", ~(F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.start") == F.col("start"))))
+    end = F.col("start") + F.col("n_words")
+    before = F.max(end).over(W.partitionBy("doc_id").orderBy("start", "n_words").rowsBetween(W.unboundedPreceding, -1))
+    out = out.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    out = out.withColumn("run", F.sum("new").over(W.partitionBy("doc_id").orderBy("start", "n_words").rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy("doc_id", "run")
+    out = out.withColumn("length", F.max(end).over(run) - F.min("start").over(run)).where(F.col("length") >= LEAST_RUN)
     return out.select("doc_id", "start", "n_words", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), "removed")
 
 
