@@ -3,7 +3,7 @@
 Every text's shingles are XOR-hashed into a sparse bit sketch: one bit for each shingle, bits hit
 twice cancel, so the Hamming distance of two sketches never exceeds the symmetric difference of
 the shingle sets. With similarity t that difference is at most (a + b)(1 - t)/(1 + t), and for a
-set of a shingles and any larger partner at most need(a) = a(1 - t)/(2t). The sketch is cut into
+set of a shingles and any larger partner at most need(a) = a(1 - t)/t. The sketch is cut into
 bands; of need(a) + 1 non-empty bands one must be equal in both texts (pigeonhole). Texts meet by
 the hash of an equal band within a size band (sizes within a factor of two; texts near the edge
 enter two). What meets is verified exactly.
@@ -44,7 +44,7 @@ class Bands:
 
     def need(self, a: int) -> int:
         """Most differences between a set of size a and a partner of at least its size."""
-        return a * (self.den - self.num) // (2 * self.num)
+        return a * (self.den - self.num) // self.num
 
     def need_larger(self, b: int) -> int:
         """Most differences between a set of size b and a partner of at most its size."""
@@ -70,7 +70,7 @@ class Bands:
     @property
     def rate(self) -> float:
         """Non-empty bands asked for per shingle, so that need_larger() holds in the bands of the smallest partner."""
-        return max((self.den - self.num) / (2 * self.num), 2 * (self.den - self.num) / (self.den + self.num) * self.den / self.num)
+        return max((self.den - self.num) / self.num, 2 * (self.den - self.num) / (self.den + self.num) * self.den / self.num)
 
     def emitted(self, s: int, size_band: int) -> int:
         """Bands with a lower number are used for a set of size s; never falls as s grows."""

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,16 +109,18 @@ def _keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, shingles) rows again, with the paragraph's distinct shingles."""
+    """(key, id) rows again, with the paragraph's distinct shingles and their 64-bit parity sketch."""
     for rb in it:
         for _, held in blocks(rb.column("text")):
             words, at = hashed_words(held)
             *_, whole, sh, cuts = paragraphs(words, at)
             if len(whole):
-                parts = [np.unique(x).tobytes() for x in np.split(sh, cuts[1:])]
+                sets = [np.unique(x) for x in np.split(sh, cuts[1:])]
+                parts = [x.tobytes() for x in sets]
+                parity = np.array([np.bitwise_xor.reduce(np.uint64(1) << (x >> np.uint64(58))) for x in sets], dtype=np.uint64).view(np.int64)
                 keys = [k.view(np.int64) for k in band_keys(sh, cuts)]
                 for k in keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(whole.view(np.int64)), pa.array(parts, type=pa.binary())], names=["key", "id", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(whole.view(np.int64)), pa.array(parts, type=pa.binary()), pa.array(parity)], names=["key", "id", "shingles", "parity"])
 
 
 def _similar(num: int, den: int):
@@ -147,9 +149,9 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     keys = texts.select("text").mapInArrow(_keys, "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     keys = cut(keys, "keys")
     small = fits_broadcast(keys, 2_000_000)
-    again = texts.select("text").mapInArrow(_sets, "key long, id long, shingles binary")
-    met = cut(again.join(F.broadcast(keys) if small else keys, "key", "left_semi").groupBy("key", "id").agg(F.first("shingles").alias("shingles")), "met")
-    sets = cut(met.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    again = texts.select("text").mapInArrow(_sets, "key long, id long, shingles binary, parity long")
+    met = cut(again.join(F.broadcast(keys) if small else keys, "key", "left_semi").dropDuplicates(["key", "id"]), "met")
+    sets = cut(met.select("id", "shingles", "parity").dropDuplicates(["id"]), "sets")
     count = met.groupBy("key").agg(F.count("*").alias("n"))
     salt = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
     kept = cut(met.select("key", "id").join(count, "key").select("key", F.col("id").alias("doc"), salt.alias("salt")), "kept")
@@ -158,8 +160,13 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
         side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
         return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_similar(num, den), "x long, y long")
 
-    lengths = sets.select(F.col("id").alias("doc"), (F.length("shingles") / 8).cast("int").alias("n"))
-    near = lambda a, b: (F.col(f"{a}.n") * den >= F.col(f"{b}.n") * num) & (F.col(f"{b}.n") * den >= F.col(f"{a}.n") * num)
+    def near(a: str, b: str) -> Column:
+        """Sizes allow the similarity, and so does the parity sketches' Hamming distance, a lower bound of the difference."""
+        p, q = F.col(f"{a}.n"), F.col(f"{b}.n")
+        apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+        return (p * den >= q * num) & (q * den >= p * num) & (apart * (den + num) <= (p + q) * (den - num))
+
+    lengths = sets.select(F.col("id").alias("doc"), (F.length("shingles") / 8).cast("int").alias("n"), "parity")
     joined = components(connect(kept, verify, lengths, near))
     found = found.join(F.broadcast(joined) if fits_broadcast(joined, 1_000_000) else joined, "id", "left").select("doc_id", "start", "n_words", F.coalesce("component", "id").alias("cluster_id"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
