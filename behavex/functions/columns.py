@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def is_empty(c: Column) -> Column:
@@ -105,7 +106,7 @@ def unsalted(c: Column) -> Column:
     return F.regexp_replace(c, "^[0-9]+_", "")
 
 
-@F.udf("double")
+@F.udf(DoubleType())
 def _half_up_any(x):
     return None if x is None or x != x or x in (float("inf"), float("-inf")) else float(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
 

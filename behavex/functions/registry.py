@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_top_field(document: pd.Series, name: pd.Series) -> pd.Series:
     def one(d, n):
         try:
@@ -22,25 +23,25 @@ def json_top_field(document: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([one(d, n) for d, n in zip(document, name, strict=True)])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def concat_long_string(a: pd.Series, b: pd.Series, separator: pd.Series) -> pd.Series:
     text = a.map(lambda x: "null" if pd.isna(x) else str(int(x)))
     return text + separator + b.fillna("null")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def random_prefix(value: pd.Series, n: pd.Series) -> pd.Series:
     import numpy as np
 
     return pd.Series(np.random.randint(0, n.to_numpy()).astype(str)) + "_" + value
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def remove_random_prefix(value: pd.Series) -> pd.Series:
     return value.str.replace(r"^[0-9]+_", "", regex=True)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def group_concat_distinct(values: pd.Series) -> str:
     return ",".join(sorted(set(values.dropna())))
 
