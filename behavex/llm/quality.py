@@ -212,13 +212,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED, most_
     given = smallest(keyed.join(labels, "doc_id"), most_labelled)
     other = smallest(keyed.join(labels, "doc_id", "left_anti"), most_unlabelled).select("doc_id", *(F.lit(None).cast("int").alias(t) for t in TARGETS))
     sample = base.join(F.broadcast(given.unionByName(other)), "doc_id").dropDuplicates(["doc_id"])
-    features = sample.mapInArrow(_features, "doc_id long, quality int, toxic int, dense array<double>, meta array<double>, words array<long>")
+    # what is collected: for each sampled row its distinct words' hashes and a hundred numbers, as bytes
+    features = sample.mapInArrow(_features, "doc_id long, quality int, toxic int, dense binary, meta binary, words binary")
     got = sorted(features.collect(), key=lambda r: r.doc_id)
     out: dict[str, Views | float] = {}
     if got:
-        dense, meta = np.array([r.dense for r in got]), np.array([r.meta for r in got])
-        doc = np.repeat(np.arange(len(got)), [len(r.words) for r in got])
-        words = np.concatenate([np.array(r.words, dtype=np.int64) for r in got]).view(np.uint64)
+        dense, meta = (np.array([np.frombuffer(r[c], dtype=np.float64) for r in got]) for c in ("dense", "meta"))
+        doc = np.repeat(np.arange(len(got)), [len(r.words) // 8 for r in got])
+        words = np.frombuffer(b"".join(r.words for r in got), dtype=np.uint64)
     for t in TARGETS:
         y = np.array([-1 if r[t] is None else int(r[t] > 0) for r in got])
         known = y[y >= 0]
@@ -235,7 +236,7 @@ def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, words, n = _word_sets(held)
             dense, parts = _shape(held, doc, n), np.split(words.view(np.int64), np.searchsorted(doc, np.arange(1, len(held))))
             cut_ = slice(at, at + len(held))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)).cast(pa.int64()), *(rb.column(t).slice(at, len(held)).cast(pa.int32()) for t in TARGETS), pa.array(list(dense)), pa.array(list(meta[cut_])), pa.array(parts)], names=["doc_id", *TARGETS, "dense", "meta", "words"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)).cast(pa.int64()), *(rb.column(t).slice(at, len(held)).cast(pa.int32()) for t in TARGETS), *(pa.array([x.tobytes() for x in a], type=pa.binary()) for a in (dense, meta[cut_], parts))], names=["doc_id", *TARGETS, "dense", "meta", "words"])
 
 
 def _score(models: dict[str, Views | float]):
