@@ -33,6 +33,8 @@ HOT = 64
 SALTS = 4
 SKETCH_WORDS = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: Sets of so many shingles also have a parity sketch of a bit or two for each shingle.
+WIDE_FROM = 512
 
 
 class Bands:
@@ -125,14 +127,31 @@ def _sets(held: list[bytes], k: int) -> list[np.ndarray]:
     return [shingles(words[at[i] : at[i + 1]], k) for i in range(len(held))]
 
 
+def _wide(sh: np.ndarray) -> bytes | None:
+    """A parity sketch of 2^j bits, at least one for each shingle; a larger one folds to a smaller by XOR of its parts."""
+    if len(sh) < WIDE_FROM:
+        return None
+    bits = 1 << (len(sh) - 1).bit_length()
+    return np.packbits((np.bincount((sh >> np.uint64(10)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Hamming distance of two wide sketches, the larger folded."""
+    p, q = (np.frombuffer(x, dtype=np.uint8) for x in (a, b))
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (p, q))
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _profiles(bands: Bands):
-    """(doc_id, n, f1, f2, s0..s7): size, 128-bit fingerprint and a 512-bit parity sketch of each text's set."""
+    """(doc_id, n, f1, f2, s0..s7, wide): size, 128-bit fingerprint and parity sketches of each text's set."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
             ids = rb.column("doc_id")
             for at, held in blocks(rb.column("text")):
                 sets = _sets(held, bands.k)
+                wide = pa.array([_wide(sh) for sh in sets], type=pa.binary())
                 n, f = np.zeros(len(held), dtype=np.int64), np.zeros((2 + SKETCH_WORDS, len(held)), dtype=np.uint64)
                 for i, sh in enumerate(sets):
                     if len(sh):
@@ -141,7 +160,7 @@ def _profiles(bands: Bands):
                             f[0, i], f[1, i] = np.bitwise_xor.reduce(mix(sh)), mix(sh ^ np.uint64(0x1234567)).sum()
                         bit = np.bincount((sh >> np.uint64(10)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
                         f[2:, i] = np.packbits(bit.astype(np.uint8)).view(np.uint64)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)), pa.array(n), *(pa.array(x.view(np.int64)) for x in f)], names=["doc_id", "n", "f1", "f2", *_SKETCH])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)), pa.array(n), *(pa.array(x.view(np.int64)) for x in f), wide], names=["doc_id", "n", "f1", "f2", *_SKETCH, "wide"])
 
     return run
 
@@ -204,8 +223,23 @@ def _may_link(bands: Bands, a: str, b: str) -> Column:
     return (na * bands.den >= nb * bands.num) & (nb * bands.den >= na * bands.num) & (apart * (bands.den + bands.num) <= (na + nb) * (bands.den - bands.num))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
-    """(x, y) pairs of document ids that link; texts come by two joins on the ids."""
+def _may_link_wide(bands: Bands):
+    """Keeps pairs whose wide sketches allow the similarity; it never drops a link."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            rows = zip(*(rb.column(c) for c in ("nx", "ny", "wx", "wy")), strict=True)
+            good = [not (p.is_valid and q.is_valid) or _apart(p.as_py(), q.as_py()) * (bands.den + bands.num) <= (m.as_py() + n.as_py()) * (bands.den - bands.num) for m, n, p, q in rows]
+            yield pa.RecordBatch.from_arrays([rb.column(c) for c in "xy"], names=["x", "y"]).filter(pa.array(good, type=pa.bool_()))
+
+    return run
+
+
+def verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, bands: Bands) -> DataFrame:
+    """(x, y) pairs of document ids that link. Long texts meet by their wide sketches(doc, n, wide) first,
+    so that texts are joined for pairs that hardly fail; both come by two joins on the ids."""
+    side = lambda c: wide.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    pairs = cut(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_may_link_wide(bands), "x long, y long"), "wide")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     texts = cut(semi(docs, ids, "doc_id"), "texts")
     side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
@@ -223,7 +257,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
     spark, bands = docs.sparkSession, Bands(num, den, k)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = ", ".join(f"{s} long" for s in _SKETCH)
-    profiles = cut(docs.mapInArrow(_profiles(bands), f"doc_id long, n long, f1 long, f2 long, {sketch}"), "profiles")
+    profiles = cut(docs.mapInArrow(_profiles(bands), f"doc_id long, n long, f1 long, f2 long, {sketch}, wide binary"), "profiles")
     real = profiles.where("n > 0 and doc_id is not null")
     reps = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     links = _links(spark, docs.where("doc_id is not null"), real, reps, bands)
@@ -249,8 +283,10 @@ def _links(spark: SparkSession, docs: DataFrame, real: DataFrame, reps: DataFram
     kept = met.where(F.col("n") <= HOT).select("key", "doc", F.lit(0).alias("salt"))
     kept = cut(kept.unionByName(hot.join(deep, "doc", "left_semi").select("key", "doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))), "kept")
 
-    sketch = real.select(F.col("doc_id").alias("doc"), "n", *_SKETCH).dropDuplicates(["doc"])
-    return connect(kept, lambda pairs: verified(pairs, docs, bands), sketch, lambda a, b: _may_link(bands, a, b))
+    # an id that several texts share has a row for each, and a pair passes if any of them may link
+    texts = real.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "f1", "f2"])
+    sketch, wide = texts.select("doc", "n", *_SKETCH), texts.select("doc", "n", "wide")
+    return connect(kept, lambda pairs: verified(pairs, docs, wide, bands), sketch, lambda a, b: _may_link(bands, a, b))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from behavex.llm import ann, html_extract, line_dedup, packing, passages, quality, sharding, token_counts
 from behavex.llm.components import components
 from behavex.llm.decontaminate import contamination, is_contaminated, remove_spans
-from behavex.llm.jaccard_join import Bands, jaccard_components
+from behavex.llm.jaccard_join import WIDE_FROM, Bands, _apart, _wide, jaccard_components
 from behavex.llm.tokens import encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, key string, id long, row int, n int, hits int"
@@ -94,6 +94,30 @@ def test_sketch_bands_meet_every_link():
             assert set(key[place == 0]) & set(key[place == 1])
 
 
+def test_wide_sketches_never_exceed_the_difference():
+    assert _wide(np.zeros(WIDE_FROM - 1, dtype=np.uint64)) is None
+    fresh = lambda n: np.random.default_rng(rng.randrange(10**9)).integers(0, 1 << 63, n, dtype=np.uint64)
+    for size in (WIDE_FROM, 1000, 1024, 1025, 5000):
+        a = fresh(size)
+        for other in (a, a[size // 10 :], np.r_[a, fresh(size // 5)], np.r_[a[: size // 2], fresh(size)]):
+            if len(other) >= WIDE_FROM:
+                assert _apart(_wide(a), _wide(other)) <= len(np.setxor1d(a, other))
+        assert _apart(_wide(a), _wide(fresh(size))) * 180 > 2 * size * 20  # unrelated sets are told apart
+
+
+def test_long_texts_and_shared_ids(spark):
+    base = words(1200)
+    near = [*base[:1150], *words(50)]
+    half = [*base[:600], *words(600)]
+    texts = [" ".join(t) for t in (base, near, half, [*half[:1180], *words(20)], ["short", *words(20)])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts) and got[1][1] == 0 and got[3][1] == 2
+    # id 7 has a short and a long text; both link
+    shared = [texts[4], texts[4] + " tail", texts[0], texts[1]]
+    rows = jaccard_components(frame(spark, shared, [7, 3, 7, 5])).collect()
+    assert {r.component_id for r in rows} == {3}
+
+
 def test_components(spark):
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(5, 5), (None, 3)] + [(1000 + i, 1001 + i) for i in range(40)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
