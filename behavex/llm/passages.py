@@ -3,7 +3,8 @@
 A passage may stand anywhere in a line, so paragraphs are cut by content: a border stands before
 each word pair whose hash is the strict minimum of its neighbourhood of RADIUS pairs on both
 sides, which depends on the words around it alone; a passage of more than fifty words that stands
-in two texts is cut alike in both but for its ends. Each paragraph's shingle set gives BANDS keys of ROWS
+in two texts is cut alike in both but for its ends. Where words recur with a short period no minimum
+is strict; there equal minima are borders, about STRETCH words apart. Each paragraph's shingle set gives BANDS keys of ROWS
 MinHash values (with 4 bands of 2, paragraphs of similarity 0.8 meet with probability 0.98, equal
 ones always). Colliding paragraphs are verified by exact Jaccard; components of the links are the
 clusters, and all but the first paragraph of a cluster can be removed.
@@ -27,6 +28,8 @@ from behavex.llm.common import _POSITION, blocks, cut, fits_broadcast, hashed_wo
 from behavex.llm.components import components, connect
 
 RADIUS, LEAST_WORDS = 5, 6
+#: Words between borders in a stretch of few words said over and over.
+STRETCH = 10
 #: Repeated paragraphs count where they follow one another over at least so many words.
 LEAST_RUN = 20
 BANDS, ROWS = 4, 2
@@ -40,6 +43,16 @@ def _power(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _periodic(tied: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of the places of equal minima those that are borders: from the first place of a stretch on, one in each STRETCH words."""
+    of = doc[tied]
+    new = np.ones(len(tied), dtype=bool)
+    new[1:] = (np.diff(tied) > RADIUS) | (of[1:] != of[:-1])
+    step = (tied - tied[new][np.cumsum(new) - 1]) // STRETCH
+    new[1:] |= step[1:] != step[:-1]
+    return tied[new]
+
+
 def paragraphs(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, ...]:
     """Of the texts' word hashes (text i has words at[i]:at[i+1]): (text, first word in words, words, id, distinct shingles' hashes flat,
     their borders) of each paragraph of LEAST_WORDS words or more."""
@@ -59,7 +72,11 @@ def paragraphs(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarra
         padded[spot] = pair
         windows = np.lib.stride_tricks.sliding_window_view(padded, RADIUS)
         least = windows.min(1)
-        border = (pair < least[spot - RADIUS]) & (pair < np.r_[least, np.full(RADIUS, _FAR)][spot + 1])
+        left, right = least[spot - RADIUS], np.r_[least, np.full(RADIUS, _FAR)][spot + 1]
+        border = (pair < left) & (pair < right)
+        tied = np.flatnonzero((pair <= left) & (pair <= right) & ~border & (pair != _FAR))
+        if len(tied):
+            border[_periodic(tied, doc)] = True
         start = np.flatnonzero(border | first)
         size = np.diff(np.r_[start, n])
         keep = size >= LEAST_WORDS
