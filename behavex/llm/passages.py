@@ -10,7 +10,8 @@ ones always). Colliding paragraphs are verified by exact Jaccard; components of
 clusters, and all but the first paragraph of a cluster can be removed.
 
 Equal paragraphs are one node, so that copies in any number cost one row each. Only keys with
-different paragraphs are looked at again, in a second pass over the texts.
+different paragraphs are looked at again, in two more passes over the texts: which paragraphs have
+them, and those paragraphs' shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from behavex.llm.common import _POSITION, blocks, cut, fits_broadcast, hashed_words, mix, table
+from behavex.llm.common import _POSITION, blocks, cut, fits_broadcast, hashed_words, mix, semi, table
 from behavex.llm.components import components, connect
 
 RADIUS, LEAST_WORDS = 5, 6
@@ -126,18 +127,23 @@ def _keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) rows again, with the paragraph's distinct shingles and their 64-bit parity sketch."""
+    """Each paragraph's shingles, repeated ones too, in one buffer a block."""
     for rb in it:
         for _, held in blocks(rb.column("text")):
             words, at = hashed_words(held)
             *_, whole, sh, cuts = paragraphs(words, at)
             if len(whole):
-                sets = [np.unique(x) for x in np.split(sh, cuts[1:])]
-                parts = [x.tobytes() for x in sets]
-                parity = np.array([np.bitwise_xor.reduce(np.uint64(1) << (x >> np.uint64(58))) for x in sets], dtype=np.uint64).view(np.int64)
-                keys = [k.view(np.int64) for k in band_keys(sh, cuts)]
-                for k in keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(whole.view(np.int64)), pa.array(parts, type=pa.binary()), pa.array(parity)], names=["key", "id", "shingles", "parity"])
+                edges = (np.r_[cuts, len(sh)] * 8).astype(np.int64)
+                parts = pa.Array.from_buffers(pa.large_binary(), len(whole), [None, pa.py_buffer(edges), pa.py_buffer(sh)])
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), parts.cast(pa.binary())], names=["id", "shingles"])
+
+
+def _distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, distinct shingles, their 64-bit parity sketch)."""
+    for rb in it:
+        sets = [np.unique(np.frombuffer(x.as_py(), dtype=np.uint64)) for x in rb.column("shingles")]
+        parity = np.array([np.bitwise_xor.reduce(np.uint64(1) << (x >> np.uint64(58))) for x in sets], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array([x.tobytes() for x in sets], type=pa.binary()), pa.array(parity)], names=["id", "shingles", "parity"])
 
 
 def _similar(num: int, den: int):
@@ -165,10 +171,9 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     found = cut(texts.mapInArrow(_occurrences, "doc_id long, start int, n_words int, id long"), "occurrences")
     keys = texts.select("text").mapInArrow(_keys, "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     keys = cut(keys, "keys")
-    small = fits_broadcast(keys, 2_000_000)
-    again = texts.select("text").mapInArrow(_sets, "key long, id long, shingles binary, parity long")
-    met = cut(again.join(F.broadcast(keys) if small else keys, "key", "left_semi").dropDuplicates(["key", "id"]), "met")
-    sets = cut(met.select("id", "shingles", "parity").dropDuplicates(["id"]), "sets")
+    met = cut(semi(texts.select("text").mapInArrow(_keys, "key long, id long"), keys, "key").distinct(), "met")
+    sets = semi(texts.select("text").mapInArrow(_sets, "id long, shingles binary"), met.select("id").distinct(), "id").dropDuplicates(["id"])
+    sets = cut(sets.mapInArrow(_distinct, "id long, shingles binary, parity long"), "sets")
     count = met.groupBy("key").agg(F.count("*").alias("n"))
     salt = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
     kept = cut(met.select("key", "id").join(count, "key").select("key", F.col("id").alias("doc"), salt.alias("salt")), "kept")
