@@ -294,7 +294,7 @@ def test_passages_of_recurring_words(spark):
     for period in (1, 2, 3, 5):
         passage = " ".join((words(period) * 60)[:56])
         df = frame(spark, [" ".join([*words(30), passage, *words(30)]) for _ in range(3)] + [" ".join(words(80)) for _ in range(3)])
-        assert {r.doc_id for r in passages.repeated_passages(df).select("doc_id").collect()} == set(df.limit(3).toPandas().doc_id)
+        assert {r.doc_id for r in passages.repeated_passages(df).select("doc_id").collect()} == {0, 1, 2}
 
 
 def test_pipeline(spark):
