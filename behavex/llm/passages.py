@@ -9,9 +9,9 @@ MinHash values (with 4 bands of 2, paragraphs of similarity 0.8 meet with probab
 ones always). Colliding paragraphs are verified by exact Jaccard; components of the links are the
 clusters, and all but the first paragraph of a cluster can be removed.
 
-Equal paragraphs are one node, so that copies in any number cost one row each. Only keys with
-different paragraphs are looked at again, in two more passes over the texts: which paragraphs have
-them, and those paragraphs' shingles.
+Equal paragraphs are one node, so that copies in any number cost one row each. Band keys are written
+with the occurrences; only paragraphs of keys with different paragraphs are looked at again, in one
+more pass over the texts, for their shingles.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ LEAST_RUN = 20
 BANDS, ROWS = 4, 2
 HOT, SALTS = 64, 4
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
+_KEYS = [f"k{b}" for b in range(BANDS)]
 
 
 def _power(n: int) -> np.ndarray:
@@ -113,17 +114,10 @@ def _occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = rb.column("doc_id")
         for first, held in blocks(rb.column("text")):
             words, at = hashed_words(held)
-            doc, start, size, whole, *_ = paragraphs(words, at)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + doc)), pa.array(start - at[doc], type=pa.int32()), pa.array(size, type=pa.int32()), pa.array(whole.view(np.int64))], names=["doc_id", "start", "n_words", "id"])
-
-
-def _keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in it:
-        for _, held in blocks(rb.column("text")):
-            words, at = hashed_words(held)
-            *_, whole, sh, cuts = paragraphs(words, at)
+            doc, start, size, whole, sh, cuts = paragraphs(words, at)
             if len(whole):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(band_keys(sh, cuts)).view(np.int64)), pa.array(np.tile(whole.view(np.int64), BANDS))], names=["key", "id"])
+                keys = [pa.array(k.view(np.int64)) for k in band_keys(sh, cuts)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + doc)), pa.array(start - at[doc], type=pa.int32()), pa.array(size, type=pa.int32()), pa.array(whole.view(np.int64)), *keys], names=["doc_id", "start", "n_words", "id", *_KEYS])
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +162,10 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     last; texts of fewer than LEAST_WORDS words, empty and null ones have no paragraphs. Repeated
     rows are occurrences of their own. Other columns are ignored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(texts.mapInArrow(_occurrences, "doc_id long, start int, n_words int, id long"), "occurrences")
-    keys = texts.select("text").mapInArrow(_keys, "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
-    keys = cut(keys, "keys")
-    met = cut(semi(texts.select("text").mapInArrow(_keys, "key long, id long"), keys, "key").distinct(), "met")
+    found = cut(texts.mapInArrow(_occurrences, "doc_id long, start int, n_words int, id long" + "".join(f", {k} long" for k in _KEYS)), "occurrences")
+    banded = found.select(F.explode(F.array(*_KEYS)).alias("key"), "id")
+    keys = cut(banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "keys")
+    met = cut(semi(banded, keys, "key").distinct(), "met")
     sets = semi(texts.select("text").mapInArrow(_sets, "id long, shingles binary"), met.select("id").distinct(), "id").dropDuplicates(["id"])
     sets = cut(sets.mapInArrow(_distinct, "id long, shingles binary, parity long"), "sets")
     count = met.groupBy("key").agg(F.count("*").alias("n"))
