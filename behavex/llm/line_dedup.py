@@ -1,19 +1,16 @@
-"""Line dedup by winnowing over line hashes.
-
-A document is its sequence of non-blank lines' hashes. Every K consecutive lines form a gram; of
-each WINDOW consecutive grams the smallest is a fingerprint (winnowing), so that any run of
-K + WINDOW - 1 lines holds at least one, the same one wherever the run stands. Each fingerprint
-is joined to its first occurrence in corpus order (doc_id, then text hash, then line), never to
-all, so a hot line costs one row an occurrence. From there the match is extended both ways on its
-diagonal; runs of at least K + WINDOW - 1 lines are deleted where they come later.
+"""Line dedup over hashes of runs of lines.
+
+A document is its sequence of non-blank lines' hashes. A run counts if it has K + WINDOW - 1 lines.
+Winnowing (of each WINDOW consecutive grams of K lines one is a fingerprint) finds a fingerprint in
+each such run, but the fingerprint's first occurrence need not be the run's: two lines that open
+many documents have one of their own. So a fingerprint is keyed with the other lines of its window,
+that is by the whole run, and none is left out. Each key is joined to its first occurrence in corpus
+order (doc_id, then text hash, then line), never to all, so a hot run costs one row an occurrence.
+Wherever the key stands later its lines are deleted; a longer run is a chain of such keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,30 +19,9 @@ from behavex.llm.common import cut, table
 K, WINDOW = 2, 2
 
 
-def runs(mine: np.ndarray, theirs: np.ndarray, seeds: list[tuple[int, int]], least: int) -> set[int]:
-    """Places in mine of the runs of at least so many equal lines that hold a seed (place, its place in theirs)."""
-    out: set[int] = set()
-    for shift in {s - p for p, s in seeds}:
-        low, high = max(0, -shift), min(len(mine), len(theirs) - shift)
-        same = mine[low:high] == theirs[low + shift : high + shift]
-        edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
-        at = [p - low for p, s in seeds if s - p == shift]
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            if b - a >= least and any(a <= p < b for p in at):
-                out.update(range(low + a, low + b))
-    return out
-
-
-def _extend(least: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in it:
-            gone = []
-            for mine, theirs, places, seeds in zip(*(rb.column(c) for c in ("hs", "source_hs", "places", "seeds")), strict=True):
-                a, b, where = np.array(mine.as_py(), dtype=np.int64), np.array(theirs.as_py(), dtype=np.int64), places.as_py()
-                gone.append([where[i] for i in sorted(runs(a, b, [(s["p"], s["s"]) for s in seeds.as_py()], least))])
-            yield pa.RecordBatch.from_arrays([rb.column("k1"), rb.column("k2"), pa.array(gone, type=pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
-
-    return run
+def _keys(n: int) -> str:
+    """(p, n, g) of each n consecutive lines: the first one's place and the hash of all."""
+    return f"transform(filter(sequence(0, size(hs) - 1), p -> p + {n} <= size(hs)), p -> struct(p AS p, {n} AS n, xxhash64(slice(hs, p + 1, {n})) AS g))"
 
 
 def repeated_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -53,19 +29,12 @@ def repeated_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     k1 is doc_id (null: the largest long), k2 the text's hash."""
     lines = F.split("text", "\n")
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k1"), F.xxhash64("text").alias("k2"), F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.rtrim(x)).alias("h"), (F.trim(x) != "").alias("full"))).alias("l"))
-    d = d.withColumn("l", F.filter("l", lambda x: x["full"])).where(F.size("l") >= k)
+    d = d.withColumn("l", F.filter("l", lambda x: x["full"])).where(F.size("l") > 0)
     d = cut(d.select("k1", "k2", F.col("l.i").alias("places"), F.col("l.h").alias("hs")).dropDuplicates(["k1", "k2"]), "lines")
-    grams = d.select("k1", "k2", F.expr(f"transform(sequence(0, size(hs) - {k}), i -> xxhash64(slice(hs, i + 1, {k})))").alias("g"))
-    # of each window the rightmost smallest gram; a document shorter than a window has one window
-    pick = f"transform(sequence(0, greatest(0, size(g) - {window})), i -> array_max(transform(sequence(i, least(i + {window}, size(g)) - 1), j -> struct(~g[j] AS v, j AS j))).j)"
-    marks = grams.select("k1", "k2", F.explode(F.expr(f"transform(array_distinct({pick}), j -> struct(j AS p, g[j] AS g))")).alias("m")).select("k1", "k2", "m.p", "m.g")
-    marks = cut(marks, "marks")
+    marks = cut(d.select("k1", "k2", F.explode(F.expr(_keys(k + window - 1))).alias("m")).select("k1", "k2", "m.*"), "marks")
     first = marks.groupBy("g").agg(F.min(F.struct("k1", "k2", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
-    seeds = marks.join(first, "g").where("struct(k1, k2, p) > f").groupBy("k1", "k2", F.col("f.k1").alias("s1"), F.col("f.k2").alias("s2")).agg(F.collect_set(F.struct("p", F.col("f.p").alias("s"))).alias("seeds"))
-    source = d.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("hs").alias("source_hs"))
-    pairs = seeds.join(d, ["k1", "k2"]).join(source, ["s1", "s2"]).select("k1", "k2", "hs", "source_hs", "places", "seeds")
-    found = pairs.mapInArrow(_extend(k + window - 1), "k1 long, k2 long, gone array<int>")
-    return found.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where("size(gone) > 0")
+    later = marks.join(first, "g").where("struct(k1, k2, p) > f").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "n")).alias("later"))
+    return later.join(d, ["k1", "k2"]).select("k1", "k2", F.expr("array_sort(array_distinct(flatten(transform(later, x -> slice(places, x.p + 1, x.n)))))").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:

@@ -174,6 +174,36 @@ def test_winnowing_leaves_no_long_run(spark, seed):
     assert {x for t in texts for x in t.split("\n")} == {x for t in out.values() for x in t} | {""} & {x for t in texts for x in t.split("\n")}
 
 
+def brute_lines(texts, least, most=None):
+    """What is left of texts: lines go that lie in a span of so many lines, or of more than so many words, that stood earlier."""
+    out, seen = [], set()
+    for t in texts:
+        lines = t.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for a in range(len(full)):
+            for b in range(a + 1, min(len(full), a + least) + 1):
+                span = tuple(lines[i].rstrip(" ") for i in full[a:b])
+                if b - a == least or (most and sum(len(x.split()) for x in span) > most):
+                    gone.update(full[a:b] if span in seen else ())
+                    seen.add(span)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_later_run_of_lines_goes(spark, seed):
+    """Also one whose fingerprint first stood elsewhere, as two lines that open many documents."""
+    r = random.Random(seed)
+    hot, pool = ["header", "licence"], [f"p{i}" for i in range(12)]
+    texts = ["\n".join([*hot, "first"])]
+    for i in range(60):
+        lines = [*hot, f"body {i // 2}", *(r.choice(pool) for _ in range(r.randint(0, 5))), "", *hot[: r.randint(0, 2)], f"end {i // 3}"]
+        texts.append("\n".join(lines[r.randint(0, 1) :]))
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, 3)
+
+
 def test_packing(spark):
     texts = [None, "", "hello world", " ".join(words(3000)), *(" ".join(words(rng.randint(1, 500))) for _ in range(60)), "a <|endoftext|> b", "é" * 50]
     path = tokenizer_path("byte_bpe_50k.json")
