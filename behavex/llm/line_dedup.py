@@ -1,12 +1,13 @@
 """Line dedup over hashes of runs of lines.
 
-A document is its sequence of non-blank lines' hashes. A run counts if it has K + WINDOW - 1 lines.
-Winnowing (of each WINDOW consecutive grams of K lines one is a fingerprint) finds a fingerprint in
-each such run, but the fingerprint's first occurrence need not be the run's: two lines that open
+A document is its sequence of non-blank lines' hashes. A run counts if it has K + WINDOW - 1 lines,
+or fewer lines of more than LONG words together. Winnowing (of each WINDOW consecutive grams of K
+lines one is a fingerprint) finds a fingerprint in each run of so many lines, but the fingerprint's first occurrence need not be the run's: two lines that open
 many documents have one of their own. So a fingerprint is keyed with the other lines of its window,
-that is by the whole run, and none is left out. Each key is joined to its first occurrence in corpus
-order (doc_id, then text hash, then line), never to all, so a hot run costs one row an occurrence.
-Wherever the key stands later its lines are deleted; a longer run is a chain of such keys.
+that is by the whole run, and none is left out; long runs of fewer lines have keys of their own,
+also at a document's edge and in documents of one line. Each key is joined to its first occurrence
+in corpus order (doc_id, then text hash, then line), never to all, so a hot run costs one row an
+occurrence. Wherever the key stands later its lines are deleted; a longer run is a chain of keys.
 """
 
 from __future__ import annotations
@@ -17,20 +18,29 @@ from pyspark.sql import functions as F
 from behavex.llm.common import cut, table
 
 K, WINDOW = 2, 2
+#: A run of more words counts however few its lines are.
+LONG = 50
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _keys(n: int) -> str:
-    """(p, n, g) of each n consecutive lines: the first one's place and the hash of all."""
-    return f"transform(filter(sequence(0, size(hs) - 1), p -> p + {n} <= size(hs)), p -> struct(p AS p, {n} AS n, xxhash64(slice(hs, p + 1, {n})) AS g))"
+def _keys(least: int) -> str:
+    """(p, n, g) of each run of least lines, or of fewer lines and more than LONG words: the first one's place, lines, hash of all."""
+
+    def of(n: int) -> str:
+        long = " + ".join(f"get(ws, p + {j})" for j in range(n))
+        counts = f"p + {n} <= size(hs)" + (f" AND {long} > {LONG}" if n < least else "")
+        return f"transform(filter(sequence(0, size(hs) - 1), p -> {counts}), p -> struct(p AS p, {n} AS n, xxhash64(slice(hs, p + 1, {n})) AS g))"
+
+    return f"concat({', '.join(of(n) for n in range(1, least + 1))})"
 
 
 def repeated_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text) -> (k1, k2, gone): the numbers of the lines to delete, of documents that have any.
     k1 is doc_id (null: the largest long), k2 the text's hash."""
     lines = F.split("text", "\n")
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k1"), F.xxhash64("text").alias("k2"), F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.rtrim(x)).alias("h"), (F.trim(x) != "").alias("full"))).alias("l"))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k1"), F.xxhash64("text").alias("k2"), F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.rtrim(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"), (F.trim(x) != "").alias("full"))).alias("l"))
     d = d.withColumn("l", F.filter("l", lambda x: x["full"])).where(F.size("l") > 0)
-    d = cut(d.select("k1", "k2", F.col("l.i").alias("places"), F.col("l.h").alias("hs")).dropDuplicates(["k1", "k2"]), "lines")
+    d = cut(d.select("k1", "k2", F.col("l.i").alias("places"), F.col("l.h").alias("hs"), F.col("l.w").alias("ws")).dropDuplicates(["k1", "k2"]), "lines")
     marks = cut(d.select("k1", "k2", F.explode(F.expr(_keys(k + window - 1))).alias("m")).select("k1", "k2", "m.*"), "marks")
     first = marks.groupBy("g").agg(F.min(F.struct("k1", "k2", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
     later = marks.join(first, "g").where("struct(k1, k2, p) > f").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "n")).alias("later"))
@@ -41,9 +51,9 @@ def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text, ...) with text less its later repeated runs, plus n_lines and n_removed.
 
     Lines end at a line feed; they are equal if they agree but for blanks at their end, and blank
-    lines neither count nor break a run. A run shorter than k + window - 1 lines stays, however
-    often it occurs. Null text stays null (0 lines). Of runs within one document the first stays.
-    Rows that repeat doc_id and text are treated alike, as one occurrence. Other columns pass
+    lines neither count nor break a run. A run of fewer than k + window - 1 lines stays if it
+    has no more than LONG words (without white space), however often it occurs. Null text stays
+    null (0 lines). Of runs within one document the first stays. Rows that repeat doc_id and text are treated alike, as one occurrence. Other columns pass
     through unchanged. The result has a row for each row of docs, also where nothing is left."""
     gone = repeated_lines(docs, k, window).withColumnRenamed("gone", "_gone")
     keyed = docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("k2", F.xxhash64("text"))

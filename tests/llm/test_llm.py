@@ -204,6 +204,18 @@ def test_every_later_run_of_lines_goes(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute_lines(texts, 3)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_later_runs_of_many_words_go(spark, seed):
+    """Also of one or two lines, and documents that are no more than that."""
+    r = random.Random(seed)
+    pool = [" ".join(f"v{r.random()}" for _ in range(n)) for n in (1, 5, 24, 25, 26, 27, 49, 50, 51, 60)]
+    texts = [pool[-1], pool[-1], pool[-3], pool[-3], f"{pool[3]}\n\n{pool[4]}", f"{pool[3]} \n{pool[4]}"]
+    texts += ["\n".join(r.choice(pool) for _ in range(r.randint(1, 4))) for _ in range(40)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, 3, 50)
+    assert got[1] == "" and got[3] == texts[3] and got[5] == ""
+
+
 def test_packing(spark):
     texts = [None, "", "hello world", " ".join(words(3000)), *(" ".join(words(rng.randint(1, 500))) for _ in range(60)), "a <|endoftext|> b", "é" * 50]
     path = tokenizer_path("byte_bpe_50k.json")
