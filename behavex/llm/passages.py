@@ -31,7 +31,8 @@ from behavex.llm.components import components, connect
 RADIUS, LEAST_WORDS = 5, 6
 #: Words between borders in a stretch of few words said over and over.
 STRETCH = 10
-#: Repeated paragraphs count where they follow one another over at least so many words.
+#: Repeated paragraphs count where they follow one another over at least so many words, or lie with LEAST_WORDS words or
+#: more in so many words that stand elsewhere too.
 LEAST_RUN = 20
 BANDS, ROWS = 4, 2
 HOT, SALTS = 64, 4
@@ -140,6 +141,44 @@ def _distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array([x.tobytes() for x in sets], type=pa.binary()), pa.array(parity)], names=["id", "shingles", "parity"])
 
 
+def _surroundings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, at, window): of each marked paragraph the hashes of the LEAST_RUN words from each place on that have LEAST_WORDS of its words."""
+    for rb in it:
+        ids, marks = rb.column("doc_id"), rb.column("marks")
+        for first, held in blocks(rb.column("text")):
+            words, at = hashed_words(held)
+            for i in range(len(held)):
+                w, row = words[at[i] : at[i + 1]], first + i
+                if len(w) < LEAST_RUN:
+                    continue
+                with np.errstate(over="ignore"):
+                    windows = mix((np.lib.stride_tricks.sliding_window_view(w, LEAST_RUN) * _power(LEAST_RUN)).sum(1, dtype=np.uint64))
+                    start, place = [], []
+                    for m in marks[row].as_py():
+                        s, n = m["start"], m["n_words"]
+                        # of rows that share an id, those that hold the paragraph
+                        if s + n <= len(w) and mix((w[s : s + n] * _power(n)).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)).view(np.int64)[0] == m["id"]:
+                            there = range(max(0, s + LEAST_WORDS - LEAST_RUN), min(len(windows), s + n - LEAST_WORDS + 1))
+                            place += there
+                            start += [s] * len(there)
+                if place:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[row].as_py()] * len(place), type=pa.int64()), pa.array(start, type=pa.int32()), pa.array(place, type=pa.int32()), pa.array(windows[place].view(np.int64))], names=["doc_id", "start", "at", "window"])
+
+
+def _within_longer(texts: DataFrame, out: DataFrame) -> DataFrame:
+    """(doc_id, start) of paragraphs of runs of fewer than LEAST_RUN words whose passage goes on beyond its borders to LEAST_RUN words or more.
+
+    All occurrences of such a run's clusters are compared, also those in longer runs, by the windows around them, never pair by pair."""
+    short = out.where(F.col("length") < LEAST_RUN).select("cluster_id").distinct()
+    marks = semi(out, short, "cluster_id").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words", "id")).alias("marks"))
+    marks = marks.withColumnRenamed("doc_id", "marked")
+    held = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("marked"))).select("doc_id", "text", "marks")
+    windows = cut(held.mapInArrow(_surroundings, "doc_id long, start int, at int, window long"), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")
+    shared = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
+    return windows.join(shared, "window", "left_semi").select("doc_id", "start").distinct()
+
+
 def _similar(num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
@@ -157,8 +196,9 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     """docs(doc_id, text, ...) -> (doc_id, start, n_words, cluster_id, keeper_doc_id, keeper_start, removed): a row for each
     occurrence of a paragraph whose cluster has more than one. start counts the text's words from 0.
 
-    Of a text, only runs of adjoining repeated paragraphs of LEAST_RUN words or more are given, so that a short
-    common line at a text's edge is none. The cluster's first occurrence by (doc_id, start) is kept, the others are removed. Null ids come
+    Of a text, only runs of adjoining repeated paragraphs of LEAST_RUN words or more are given, and paragraphs of shorter
+    runs whose passage has so many words with those before and after it, so that a short common line at a text's edge is
+    none. The cluster's first occurrence by (doc_id, start) is kept, the others are removed. Null ids come
     last; texts of fewer than LEAST_WORDS words, empty and null ones have no paragraphs. Repeated
     rows are occurrences of their own. Other columns are ignored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -184,7 +224,7 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
 
     lengths = sets.select(F.col("id").alias("doc"), (F.length("shingles") / 8).cast("int").alias("n"), "parity")
     joined = components(connect(kept, verify, lengths, near))
-    found = found.join(F.broadcast(joined) if fits_broadcast(joined, 1_000_000) else joined, "id", "left").select("doc_id", "start", "n_words", F.coalesce("component", "id").alias("cluster_id"))
+    found = found.join(F.broadcast(joined) if fits_broadcast(joined, 1_000_000) else joined, "id", "left").select("doc_id", "start", "n_words", "id", F.coalesce("component", "id").alias("cluster_id"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
     clusters = found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).where("n > 1")
     out = found.join(clusters, "cluster_id").withColumn("removed", ~(F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.start") == F.col("start"))))
@@ -193,8 +233,11 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     out = out.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
     out = out.withColumn("run", F.sum("new").over(W.partitionBy("doc_id").orderBy("start", "n_words").rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy("doc_id", "run")
-    out = out.withColumn("length", F.max(end).over(run) - F.min("start").over(run)).where(F.col("length") >= LEAST_RUN)
-    return out.select("doc_id", "start", "n_words", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), "removed")
+    out = out.withColumn("length", F.max(end).over(run) - F.min("start").over(run))
+    out = cut(out.select("doc_id", "start", "n_words", "id", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), "removed", "length"), "runs")
+    longer = _within_longer(texts, out).select(F.col("doc_id").alias("d"), F.col("start").alias("s"))
+    short = out.where(F.col("length") < LEAST_RUN).join(longer, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")), "left_semi")
+    return out.where(F.col("length") >= LEAST_RUN).unionByName(short).drop("id", "length")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

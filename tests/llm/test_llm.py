@@ -339,6 +339,28 @@ def test_passages_of_recurring_words(spark):
         assert {r.doc_id for r in passages.repeated_passages(df).select("doc_id").collect()} == {0, 1, 2}
 
 
+def test_passages_with_close_borders(spark):
+    """The span between the borders within a shared passage can be far shorter than the passage, which counts."""
+    hashed = lambda t: passages.hashed_words([t.encode()])
+    r, texts = random.Random(11), []
+    some = lambda n: [f"z{r.random()}" for _ in range(n)]
+    while len(texts) < 12:
+        passage = some(51)
+        pair = [" ".join([*some(40), *passage, *some(40)]) for _ in range(2)]
+        spans, sets = [], []
+        for t in pair:
+            _, start, size, whole, sh, cuts = passages.paragraphs(*hashed(t))
+            spans.append({(int(w), int(s), int(n)) for w, s, n in zip(whole, start, size, strict=True)})
+            sets.append([set(x.tolist()) for x in np.split(sh, cuts[1:])])
+        both = spans[0] & spans[1]
+        edges = [(a, b) for a in sets[0] for b in sets[1] if a != b]  # similar ones would lengthen the run
+        if both and all(len(a & b) < 0.7 * len(a | b) for a, b in edges) and max(s + n for _, s, n in both) - min(s for _, s, n in both) < passages.LEAST_RUN:
+            texts += pair
+    texts += [" ".join([*some(30), *(f"common{i}" for i in range(12))]) for _ in range(4)]  # a short line at the edge
+    found = {x.doc_id for x in passages.repeated_passages(frame(spark, texts)).select("doc_id").collect()}
+    assert found == set(range(12))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
