@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at a time; bounds the scratch memory of a Python worker.
@@ -29,9 +30,12 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names. Only a session within one process may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,12 +45,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that an operator writes on its way; they go when it is done, or when it fails."""
+
+    open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Writes the operator's result, which outlives the scratch tables (an enclosing operator's Scratch has it in turn)."""
+        path = new_path(self.spark, name)
+        outer = Scratch.open[: Scratch.open.index(self)]
+        if outer:
+            outer[-1].paths.append(path)
+        return _stored(df, path)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes a frame to the shared folder and reads it again: lineage ends there, the frame
     is computed once, and a lost executor costs a read."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if Scratch.open:
+        Scratch.open[-1].paths.append(path)
+    return _stored(df, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -153,6 +189,36 @@ def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
-def semi(left: DataFrame, ids: DataFrame, on: str, most_rows: int = 2_000_000) -> DataFrame:
-    """left_semi by broadcast while the key list has a checked size, else by shuffle."""
-    return left.join(F.broadcast(ids) if fits_broadcast(ids, most_rows) else ids, on, "left_semi")
+def semi(left: DataFrame, ids: DataFrame, on: str | list[str], most_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
+    """left_semi (or left_anti) by broadcast while the key list has a checked size, else by shuffle."""
+    return left.join(F.broadcast(ids) if fits_broadcast(ids, most_rows) else ids, on, how)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, most_rows: int = 1_000_000, salts: int = 16) -> DataFrame:
+    """left joined to the few columns that right, whose key is unique, has for the key, null where it has none. By broadcast
+    while right has a checked size; else each row of right is repeated for each salt, so that a hot key of left is spread."""
+    if fits_broadcast(right, most_rows):
+        return left.join(F.broadcast(right), key, "left")
+    salt = free_name(left, "salt")
+    spread = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return spread.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], "left").drop(salt)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have (names are compared without case)."""
+    have = {c.lower() for c in df.columns}
+    while f"_{name}" in have:
+        name = f"_{name}"
+    return f"_{name}"
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """A document's key as two hashes: rows agree in both if they agree in id and text, null or not. Ids alone may repeat."""
+    return [F.xxhash64(F.lit(i), F.col(doc_id).isNull(), F.col(doc_id).cast("long"), F.col(text).isNull(), text) for i in (1, 2)]
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the documents whose row_key gone has as (r1, r2)."""
+    names = [free_name(docs, "r1"), free_name(docs, "r2")]
+    keyed = reduce(lambda df, x: df.withColumn(*x), zip(names, row_key(), strict=True), docs)
+    return semi(keyed, gone.select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1])), names, how="left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

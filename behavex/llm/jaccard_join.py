@@ -8,6 +8,9 @@ bands; of need(a) + 1 non-empty bands one must be equal in both texts (pigeonhol
 the hash of an equal band within a size band (sizes within a factor of two; texts near the edge
 enter two). What meets is verified exactly.
 
+Each set is a node, whatever ids its texts have. A node's id is a 64-bit hash of its set; that no two
+sets share one is checked, and the ids are drawn anew if they do. Texts are hashed once.
+
 Skew. Texts with equal sets are one node. A band value shared by more than HOT texts (a common
 passage) is dropped for every text whose other bands still outnumber the possible differences:
 the pigeonhole argument holds without it. The rest, such as members of a large group of near
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavex.llm.common import blocks, cut, fits_broadcast, hashed_words, mix, semi, shingles, table
+from behavex.llm.common import Scratch, blocks, cut, discard, free_name, hashed_words, lookup, mix, row_key, semi, shingles, table, without_rows
 from behavex.llm.components import components, connect
 
 #: A band value with more texts than this is hot.
@@ -143,48 +146,35 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
-def _profiles(bands: Bands):
-    """(doc_id, n, f1, f2, s0..s7, wide): size, 128-bit fingerprint and parity sketches of each text's set."""
+#: What is known of each row: its text's key, size, node, a second hash of the set, its keys (the lowest bit says whether the
+#: smallest partner uses the key too), how many it can miss in its two roles, and its sketches.
+_PROFILE = "doc_id long, r1 long, r2 long, n long, node long, check long, keys array<long>, spare1 long, spare2 long, " + ", ".join(f"{s} long" for s in _SKETCH) + ", wide binary"
+
 
+def _profiles(bands: Bands, seed: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            ids = rb.column("doc_id")
             for at, held in blocks(rb.column("text")):
                 sets = _sets(held, bands.k)
-                wide = pa.array([_wide(sh) for sh in sets], type=pa.binary())
                 n, f = np.zeros(len(held), dtype=np.int64), np.zeros((2 + SKETCH_WORDS, len(held)), dtype=np.uint64)
                 for i, sh in enumerate(sets):
                     if len(sh):
                         n[i] = len(sh)
                         with np.errstate(over="ignore"):
-                            f[0, i], f[1, i] = np.bitwise_xor.reduce(mix(sh)), mix(sh ^ np.uint64(0x1234567)).sum()
+                            f[0, i], f[1, i] = mix(sh + np.uint64(seed)).sum(keepdims=True), np.bitwise_xor.reduce(mix(sh ^ np.uint64(0x1234567)))
                         bit = np.bincount((sh >> np.uint64(10)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
                         f[2:, i] = np.packbits(bit.astype(np.uint8)).view(np.uint64)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)), pa.array(n), *(pa.array(x.view(np.int64)) for x in f), wide], names=["doc_id", "n", "f1", "f2", *_SKETCH, "wide"])
-
-    return run
-
-
-def _keys(bands: Bands):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in it:
-            ids = rb.column("doc_id").to_numpy(zero_copy_only=False)
-            for at, held in blocks(rb.column("text")):
-                key, place, near, *_ = bands.keys(_sets(held, bands.k))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at + place], type=pa.int64()), pa.array(near)], names=["key", "doc", "near"])
-
-    return run
-
-
-def _spare(bands: Bands):
-    """How many bands a text can miss in its two roles: (doc, spare1, spare2), for each of its size bands."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in it:
-            ids = rb.column("doc_id").to_numpy(zero_copy_only=False)
-            for at, held in blocks(rb.column("text")):
-                *_, entry, spare1, spare2 = bands.keys(_sets(held, bands.k))
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (ids[at + entry], spare1, spare2)], names=["doc", "spare1", "spare2"])
+                key, place, near, entry, *spares = bands.keys(sets)
+                order = np.argsort(place, kind="stable")
+                ends = np.searchsorted(place[order], np.arange(len(held) + 1)).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(((key & ~np.uint64(1)) | near.astype(np.uint64))[order].view(np.int64)))
+                least = np.full((2, len(held)), 1 << 40)
+                for j in (0, 1):
+                    np.minimum.at(least[j], entry, spares[j])
+                head = [rb.column(c).slice(at, len(held)) for c in ("doc_id", "r1", "r2")]
+                wide = pa.array([_wide(sh) for sh in sets], type=pa.binary())
+                longs = [pa.array(x.view(np.int64)) for x in f]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(n), *longs[:2], keys, *map(pa.array, least), *longs[2:], wide], names=[c.split()[0] for c in _PROFILE.split(", ")])
 
     return run
 
@@ -235,58 +225,77 @@ def _may_link_wide(bands: Bands):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, bands: Bands) -> DataFrame:
-    """(x, y) pairs of document ids that link. Long texts meet by their wide sketches(doc, n, wide) first,
-    so that texts are joined for pairs that hardly fail; both come by two joins on the ids."""
+def verified(pairs: DataFrame, texts: DataFrame, wide: DataFrame, bands: Bands) -> DataFrame:
+    """(x, y) pairs of nodes that link, of texts(doc, text). Long texts meet by their wide sketches(doc, n, wide) first,
+    so that texts are joined for pairs that hardly fail; both come by two joins on the nodes."""
     side = lambda c: wide.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
     pairs = cut(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_may_link_wide(bands), "x long, y long"), "wide")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = cut(semi(docs, ids, "doc_id"), "texts")
-    side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    texts = cut(texts(wanted), "texts")
+    side = lambda c, t: texts.select(F.col("doc").alias(c), F.col("text").alias(t))
     return pairs.join(side("x", "tx"), "x").join(side("y", "ty"), "y").mapInArrow(_verify(bands), "x long, y long")
 
 
+def _classes(docs: DataFrame, bands: Bands) -> DataFrame:
+    """(doc_id, r1, r2, n, class, first) for each row: the smallest node that its own reaches by links (null without words), and
+    the smallest doc_id of the class. To be called within a Scratch."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(f"r{i}") for i, c in enumerate(row_key(), 1)))
+    for seed in range(0, 50, 7):
+        profiles = cut(plain.mapInArrow(_profiles(bands, seed), _PROFILE), "profiles")
+        real = profiles.where("n > 0")
+        same = cut(real.groupBy("node").agg(F.count("*").alias("copies"), F.min("check").alias("low"), F.max("check").alias("high")).where("copies > 1"), "same")
+        if same.where("low <> high").isEmpty():
+            break
+    else:
+        raise RuntimeError("no seed gives every set a hash of its own")
+
+    # one row stands for each node: of those with copies the one with the smallest key
+    one = semi(real, same.select("node"), "node").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("k")).select("node", "k.*")
+    single = semi(real, same.select("node"), "node", how="left_anti")
+    chosen = semi(real, cut(one, "one"), ["node", "r1", "r2"]).dropDuplicates(["node"])
+    nodes = cut(single.unionByName(chosen), "nodes").withColumnRenamed("node", "doc")
+    rows = cut(profiles.select("doc_id", "r1", "r2", "n", "node"), "keyed")
+    discard(profiles)
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        here = cut(semi(nodes, wanted, "doc").select("doc", "r1", "r2"), "wanted")
+        found = semi(plain, here.select("r1", "r2"), ["r1", "r2"]).select("r1", "r2", "text").dropDuplicates(["r1", "r2"])
+        return found.join(here, ["r1", "r2"]).select("doc", "text")
+
+    root = components(_links(nodes, texts, bands)).select(F.col("id").alias("node"), F.col("component").alias("root"))
+    rows = lookup(rows, cut(root, "roots"), "node")
+    rows = cut(rows.select("doc_id", "r1", "r2", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("class")), "rows")
+    first = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").select("class", "first")
+    return lookup(rows, cut(first, "first"), "class")
+
+
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id), one row for each row of docs.
 
     Words are runs without white space, A-Z lower-cased. A text of fewer than k words is one
-    shingle; null or blank text has none, links with nothing and is its own component. A null
-    doc_id gets a null component. Rows that repeat a doc_id with equal text are one document;
-    with other texts they are documents that share an id, and each row gets its own text's
-    component. Other columns of docs are ignored; an empty table gives an empty result."""
-    spark, bands = docs.sparkSession, Bands(num, den, k)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = ", ".join(f"{s} long" for s in _SKETCH)
-    profiles = cut(docs.mapInArrow(_profiles(bands), f"doc_id long, n long, f1 long, f2 long, {sketch}, wide binary"), "profiles")
-    real = profiles.where("n > 0 and doc_id is not null")
-    reps = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    links = _links(spark, docs.where("doc_id is not null"), real, reps, bands)
-    found = components(links)
-    with_rep = profiles.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")))
-    return with_rep.join(found, with_rep.rep == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-
-
-def _links(spark: SparkSession, docs: DataFrame, real: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
+    shingle; null or blank text has none, links with nothing and is its own component. component_id
+    is the smallest doc_id that links reach. Links are between texts: rows that share a doc_id each get their own
+    text's component, repeated rows get the same, and a row with null doc_id links like any other but gives the
+    component no id (null if no row of it has one). Other columns of docs are ignored; an empty table gives an empty result."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = _classes(docs, Bands(num, den, k))
+        return scratch.result(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id")), "jaccard")
+
+
+def _links(nodes: DataFrame, texts, bands: Bands) -> DataFrame:
     """Verified links (u, v) of different sets that connect what all links connect."""
-    copies = cut(real.select("doc_id", "f1", "f2").join(reps, ["f1", "f2"]).where("doc_id <> rep").select("doc_id").distinct(), "copies")
-    single = docs.join(F.broadcast(copies) if fits_broadcast(copies, 2_000_000) else copies, "doc_id", "left_anti")
-    keys = single.mapInArrow(_keys(bands), "key long, doc long, near boolean")
+    keys = nodes.select(F.explode("keys").alias("k"), "doc").select(F.shiftright("k", 1).alias("key"), "doc", (F.col("k") % 2 != 0).alias("near"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(keys.join(shared, "key"), "met")  # (key, doc, near, n): the rows of keys that texts share
+    met = cut(keys.join(shared, "key"), "met")  # (key, doc, near, n): the rows of keys that sets share
 
     hot = met.where(F.col("n") > HOT)
     lost = hot.groupBy("doc").agg(F.count("*").alias("lost1"), F.count_if("near").alias("lost2"))
-    lost = cut(lost, "lost")
-    spare = semi(single, lost.select(F.col("doc").alias("doc_id")), "doc_id").mapInArrow(_spare(bands), "doc long, spare1 long, spare2 long").groupBy("doc").agg(F.min("spare1").alias("spare1"), F.min("spare2").alias("spare2"))
-    # texts that must stay in their hot bands: without them fewer bands are left than may differ
-    deep = cut(spare.join(lost, "doc").where("lost1 > spare1 or lost2 > spare2").select("doc").distinct(), "deep")
+    # sets that must stay in their hot bands: without them fewer bands are left than may differ
+    deep = nodes.select("doc", "spare1", "spare2").join(lost, "doc").where("lost1 > spare1 or lost2 > spare2").select("doc")
     kept = met.where(F.col("n") <= HOT).select("key", "doc", F.lit(0).alias("salt"))
-    kept = cut(kept.unionByName(hot.join(deep, "doc", "left_semi").select("key", "doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))), "kept")
-
-    # an id that several texts share has a row for each, and a pair passes if any of them may link
-    texts = real.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "f1", "f2"])
-    sketch, wide = texts.select("doc", "n", *_SKETCH), texts.select("doc", "n", "wide")
-    return connect(kept, lambda pairs: verified(pairs, docs, wide, bands), sketch, lambda a, b: _may_link(bands, a, b))
+    kept = cut(kept.unionByName(hot.join(cut(deep, "deep"), "doc", "left_semi").select("key", "doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))), "kept")
+    sketch, wide = nodes.select("doc", "n", *_SKETCH), nodes.select("doc", "n", "wide")
+    return connect(kept, lambda pairs: verified(pairs, texts, wide, bands), sketch, lambda a, b: _may_link(bands, a, b))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +303,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays."""
-    found = jaccard_components(docs).select("doc_id", "component_id", "n_shingles")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each component the row with the smallest doc_id stays (of several texts under that id the one with
+    the smallest hash, a null id last), and of rows that repeat it one. Texts without words all stay."""
+    with Scratch(spark) as scratch:
+        found = cut(_classes(docs, Bands()).where("first is not null or class is not null"), "found")
+        key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2")
+        many = found.groupBy("class").agg(F.count("*").alias("m"), F.min(key).alias("k")).where("m > 1")
+        best = cut(many.select("class", F.col("k.r1").alias("b1"), F.col("k.r2").alias("b2")), "best")
+        member = cut(lookup(found, best, "class").where("b1 is not null"), "member")
+        gone = cut(member.where("r1 <> b1 or r2 <> b2").select("r1", "r2").distinct(), "gone")
+        again = cut(member.where("r1 = b1 and r2 = b2").groupBy("r1", "r2").agg(F.count("*").alias("m")).where("m > 1").select("r1", "r2"), "again")
+        kept = without_rows(docs, gone)
+        if not again.isEmpty():  # rows that repeat the one that stays
+            names = [free_name(docs, "r1"), free_name(docs, "r2")]
+            keyed = kept.withColumns(dict(zip(names, row_key(), strict=True)))
+            other = again.select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]))
+            kept = semi(keyed, other, names, how="left_anti").unionByName(semi(keyed, other, names).dropDuplicates(names))
+        return scratch.result(kept.select(*(F.col(f"`{c}`") for c in docs.columns)), "kept")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from behavex.llm import ann, html_extract, line_dedup, packing, passages, quality, sharding, token_counts
 from behavex.llm.components import components
 from behavex.llm.decontaminate import contamination, is_contaminated, remove_spans
-from behavex.llm.jaccard_join import WIDE_FROM, Bands, _apart, _wide, jaccard_components
+from behavex.llm.jaccard_join import WIDE_FROM, Bands, _apart, _wide, jaccard_components, keep_one
 from behavex.llm.tokens import encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, key string, id long, row int, n int, hits int"
@@ -62,9 +62,44 @@ def test_jaccard_components(spark):
     texts = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
-    assert jaccard_components(frame(spark, [])).count() == 0
+    assert jaccard_components(frame(spark, [])).count() == 0 and keep_one(spark, frame(spark, []), "").count() == 0
     odd = jaccard_components(frame(spark, ["a b c", "a b c", "x"], [None, 4, 4])).collect()
-    assert sorted((r.doc_id, r.component_id) for r in odd if r.doc_id) == [(4, 4), (4, 4)] and len(odd) == 3
+    assert sorted((r.doc_id or 0, r.component_id) for r in odd) == [(0, 4), (4, 4), (4, 4)]
+    assert jaccard_components(frame(spark, ["a b c", "a b c"], [None, None])).where("component_id is null").count() == 2
+
+
+def brute_rows(rows):
+    """(shingles, component) of each (doc_id, text): links are between texts, the component is the smallest id reached."""
+    found = brute_components([t for _, t in rows])
+    ids: dict = {}
+    for (i, _), (n, root) in zip(rows, found, strict=True):
+        ids.setdefault(root if n else None, []).append(i)
+    return [(n, min((x for x in ids[root] if x is not None), default=None) if n else i) for (i, _), (n, root) in zip(rows, found, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_ids_repeated_rows_and_null_ids(spark, seed):
+    r = random.Random(seed)
+    texts = near_copies()
+    t1, t2 = texts[9], "other words " + texts[20]
+    rows = [(3, t1), (5, t1), (5, t2), (7, t2 + " tail")] if seed == 0 else [(r.choice([None, *range(25)]), r.choice(texts)) for _ in range(60)]
+    rows += rows[:8]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = brute_rows(rows)
+    got = jaccard_components(df).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] is None, x[2] or 0)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=key) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=key)
+    # one row of each class stays, the one with the smallest id; texts without words all stay
+    classes: dict = {}
+    for (i, t), (n, root) in zip(rows, brute_components([t for _, t in rows]), strict=True):
+        classes.setdefault(root, []).append((i, t))
+    kept = sorted(((x.doc_id, x.text) for x in keep_one(spark, df, "").collect()), key=repr)
+    words_of = [[x for x in members if x[1] and x[1].strip()] for members in classes.values()]
+    blank = [(i, t) for i, t in rows if not (t and t.strip())]
+    assert len(kept) == len(blank) + sum(bool(m) for m in words_of)
+    for m in filter(None, words_of):
+        least = min((i is None, i or 0) for i, _ in m)
+        assert sum(x in m for x in kept) == 1 and any(x in m and (x[0] is None, x[0] or 0) == least for x in kept)
 
 
 def test_large_group_of_near_copies(spark):
@@ -115,7 +150,7 @@ def test_long_texts_and_shared_ids(spark):
     # id 7 has a short and a long text; both link
     shared = [texts[4], texts[4] + " tail", texts[0], texts[1]]
     rows = jaccard_components(frame(spark, shared, [7, 3, 7, 5])).collect()
-    assert {r.component_id for r in rows} == {3}
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (5, 5), (7, 3), (7, 5)]  # a link is one of texts, not of ids
 
 
 def test_components(spark):
