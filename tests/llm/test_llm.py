@@ -273,26 +273,71 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
-def test_ann(spark):
+def brute_nearest(rows, k=20, every=20):
+    """{(query_id, place of its row): [(score, vec_id)]}; candidates are all other rows of the vector's length."""
+    ok = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = {}
+    for a, (i, v) in enumerate(ok):
+        if i % every == 0:
+            other = [(-float(v @ w), j) for b, (j, w) in enumerate(ok) if b != a and len(w) == len(v)]
+            out[i, a] = [(-s, j) for s, j in sorted(other)[:k]]
+    return out
+
+
+def rankings(df):
+    out: dict = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("cell", [10_000, 150])
+def test_ann(spark, cell, monkeypatch):
+    """Also over many cells, several groups of queries a cell, and with a very common vector."""
+    monkeypatch.setattr(ann, "CELL", cell)
+    monkeypatch.setattr(ann, "ASKS", 8)
     r = np.random.default_rng(0)
-    x = r.standard_normal((600, 24)) + 3 * r.standard_normal((10, 24))[r.integers(0, 10, 600)]
+    x = (r.standard_normal((600, 24)) + 3 * r.standard_normal((10, 24))[r.integers(0, 10, 600)]).astype(np.float32).astype(float)
     x[100:140] = x[99]
-    data = [(i, [float(v) for v in row], 1) for i, row in enumerate(x)] + [(601, None, 1), (602, [0.0] * 24, 1), (603, [float("nan")] * 24, 1), (604, [None] * 24, 1), (605, [1.0], 1), (0, [float(v) for v in x[0]], 1)]
-    got: dict = {}
-    for q in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>, score int")).collect():
-        got.setdefault(q.query_id, {})[q.rank] = q.vec_id
-    x = x.astype(np.float32).astype(float)
-    hits = total = 0
-    for i in range(0, 600, 20):
-        s = x @ x[i]
-        want = [j for j in np.lexsort((np.arange(600), -s)) if j != i][:20]
-        assert sorted(got[i]) == list(range(1, 21)) and i not in got[i].values()
-        hits += len(set(want) & set(got[i].values()))
-        total += 20
-    assert hits / total >= 0.9
+    rows = [*enumerate(x.tolist()), (601, None), (620, None), (602, [0.0] * 24), (640, [float("nan")] * 24), (604, [None] * 24), (660, [1.0]), (None, x[3].tolist())]
+    got = rankings(ann.nearest(spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, best int")))
+    want = brute_nearest(rows)
+    hits = 0
+    assert set(got) == {i for (i, _), w in want.items() if w}
+    for (i, _), w in want.items():
+        if w:
+            assert sorted(x[0] for x in got[i]) == list(range(1, 21)) and i not in {x[1] for x in got[i]}
+            hits += len({j for _, j in w} & {x[1] for x in got[i]})
+    assert hits / 20 / len(got) >= 0.95
+    if cell == 150:
+        equal = sorted(got[120])  # forty-one equal vectors: ties go to the smaller id
+        assert [j for _, j, s in equal] == [j for _, j in next(w for (i, _), w in want.items() if i == 120)]
+
+
+def test_ann_few_rows_and_shared_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (20, [1.0, 1.0]), (5, [2.0, 0.0]), (40, [1.0]), (40, [3.0]), (60, [1.0, 2.0, 3.0])]
+    got = rankings(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    want: dict = {}
+    for (i, _), w in brute_nearest(rows).items():
+        want[i] = want.get(i, []) + [(n + 1, j, s) for n, (s, j) in enumerate(w)]
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items() if v}
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_verifies_a_part(spark):
+    """With clusters and without: the chi-square test ends most searches early, and recall holds."""
+    r = np.random.default_rng(5)
+    for x in (r.standard_normal((8000, 64)), r.standard_normal((8000, 64)) + 4 * r.standard_normal((50, 64))[r.integers(0, 50, 8000)]):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q = x[:100]
+        got, verified = ann.search_cell(x, np.arange(8000), q, [np.zeros(0)] * 100, 1.0, 21)
+        best = np.argsort(-(q @ x.T), axis=1)[:, :21]
+        assert np.mean([len(set(g) & set(b)) / 21 for g, b in zip(got, best, strict=True)]) >= 0.95
+        assert verified / 100 / 8000 <= 0.35
+    for p, m, want in ((0.95, 8, 15.507), (0.9, 32, 42.585), (0.5, 2, 1.386)):
+        assert abs(ann.chi2_quantile(p, m) - want) < 1e-3
+
+
 def test_html(spark):
     model = html_extract.train()
     pages = html_extract.labelled_pages(150, seed=77)
