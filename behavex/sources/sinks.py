@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from behavex.sources.files import Folder
+
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
@@ -34,33 +36,35 @@ def replace_groups(old: DataFrame, new: DataFrame, group: list[str]) -> DataFram
 
 
 class VersionedTable:
-    """A Parquet table in versions `v=<batch>`: a batch is written aside and renamed to its version, which
-    happens once, so a replayed batch changes nothing and readers never see half of one."""
+    """A Parquet table in versions: a batch's rows are written to a folder of their own, and a marker file `v<batch>`, which can
+    be created once only, names that folder. A replayed batch changes nothing, of two writers of one batch
+    one wins, and readers never see half of a version."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 2):
         self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.path))
+        self._markers = Folder(spark, f"{self.path}/versions")
 
     def _versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+        return sorted(int(n[1:]) for n in self._markers.names())
 
     def read(self, before: int | None = None) -> DataFrame:
         have = [v for v in self._versions() if before is None or v < before]
         if not have:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={have[-1]}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self._markers.read(f'v{have[-1]}')}")
 
     def publish(self, df: DataFrame, batch: int) -> bool:
         """Makes df the version of a batch; False if the batch was there. Versions but the last few go."""
-        final = self._path(f"{self.path}/v={batch}")
-        if self._fs.exists(final):
+        if batch in self._versions():
             return False
-        tmp = f"{self.path}/_tmp-{uuid.uuid4().hex}"
-        df.write.parquet(tmp)
-        done = self._fs.rename(self._path(tmp), final)
+        folder = f"rows-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        done = self._markers.create_once(f"v{batch}", folder)
+        table = Folder(self.spark, self.path)
+        if not done:
+            table.delete(folder)
         for v in self._versions()[: -self.keep]:
-            self._fs.delete(self._path(f"{self.path}/v={v}"), True)
+            old = self._markers.read(f"v{v}")
+            self._markers.delete(f"v{v}")
+            table.delete(old)
         return done

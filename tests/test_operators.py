@@ -110,7 +110,17 @@ def test_versioned_table_ignores_replay(spark, tmp_path):
     t = sinks.VersionedTable(spark, str(tmp_path / "t"), "n long")
     assert t.publish(spark.range(3).select(F.col("id").alias("n")), 0)
     assert not t.publish(spark.range(9).select(F.col("id").alias("n")), 0)
-    assert t.read().count() == 3
+    assert t.read().count() == 3 and t.publish(spark.range(5).select(F.col("id").alias("n")), 1) and t.read().count() == 5
+    assert t.read(before=1).count() == 3 and t.read(before=0).count() == 0
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    """Both are past the first look when they commit: one wins, and the other's rows are nowhere."""
+    a, b = (sinks.VersionedTable(spark, str(tmp_path / "t"), "n long") for _ in range(2))
+    monkeypatch.setattr(b, "_versions", list)
+    assert a.publish(spark.range(3).select(F.col("id").alias("n")), 0)
+    assert not b.publish(spark.range(9).select(F.col("id").alias("n")), 0)
+    assert a.read().count() == 3 and len(list((tmp_path / "t").glob("rows-*"))) == 1
 
 
 @settings(max_examples=60, deadline=None)
