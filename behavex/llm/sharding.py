@@ -1,7 +1,7 @@
 """Size-tiered shard compaction under versioned manifests, with DataFrame operations only.
 
 A store is a folder: shards/ holds immutable Parquet files, manifests/ one JSON-lines file for each
-version, which names the shards that make up the table. Writers put new files first and then
+version, which says what shards it adds and removes. Writers put new files first and then
 commit: the manifest is written under a temporary name and renamed without overwriting, so that
 of two writers of one version the later fails and may retry; readers see a whole version or none.
 Shards of similar size form a tier (sizes within a factor of `factor`); once a tier has `fan_in`
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behavex.llm.common import new_path, table
+from behavex.sources.files import Folder
 
 
 class CommitConflict(RuntimeError):
@@ -33,59 +34,54 @@ class Shard:
 
 
 class ShardStore:
-    """An append-only table of shards. The driver holds the manifest alone: a line for each shard."""
+    """An append-only table of shards. The driver holds the manifest alone: a line for each shard. A version's file says what it
+    adds and removes; each SNAPSHOT versions one lists all shards, so that a commit's size does not grow with the store."""
+
+    SNAPSHOT = 32
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, factor: float = 4.0):
-        self.spark, self.path, self.target, self.fan_in, self.factor = spark, path, target_bytes, fan_in, factor
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{path}/manifests"))
+        self.spark, self.path, self.target, self.fan_in, self.factor = spark, path.rstrip("/"), target_bytes, fan_in, factor
+        self._manifests, self._store = Folder(spark, f"{self.path}/manifests"), Folder(spark, self.path)
 
     def versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/manifests"))]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return [int(n[1:-5]) for n in self._manifests.names()]
 
     def manifest(self, version: int | None = None) -> list[Shard]:
         have = self.versions()
         version = (have or [0])[-1] if version is None else version
-        if version == 0:
-            return []
-        stream = self._fs.open(self._path(f"{self.path}/manifests/v{version:08d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return [Shard(**json.loads(x)) for x in text.splitlines() if x]
-
-    def commit(self, base: int, shards: list[Shard]) -> int:
-        """Makes `shards` version base + 1; fails if that exists."""
-        final = self._path(f"{self.path}/manifests/v{base + 1:08d}.json")
-        tmp = self._path(f"{self.path}/manifests/_{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, False)
-        try:
-            out.write(bytearray("".join(json.dumps(asdict(s)) + "\n" for s in shards).encode()))
-        finally:
-            out.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
-            self._fs.delete(tmp, False)
-            raise CommitConflict(f"version {base + 1} of {self.path} exists")
-        return base + 1
+        shards: dict[str, Shard] = {}
+        for v in range(version // self.SNAPSHOT * self.SNAPSHOT or 1, version + 1):
+            for line in self._manifests.read(f"v{v:08d}.json").splitlines():
+                change = json.loads(line)
+                if "gone" in change:
+                    shards.pop(change["gone"])
+                else:
+                    shards[change["path"]] = Shard(**change)
+        return list(shards.values())
+
+    def commit(self, base: int, add: list[Shard], gone: list[Shard] | tuple[Shard, ...] = ()) -> int:
+        """Makes version base + 1 of the store; fails if that exists."""
+        version, drop = base + 1, {s.path for s in gone}
+        if version % self.SNAPSHOT == 0:
+            add, drop = [s for s in self.manifest(base) if s.path not in drop] + add, set()
+        lines = [json.dumps({"gone": p}) for p in sorted(drop)] + [json.dumps(asdict(s)) for s in add]
+        if not self._manifests.create_once(f"v{version:08d}.json", "".join(f"{x}\n" for x in lines)):
+            raise CommitConflict(f"version {version} of {self.path} exists")
+        return version
 
     def _written(self, folder: str, arrival: str) -> list[Shard]:
-        found = self._fs.listStatus(self._path(folder)) if self._fs.exists(self._path(folder)) else []
-        return [Shard(s.getPath().toString(), s.getLen(), arrival) for s in found if s.getPath().getName().endswith(".parquet")]
+        return [Shard(path, size, arrival) for path, size in self._store.files(folder) if path.endswith(".parquet")]
 
     def append(self, df: DataFrame, arrivals: int = 1) -> int:
-        """Writes df as small shards, dealt over so many arrivals by the hash of all its columns, and commits
-        each arrival as a version of its own."""
-        folder = f"{self.path}/shards/{uuid.uuid4().hex}"
-        key = "_arrival_" + uuid.uuid4().hex[:8]
-        plain = [f"`{c}`" for c in df.columns if not df.schema[c].dataType.simpleString().startswith("map")]
-        df.withColumn(key, F.pmod(F.xxhash64(*plain), F.lit(arrivals))).write.partitionBy(key).parquet(folder)
+        """Writes df as small shards, dealt over so many arrivals by the hash of all its columns that can be hashed, and commits
+        each arrival as a version of its own. An empty frame adds a version without shards."""
+        folder, key = f"shards/{uuid.uuid4().hex}", "_arrival_" + uuid.uuid4().hex[:8]
+        plain = [f"`{c}`" for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+        by = F.pmod(F.xxhash64(*plain), F.lit(arrivals)) if plain else F.pmod(F.monotonically_increasing_id(), F.lit(arrivals))
+        df.withColumn(key, by).write.partitionBy(key).parquet(f"{self.path}/{folder}")
         version = (self.versions() or [0])[-1]
         for i in range(arrivals):
-            version = self.commit(version, self.manifest(version) + self._written(f"{folder}/{key}={i}", f"a{version + 1}"))
+            version = self.commit(version, self._written(f"{folder}/{key}={i}", f"a{version + 1}"))
         return version
 
     def tier(self, s: Shard) -> int:
@@ -109,12 +105,10 @@ class ShardStore:
             if not todo:
                 break
             for run in todo:
-                folder = f"{self.path}/shards/{uuid.uuid4().hex}"
+                folder = f"shards/{uuid.uuid4().hex}"
                 n = max(1, round(sum(s.bytes for s in run) / self.target))
-                self.spark.read.parquet(*(s.path for s in run)).coalesce(n).write.parquet(folder)
-                gone = {s.path for s in run}
-                shards = [s for s in shards if s.path not in gone] + self._written(folder, f"m{version + 1}")
-                version = self.commit(version, shards)
+                self.spark.read.parquet(*(s.path for s in run)).coalesce(n).write.parquet(f"{self.path}/{folder}")
+                version = self.commit(version, self._written(folder, f"m{version + 1}"), run)
         return version
 
     def read(self, version: int | None = None) -> DataFrame:

@@ -1,9 +1,8 @@
 """Token counts as rollups that signed deltas maintain.
 
 A batch of changes (insert, delete, revise) becomes signed deltas of documents and tokens by
-source, language and tokenizer version. Batches are committed by name: the delta is written
-beside the store and renamed to its batch's folder, which happens once; a repeated batch changes
-nothing. Totals are the sum over batches.
+source, language and tokenizer version. Batches are committed by name, each once; a repeated batch
+changes nothing. Totals are the sum over batches.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from behavex.llm.common import new_path, table
 from behavex.llm.tokens import encoder, tokenizer_path
+from behavex.sources.files import Folder
 
 KEYS = ["source", "lang", "tokenizer"]
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -60,44 +60,64 @@ def deltas(changes: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
 
 
 class Rollup:
-    """The store: a folder batches/<name>/ for each committed batch."""
+    """The store. A batch's delta is written to a folder of its own; the file commits/<batch>, which can be made once only,
+    names that folder. Totals are sums over the committed deltas."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{path}/batches"))
+        self.spark, self.path = spark, path.rstrip("/")
+        self._commits, self._store = Folder(spark, f"{self.path}/commits"), Folder(spark, self.path)
 
     def batches(self) -> set[str]:
-        return {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/batches"))}
+        return {unquote(n[1:]) for n in self._commits.names()}
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
-        """Adds a batch once; False if it was there."""
-        name = quote(batch, safe="")
-        final = self._path(f"{self.path}/batches/{name}")
-        if self._fs.exists(final):
+        """Adds a batch once; False if it was there, or if another writer came first."""
+        if batch in self.batches():
             return False
-        tmp = f"{self.path}/tmp-{uuid.uuid4().hex}"
-        delta.select(*KEYS, "n_docs", "n_tokens").coalesce(1).write.parquet(tmp)  # one row for each key
-        if self._fs.exists(final) or not self._fs.rename(self._path(tmp), final):
-            self._fs.delete(self._path(tmp), True)
-            return False
-        return True
+        folder = f"delta-{uuid.uuid4().hex}"
+        delta.select(*KEYS, "n_docs", "n_tokens").coalesce(1).write.parquet(f"{self.path}/{folder}")  # one row for each key
+        done = self._commits.create_once("b" + quote(batch, safe=""), folder)
+        if not done:
+            self._store.delete(folder)
+        return done
 
     def totals(self) -> DataFrame:
         """Totals by key; keys whose documents have all gone have no row."""
-        paths = [f"{self.path}/batches/{b}" for b in sorted(self.batches())]
+        paths = [f"{self.path}/{self._commits.read(n)}" for n in self._commits.names()]
         rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
+def changes(docs: DataFrame) -> list[tuple[str, DataFrame]]:
+    """A table's history as batches whose net effect is the table: every document is inserted in one of two loads, one in
+    sixteen (by hash) first as a draft that is then revised; as many are staged under another source and deleted again."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16))
+    rows = docs.select("source", "lang", "text", part.alias("part"))
+    draft, none = F.concat(F.lit("draft "), "text"), F.lit(None).cast("string")
+
+    def batch(op: str, where: str, text, old, source="source") -> DataFrame:
+        return rows.where(where).select(F.lit(op).alias("op"), F.col(source) if source == "source" else F.lit(source).alias("source"), "lang", text.alias("text"), old.alias("old_text"))
+
+    text = F.col("text")
+    return [
+        ("load-1", batch("insert", "part < 8", text, none)),
+        ("load-2", batch("insert", "part between 8 and 14", text, none).unionByName(batch("insert", "part = 15", draft, none)).unionByName(batch("insert", "part = 7", text, none, "staging"))),
+        ("revise", batch("revise", "part = 15", text, draft)),
+        ("delete", batch("delete", "part = 7", none, text, "staging")),
+    ]
+
+
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted as one batch, which is then committed again without effect: the totals are
-    those of the table, by source, language and tokenizer version."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
-    versions = {"byte_bpe_50k": tokenizer_path("byte_bpe_50k.json")}
+    """The whole table's history through the store: inserts, drafts and their revisions, staged documents and their deletion,
+    under two tokenizer versions; each batch is committed again without effect. The totals are those of a
+    recount of the table, by source, language and tokenizer version."""
+    docs = table(spark, sf_dir, "documents")
+    versions = {v: tokenizer_path(f) for v, f in VERSIONS.items()}
     store = Rollup(spark, new_path(spark, "rollup"))
-    inserts = docs.select(F.lit("insert").alias("op"), "source", "lang", "text", F.lit(None).cast("string").alias("old_text"))
-    store.commit("load", deltas(inserts, versions))
-    store.commit("load", deltas(inserts, versions))
+    for _ in range(2):
+        for name, batch in changes(docs):
+            store.commit(name, deltas(batch, versions))
     return store.totals()

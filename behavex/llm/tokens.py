@@ -2,11 +2,13 @@
 
 A byte-level BPE file of the tokenizers library is read once a task; its merges are applied by
 tiktoken, which gives the same ids several times faster (a test compares them). A text that holds
-a special token's string goes to the tokenizers library itself, as do files of any other kind.
+a special token's string goes to the tokenizers library itself, as do JSON files of any other kind. Files of
+tiktoken ranks are read as they are.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 
 
@@ -22,6 +24,12 @@ class Encoder:
     """encode(text) -> ids, add_special_tokens=False."""
 
     def __init__(self, path: str):
+        if path.endswith(".tiktoken"):
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+            self.special: list[str] = []
+            self.fast = self._of(ranks)
+            return
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -35,11 +43,14 @@ class Encoder:
         return self.spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not self.spec.get("normalizer") and not self.spec.get("post_processor")
 
     def _ranks(self):
+        alphabet = _byte_alphabet()
+        return self._of({bytes(alphabet[c] for c in t): i for t, i in self.spec["model"]["vocab"].items() if t not in self.special})
+
+    @staticmethod
+    def _of(ranks: dict[bytes, int]):
         import public_tokenizers
         import tiktoken
 
-        alphabet = _byte_alphabet()
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in self.spec["model"]["vocab"].items() if t not in self.special}
         return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:

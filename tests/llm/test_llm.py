@@ -382,6 +382,21 @@ def test_sharding(spark, tmp_path):
     assert pick(store.read()) == pick(store.read(before)) == pick(docs.unionByName(docs))
     with pytest.raises(sharding.CommitConflict):
         store.commit(before - 1, [])
+    store.SNAPSHOT = 4  # versions that list all shards and those that say what changes give the same
+    other = sharding.ShardStore(spark, str(tmp_path / "t"), target_bytes=1 << 20, fan_in=3)
+    other.SNAPSHOT = 4
+    for _ in range(3):
+        other.append(docs, arrivals=3)
+    other.compact()
+    assert pick(other.read()) == pick(docs.unionByName(docs).unionByName(docs)) and pick(other.read(3)) == pick(docs)
+    empty = sharding.ShardStore(spark, str(tmp_path / "e"))
+    assert empty.append(docs.limit(0)) == 1 and empty.manifest() == [] and empty.compact() == 1
+    nested = docs.limit(5).select("doc_id", F.struct(F.create_map(F.lit("a"), "text").alias("m")).alias("s"))
+    empty.append(nested, arrivals=2)
+    assert empty.read().count() == 5
+    only = sharding.ShardStore(spark, str(tmp_path / "o"))
+    only.append(nested.select("s"), arrivals=2)
+    assert only.read().count() == 5
 
 
 def test_token_counts(spark, tmp_path):
@@ -398,6 +413,37 @@ def test_token_counts(spark, tmp_path):
     assert seen[1] == {("s", "en"): (1, 1), (None, "en"): (1, 0)} and seen[2] == {(None, "en"): (1, 0)}
 
 
+def test_two_writers_of_one_batch(spark, tmp_path, monkeypatch):
+    """Both are past the first look when they commit: one wins, and the other's delta is nowhere."""
+    delta = spark.createDataFrame([("s", "en", "v", 1, 5)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    a, b = (token_counts.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    monkeypatch.setattr(b, "batches", set)
+    assert a.commit("x/1", delta) and not b.commit("x/1", delta) and a.batches() == {"x/1"}
+    assert [tuple(r) for r in a.totals().collect()] == [("s", "en", "v", 1, 5)] and len(list((tmp_path / "r").glob("delta-*"))) == 1
+
+
+def test_history_adds_up_to_the_table(spark, tmp_path):
+    """op4's batches of inserts, drafts, revisions and deletions, against a recount by both tokenizers' own libraries."""
+    texts = [None, "", "plain", "Ünïcode ✓ 漢字", *(" ".join(words(rng.randint(1, 40))) for _ in range(90)), " ".join(words(20000))]
+    docs = frame(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("a")).when(F.col("doc_id") % 3 == 1, F.lit("b")))
+    docs = docs.unionByName(docs.limit(10))
+    paths = {v: tokenizer_path(f) for v, f in token_counts.VERSIONS.items()}
+    store = token_counts.Rollup(spark, str(tmp_path / "r"))
+    for _ in range(2):
+        did = [store.commit(n, token_counts.deltas(b, paths)) for n, b in token_counts.changes(docs)]
+    assert did == [False] * 4
+    want: dict = {}
+    slow = encoder(paths["byte_bpe_50k"]).slow
+    for r in docs.collect():
+        for v in paths:
+            n = len(slow.encode(r.text or "", add_special_tokens=False).ids) if v == "byte_bpe_50k" else len(encoder(paths[v]).encode(r.text or ""))
+            was = want.get((r.source, r.lang, v), (0, 0))
+            want[r.source, r.lang, v] = (was[0] + 1, was[1] + n)
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in store.totals().collect()} == want
+    none = token_counts.Rollup(spark, str(tmp_path / "n"))
+    assert all(none.commit(n, token_counts.deltas(b, paths)) for n, b in token_counts.changes(docs.limit(0))) and none.totals().count() == 0
+
+
 def test_passages(spark):
     passage = " ".join(words(60))
     texts = [None, "", "short", *(" ".join([*words(rng.randint(20, 80)), passage, *words(40)]) for _ in range(8)), *(" ".join(words(90)) for _ in range(8))]
