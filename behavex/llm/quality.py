@@ -3,12 +3,13 @@
 One classifier sees a document's text (which words occur, and what the characters are like), the
 other only its page metadata (source, language, length). Both start from labelled rows; over a
 few rounds each labels the unlabelled rows it is most sure of for the other. Held-out labelled
-rows then calibrate both scores and combine them. There are two such targets, quality and
+rows then calibrate each view's score, and the calibrated scores are combined. There are two such targets, quality and
 toxicity; a document is accepted if its quality score is at least one half and its toxicity score
 below it.
 
 Fitting takes a bounded sample: `most_labelled` labelled and `most_unlabelled` unlabelled rows,
-those with the smallest hash of doc_id. Scoring covers every document in one pass without a shuffle.
+those with the smallest hash of doc_id. Which words tell the classes apart is counted in the tasks; the driver gets those words
+(`VOCABULARY` at most) and of each sampled row which of them it has. Scoring covers every document in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavex.llm.common import blocks, hashed_words, table
+from behavex.llm.common import Scratch, blocks, cut, free_name, hashed_words, table
 
 LABELLED, UNLABELLED = 6000, 3000
+#: Words that a text view knows, and sources and languages that a metadata view knows.
+VOCABULARY, KNOWN_PAGES = 20_000, 500
 TARGETS = ("quality", "toxic")
 
 #: Every byte that does not belong to a letter, a digit or a non-ASCII character.
@@ -63,15 +66,31 @@ def _shape(held: list[bytes], doc: np.ndarray, n_words: np.ndarray) -> np.ndarra
     return np.column_stack([np.sqrt(share), distinct / np.maximum(1, n_words), np.log1p(n_words), np.log1p(n_words / lines), size / np.maximum(1, n_words) / 10])
 
 
-def _meta(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Page metadata: hashed source and language, length; null is a value of its own."""
-    out = np.zeros((len(source), 64 + 16 + 4))
-    for i, (s, g, n) in enumerate(zip(source, lang, n_chars, strict=True)):
-        out[i, sum((s or "\0").encode()) % 64] = 1
-        out[i, 64 + sum((g or "\0").encode()) % 16] = 1
-        x = np.log1p(max(0, n or 0)) / 10
-        out[i, 80:] = x, x * x, n is None, n == 0
-    return out
+@dataclass
+class Pages:
+    """The sources and languages that the metadata view knows, as sorted 64-bit hashes; each has a feature of its own, all others share one."""
+
+    sources: np.ndarray
+    languages: np.ndarray
+
+    @classmethod
+    def of(cls, source: np.ndarray, language: np.ndarray) -> Pages:
+        def common(x: np.ndarray) -> np.ndarray:
+            values, count = np.unique(x, return_counts=True)
+            return np.sort(values[np.lexsort((values, -count))][:KNOWN_PAGES])
+
+        return cls(common(source), common(language))
+
+    def features(self, source: np.ndarray, language: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+        """n_chars is -1 where it is null."""
+        parts = []
+        for known, x in ((self.sources, source), (self.languages, language)):
+            one = np.zeros((len(x), len(known) + 1))
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            one[np.arange(len(x)), np.where(known[at] == x, at, len(known))] = 1
+            parts.append(one)
+        x = np.log1p(np.maximum(0, n_chars)) / 10
+        return np.column_stack([*parts, x, x * x, n_chars < 0, n_chars == 0])
 
 
 @dataclass
@@ -125,38 +144,27 @@ def _known(vocabulary: np.ndarray, doc: np.ndarray, words: np.ndarray) -> tuple[
 
 @dataclass
 class Views:
-    """The two views of one target and how they combine: logit = a * text + b * metadata + c."""
+    """The two views of one target: each one's logit is calibrated (a * logit + b), and the calibrated ones are combined."""
 
     text: Linear
     meta: Linear
+    pages: Pages
+    calibration: list[np.ndarray]
     mix: np.ndarray
 
-    def scores(self, dense, rows, cols, meta):
+    def calibrated(self, dense, rows, cols, meta) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, dtype=np.int64)
-        t, m = self.text.logit(dense, rows, cols), self.meta.logit(meta, none, none)
+        raw = self.text.logit(dense, rows, cols), self.meta.logit(meta, none, none)
+        return tuple(a * z + b for z, (a, b) in zip(raw, self.calibration, strict=True))
+
+    def scores(self, dense, rows, cols, meta):
+        t, m = self.calibrated(dense, rows, cols, meta)
         return _sigmoid(np.column_stack([t, m, np.ones(len(t))]) @ self.mix), _sigmoid(t), _sigmoid(m)
 
 
-def _vocabulary(doc: np.ndarray, words: np.ndarray, y: np.ndarray, most: int = 20_000) -> np.ndarray:
-    """Words of three labelled texts at least whose share in the classes differs by four standard errors or
-    more; of more than `most` the first by that."""
-    known, index, count = np.unique(words, return_inverse=True, return_counts=True)
-    positive = np.bincount(index, weights=y[doc], minlength=len(known))
-    rate = y.mean()
-    apart = np.abs(positive - count * rate) / np.sqrt(count * max(rate * (1 - rate), 1e-6))
-    good = np.flatnonzero((count >= 3) & (apart >= 4))
-    return np.sort(known[good[np.argsort(-apart[good], kind="stable")[:most]]])
-
-
-def co_train(y: np.ndarray, dense: np.ndarray, doc: np.ndarray, words: np.ndarray, meta: np.ndarray, rounds: int = 3, sure: float = 0.97, share: float = 0.1) -> Views:
-    """Rows with y of 0 or 1 are labelled, those with -1 not. Every fifth labelled row only calibrates."""
-    given = np.flatnonzero(y >= 0)
-    held = given[::5]
-    base = np.setdiff1d(given, held)
-    is_base = np.zeros(len(y), dtype=bool)
-    is_base[base] = True
-    vocabulary = _vocabulary(doc[is_base[doc]], words[is_base[doc]], np.maximum(y, 0).astype(float))
-    rows, cols = _known(vocabulary, doc, words)
+def co_train(y: np.ndarray, held: np.ndarray, vocabulary: np.ndarray, dense: np.ndarray, rows: np.ndarray, cols: np.ndarray, meta: np.ndarray, pages: Pages, rounds: int = 3, sure: float = 0.97, share: float = 0.1) -> Views:
+    """Rows with y of 0 or 1 are labelled, those with -1 not; held labelled rows only calibrate. rows and cols say what words of the vocabulary a row has."""
+    base, calibrates = np.flatnonzero((y >= 0) & ~held), np.flatnonzero((y >= 0) & held)
     label = [y.astype(float).copy(), y.astype(float).copy()]  # what each view is taught
     free = np.flatnonzero(y < 0)
     none = np.zeros(0, dtype=np.int64)
@@ -176,17 +184,20 @@ def co_train(y: np.ndarray, dense: np.ndarray, doc: np.ndarray, words: np.ndarra
                 sureness = np.maximum(p, 1 - p)
                 pick = [i for i in np.argsort(-sureness, kind="stable")[: int(share * len(free)) + 1] if sureness[i] >= sure]
                 label[1 - v][free[pick]] = (p[pick] >= 0.5).astype(float)
-    t, m = views[0].logit(dense, rows, cols)[held], views[1].logit(meta, none, none)[held]
-    return Views(views[0], views[1], _combine(t, m, y[held].astype(float)))
+    known = y[calibrates].astype(float)
+    raw = views[0].logit(dense, rows, cols)[calibrates], views[1].logit(meta, none, none)[calibrates]
+    calibration = [_logistic(z[:, None], known, np.array([1e-2])) for z in raw]
+    t, m = (a * z + b for z, (a, b) in zip(raw, calibration, strict=True))
+    return Views(views[0], views[1], pages, calibration, _logistic(np.column_stack([t, m]), known, np.array([1e-2, 1.0])))
 
 
-def _combine(t: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of two logits and a constant by regularised logistic regression: Newton's method with step
+def _logistic(z: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Weights of the columns of z and a constant by regularised logistic regression: Newton's method with step
     halving on logits of unit spread, since separable rows have no finite optimum of their own."""
-    spread = np.array([t.std() + 1e-6, m.std() + 1e-6, 1.0])
-    x, ridge = np.column_stack([t, m, np.ones(len(t))]) / spread, np.array([1e-2, 1.0, 1e-3])
+    spread = np.r_[z.std(0) + 1e-6, 1.0]
+    x, ridge = np.column_stack([z, np.ones(len(z))]) / spread, np.r_[ridge, 1e-3]
     loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + ridge @ (w * w) / 2
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = _sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
@@ -199,51 +210,101 @@ def _combine(t: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / spread
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED, most_unlabelled: int = UNLABELLED) -> dict[str, Views | float]:
-    """Models by target; where a target has one class only (or no labels), its share of ones instead."""
-    labels = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(t).alias(t) for t in TARGETS))
-    base = docs.where("text is not null and trim(text) <> '' and doc_id is not null").select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    low = F.xxhash64("doc_id")
+def _row() -> list[Column]:
+    """What the tasks are given of a row: its text, source and language as hashes, null length as -1."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("source").alias("source"), F.xxhash64("lang").alias("lang"), F.coalesce(F.col("n_chars").cast("long"), F.lit(-1)).alias("n_chars")]
+
+
+def _sample(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabelled: int) -> DataFrame:
+    """(doc_id, text, source, lang, n_chars, quality, toxic, held): the sampled rows. Of texts that share an id the one with the smallest hash
+    stands for it; of several labels of an id the largest counts. Every fifth labelled id, by hash, is held out."""
+    labels = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(t).cast("int").alias(t) for t in TARGETS))
+    base = docs.where("text is not null and trim(text) <> '' and doc_id is not null").select(*_row())
 
     def smallest(ids: DataFrame, most: int) -> DataFrame:
-        return ids.orderBy(low, "doc_id").limit(most)
+        return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     keyed = base.select("doc_id").dropDuplicates(["doc_id"])
     given = smallest(keyed.join(labels, "doc_id"), most_labelled)
     other = smallest(keyed.join(labels, "doc_id", "left_anti"), most_unlabelled).select("doc_id", *(F.lit(None).cast("int").alias(t) for t in TARGETS))
-    sample = base.join(F.broadcast(given.unionByName(other)), "doc_id").dropDuplicates(["doc_id"])
-    # what is collected: for each sampled row its distinct words' hashes and a hundred numbers, as bytes
-    features = sample.mapInArrow(_features, "doc_id long, quality int, toxic int, dense binary, meta binary, words binary")
-    got = sorted(features.collect(), key=lambda r: r.doc_id)
+    rows = base.join(F.broadcast(given.unionByName(other)), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), F.struct(F.xxhash64("text"), "source", "lang", "n_chars")).alias("x")).select("x.*")
+    return one.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0)
+
+
+def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, rows, and for each target labelled rows and those with label 1 that have it), summed within each block."""
+    for rb in it:
+        y = [np.array([-1 if v is None else int(v > 0) for v in rb.column(t).to_pylist()]) for t in TARGETS]
+        held = rb.column("held").to_numpy(zero_copy_only=False)
+        for at, texts in blocks(rb.column("text")):
+            doc, words, _ = _word_sets(texts)
+            known, index = np.unique(words, return_inverse=True)
+            counts = []
+            for label in y:
+                mine = np.where(held, -1, label)[at : at + len(texts)][doc]
+                counts += [np.bincount(index, weights=mine >= 0, minlength=len(known)), np.bincount(index, weights=mine == 1, minlength=len(known))]
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], names=["word", *(f"{t}_{k}" for t in TARGETS for k in ("n", "p"))])
+
+
+def _vocabulary(counts: DataFrame, target: str, rate: float) -> np.ndarray:
+    """Words of three labelled texts at least whose share in the classes differs by four standard errors or more;
+    of more than VOCABULARY the first by that."""
+    n, p = F.col(f"{target}_n"), F.col(f"{target}_p")
+    apart = F.abs(p - n * F.lit(rate)) / F.sqrt(n * F.lit(max(rate * (1 - rate), 1e-6)))
+    got = counts.withColumn("apart", apart).where((n >= 3) & (F.col("apart") >= 4)).orderBy(F.desc("apart"), "word").limit(VOCABULARY).select("word").collect()
+    return np.sort(np.array([r.word for r in got], dtype=np.int64).view(np.uint64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED, most_unlabelled: int = UNLABELLED) -> dict[str, Views | float]:
+    """Models by target; where a target has one class only (or no labels), its share of ones instead."""
+    with Scratch(docs.sparkSession):
+        sample = cut(_sample(docs, labels, most_labelled, most_unlabelled), "sample")
+        long = ", ".join(f"{t}_{k} long" for t in TARGETS for k in ("n", "p"))
+        counts = sample.where("quality is not null or toxic is not null").mapInArrow(_word_counts, f"word long, {long}").groupBy("word").agg(*(F.sum(f"{t}_{k}").alias(f"{t}_{k}") for t in TARGETS for k in ("n", "p")))
+        counts = cut(counts, "words")
+        shares = sample.where("not held").agg(*(F.avg((F.col(t) > 0).cast("double")).alias(t) for t in TARGETS)).first()
+        vocabulary = {t: _vocabulary(counts, t, shares[t] or 0.0) for t in TARGETS}
+        # what is collected: for each sampled row some fifteen numbers and which of the vocabularies' words it has
+        both = np.union1d(*vocabulary.values())
+        features = sample.mapInArrow(_features(both), "doc_id long, quality int, toxic int, held boolean, source long, lang long, n_chars long, dense binary, words binary")
+        got = sorted(features.collect(), key=lambda r: r.doc_id)
     out: dict[str, Views | float] = {}
     if got:
-        dense, meta = (np.array([np.frombuffer(r[c], dtype=np.float64) for r in got]) for c in ("dense", "meta"))
-        doc = np.repeat(np.arange(len(got)), [len(r.words) // 8 for r in got])
-        words = np.frombuffer(b"".join(r.words for r in got), dtype=np.uint64)
+        dense = np.array([np.frombuffer(r.dense, dtype=np.float64) for r in got])
+        held, source, lang, n_chars = (np.array([r[c] for r in got]) for c in ("held", "source", "lang", "n_chars"))
+        pages = Pages.of(source, lang)
+        meta = pages.features(source, lang, n_chars)
+        row = np.repeat(np.arange(len(got)), [len(r.words) // 4 for r in got])
+        words = both[np.frombuffer(b"".join(r.words for r in got), dtype=np.int32)] if len(both) else np.zeros(0, dtype=np.uint64)
     for t in TARGETS:
         y = np.array([-1 if r[t] is None else int(r[t] > 0) for r in got])
         known = y[y >= 0]
-        both = min((known == 0).sum(), (known == 1).sum()) >= 5 if len(known) else False
-        out[t] = co_train(y, dense, doc, words, meta) if both else float(known.mean()) if len(known) else float(t == "quality")
+        enough = min((known == 0).sum(), (known == 1).sum()) >= 5 if len(known) else False
+        if enough and len(np.unique(y[(y >= 0) & ~held])) == 2 and ((y >= 0) & held).any():
+            out[t] = co_train(y, held, vocabulary[t], dense, *_known(vocabulary[t], row, words), meta, pages)
+        else:
+            out[t] = float(known.mean()) if len(known) else float(t == "quality")
     return out
 
 
-def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in it:
-        ids = rb.column("doc_id")
-        meta = _meta(*(rb.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-        for at, held in blocks(rb.column("text")):
-            doc, words, n = _word_sets(held)
-            dense, parts = _shape(held, doc, n), np.split(words.view(np.int64), np.searchsorted(doc, np.arange(1, len(held))))
-            cut_ = slice(at, at + len(held))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)).cast(pa.int64()), *(rb.column(t).slice(at, len(held)).cast(pa.int32()) for t in TARGETS), *(pa.array([x.tobytes() for x in a], type=pa.binary()) for a in (dense, meta[cut_], parts))], names=["doc_id", *TARGETS, "dense", "meta", "words"])
+def _features(vocabulary: np.ndarray):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for at, held in blocks(rb.column("text")):
+                doc, words, n = _word_sets(held)
+                row, col = _known(vocabulary, doc, words)
+                parts = np.split(col.astype(np.int32), np.searchsorted(row, np.arange(1, len(held))))
+                kept = [rb.column(c).slice(at, len(held)) for c in ("doc_id", *TARGETS, "held", "source", "lang", "n_chars")]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([x.tobytes() for x in a], type=pa.binary()) for a in (_shape(held, doc, n), parts))], names=["doc_id", *TARGETS, "held", "source", "lang", "n_chars", "dense", "words"])
+
+    return run
 
 
 def _score(models: dict[str, Views | float]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            ids = rb.column("doc_id")
-            meta = _meta(*(rb.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+            ids, pages = rb.column("doc_id"), [rb.column(c).to_numpy(zero_copy_only=False) for c in ("source", "lang", "n_chars")]
             for at, held in blocks(rb.column("text")):
                 doc, words, n = _word_sets(held)
                 dense = _shape(held, doc, n)
@@ -253,7 +314,7 @@ def _score(models: dict[str, Views | float]):
                     if isinstance(m, float):
                         cols += [np.full(len(held), m)] * 3
                     else:
-                        cols += m.scores(dense, *_known(m.text.vocabulary, doc, words), meta[at : at + len(held)])
+                        cols += m.scores(dense, *_known(m.text.vocabulary, doc, words), m.pages.features(*(x[at : at + len(held)] for x in pages)))
                 empty = np.array([not b.strip() for b in held])
                 ok = (cols[0] >= 0.5) & (cols[3] < 0.5) & ~empty
                 cols = [np.where(empty, 0.0, c) for c in cols]
@@ -269,9 +330,8 @@ def score(docs: DataFrame, models: dict[str, Views | float]) -> DataFrame:
     Null and blank text scores 0 everywhere and is not accepted. Null metadata is a value of its
     own. Without labels of both classes the score is the labels' share (1 for quality, 0 for
     toxicity where there are none). Other columns are ignored."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     columns = ", ".join(f"{t}_{k} double" for t in TARGETS for k in ("score", "text", "meta"))
-    return rows.mapInArrow(_score(models), f"doc_id long, {columns}, accepted boolean")
+    return docs.select(*_row()).mapInArrow(_score(models), f"doc_id long, {columns}, accepted boolean")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,12 +341,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go. It decides row by row."""
-    models = fit(docs, table(spark, sf_dir, "labels"))
-    inner = _score(models)
+    inner, columns, rest = _score(fit(docs, table(spark, sf_dir, "labels"))), docs.columns, free_name(docs, "row")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            good = [x for out in inner(iter([rb])) for x in out.column("accepted").to_pylist()]
-            yield rb.filter(pa.array(good, type=pa.bool_()))
+            good = [x for out in inner(iter([pa.RecordBatch.from_struct_array(rb.column(rest))])) for x in out.column("accepted").to_pylist()]
+            yield rb.select(columns).filter(pa.array(good, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select("*", F.struct(*_row()).alias(rest)).mapInArrow(run, docs.schema)

@@ -354,7 +354,7 @@ def test_html(spark):
     assert got[1] == ("A &amp; B one twox.", 19) and got[2] == ("", 0) and got[3] == ("", 0) and len(got) == 4
 
 
-def test_quality(spark):
+def test_quality(spark, monkeypatch):
     good, bad = [" ".join(words(60, 400)) for _ in range(240)], [" ".join(w + "***" for w in words(60, 400)) for _ in range(60)]
     toxic = [" ".join([*words(30, 400), "vile", *words(30, 400)]) for _ in range(60)]
     docs = frame(spark, good + bad + toxic + [None, " "])
@@ -367,6 +367,37 @@ def test_quality(spark):
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert quality.score(docs, none).where("accepted").count() == n + 120
     assert quality.score(docs.limit(0), none).count() == 0
+    table = lambda *_: spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "table", table)
+    kept = quality.accepted(spark, docs, "")  # the stage keeps whole rows, and those that the scores accept
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.accepted}
+    odd = docs.limit(2).withColumns({c: F.lit(None).cast(t) for c, t in (("doc_id", "long"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))})
+    models = quality.fit(docs, table())
+    assert [r.accepted for r in quality.score(odd.unionByName(odd), models).collect()] == [True] * 4
+    twice = docs.unionByName(docs.limit(50)).unionByName(docs.limit(20).withColumn("text", F.lit("another text of this id")))
+    assert quality.score(twice, quality.fit(twice, table().unionByName(table()))).count() == docs.count() + 70
+
+
+def test_metadata_features_are_distinct(spark):
+    """Each source and language has a feature of its own, also those whose letters have one sum."""
+    values = ["fr", "es", "en", "src12", "src21", "", None]
+    hashes = np.array([r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(F.xxhash64("v")).collect()])
+    pages = quality.Pages.of(hashes, hashes)
+    assert len({tuple(x) for x in pages.features(hashes, hashes, np.full(7, 5)).tolist()}) == 7
+    assert pages.features(hashes[:1] + 1, hashes[:1] + 1, np.array([-1])).sum() == 3  # what is not known shares one
+
+
+def test_each_view_is_calibrated():
+    """Among rows that a view gives a score of about s, a share of about s is positive."""
+    r = np.random.default_rng(0)
+    z = r.standard_normal(20000) * 2
+    y = (r.random(20000) < 1 / (1 + np.exp(-(0.5 * z - 1)))).astype(float)
+    a, b = quality._logistic((5 * z + 3)[:, None], y, np.array([1e-2]))
+    p = 1 / (1 + np.exp(-(a * (5 * z + 3) + b)))
+    for low in np.arange(0, 0.9, 0.1):
+        some = (p >= low) & (p < low + 0.1)
+        if some.sum() > 300:
+            assert abs(y[some].mean() - p[some].mean()) < 0.05
 
 
 def test_sharding(spark, tmp_path):
