@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from behavex.llm.common import cut, discard
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. A node's minimum is an aggregate with partial sums and returns by a join, so
+#: A step's minima are broadcast for so many links at most; beyond, each is repeated for so many salts.
+FEW, SALTS = 500_000, 16
+
+
+def _star(edges: DataFrame, large: bool, links: int) -> DataFrame:
+    """One step over so many links. A node's minimum is an aggregate with partial sums and returns by a broadcast or salted join, so
     that a node with very many neighbours is split over tasks."""
     both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(low, "u")
+    if links <= FEW:  # the minima are no more than the links' ends
+        joined = both.join(F.broadcast(low), "u")
+    else:
+        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(spread, ["u", "salt"]).drop("salt")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,7 +45,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not was[0]:
             break
-        after = cut(_star(_star(now, True), False), "edges")
+        after = cut(_star(_star(now, True, was[0]), False, 2 * was[0]), "edges")
         discard(now)
         now, is_ = after, state(after)
         if is_ == was:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from behavex.llm import ann, html_extract, line_dedup, packing, passages, quality, sharding, token_counts
+from behavex.llm import components as components_module
 from behavex.llm.components import components
 from behavex.llm.decontaminate import contamination, is_contaminated, remove_spans
 from behavex.llm.jaccard_join import WIDE_FROM, Bands, _apart, _wide, jaccard_components, keep_one
@@ -153,7 +154,9 @@ def test_long_texts_and_shared_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (5, 5), (7, 3), (7, 5)]  # a link is one of texts, not of ids
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components_module, "FEW", few)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(5, 5), (None, 3)] + [(1000 + i, 1001 + i) for i in range(40)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[1000 + i] == 1000 for i in range(41))
