@@ -31,6 +31,8 @@ STOP = 0.87
 LEAF, CELL = 256, 32768
 #: Points verified at a time, and queries that meet a cell in one task.
 BATCH, ASKS = 256, 1024
+#: Rankings are broadcast to their queries' rows if they are no more; beyond, they are joined with salts.
+FEW = 20_000
 #: Rows on which the upper levels of the tree are fitted; every row is indexed.
 SAMPLE = 20_000
 
@@ -259,10 +261,10 @@ def _own(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Each query row's ranking from its point's: its own row goes."""
     best = cut(_best(found, k + 1), "best").withColumnRenamed("q1", "n1").withColumnRenamed("q2", "n2")
     rows = asked.select(F.col("vec_id").alias("query_id"), "n1", "n2")
-    if fits_broadcast(best, 20_000):
+    if fits_broadcast(best, FEW):
         rows = rows.join(F.broadcast(best), ["n1", "n2"])
     else:  # a hot vector's queries are spread
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(16))).join(best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long")), ["n1", "n2", "salt"])
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(16))).join(best.withColumn("salt", F.explode(F.expr("sequence(0L, 15L)"))), ["n1", "n2", "salt"])
     own = F.array_position(F.transform("best", lambda x: (x["vec_id"] == F.col("query_id")) & (x["n1"] == F.col("n1")) & (x["n2"] == F.col("n2"))), True)
     rows = rows.withColumn("own", own)
     left = F.slice(F.filter("best", lambda x, i: i + 1 != F.col("own")), 1, k)

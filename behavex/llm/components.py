@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool, links: int) -> DataFrame:
     if links <= FEW:  # the minima are no more than the links' ends
         joined = both.join(F.broadcast(low), "u")
     else:
-        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = low.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(spread, ["u", "salt"]).drop("salt")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -299,6 +299,7 @@ def test_ann(spark, cell, monkeypatch):
     """Also over many cells, several groups of queries a cell, and with a very common vector."""
     monkeypatch.setattr(ann, "CELL", cell)
     monkeypatch.setattr(ann, "ASKS", 8)
+    monkeypatch.setattr(ann, "FEW", 0 if cell == 150 else 20_000)
     r = np.random.default_rng(0)
     x = (r.standard_normal((600, 24)) + 3 * r.standard_normal((10, 24))[r.integers(0, 10, 600)]).astype(np.float32).astype(float)
     x[100:140] = x[99]
