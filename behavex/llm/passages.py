@@ -11,7 +11,7 @@ clusters, and all but the first paragraph of a cluster can be removed.
 
 Equal paragraphs are one node, so that copies in any number cost one row each. Band keys are written
 with the occurrences; only paragraphs of keys with different paragraphs are looked at again, in one
-more pass over the texts, for their shingles.
+more pass over the texts, for their shingles. Documents are told apart by row, since ids may repeat.
 """
 
 from __future__ import annotations
@@ -25,19 +25,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from behavex.llm.common import _POSITION, blocks, cut, fits_broadcast, hashed_words, mix, semi, table
+from behavex.llm.common import _POSITION, Scratch, blocks, cut, free_name, hashed_words, lookup_counted, mix, row_key, semi, table
 from behavex.llm.components import components, connect
 
 RADIUS, LEAST_WORDS = 5, 6
 #: Words between borders in a stretch of few words said over and over.
 STRETCH = 10
 #: Repeated paragraphs count where they follow one another over at least so many words, or lie with LEAST_WORDS words or
-#: more in so many words that stand elsewhere too.
+#: more in so many words that stand elsewhere too. (A parameter of repeated_passages; 1 gives every repeated paragraph.)
 LEAST_RUN = 20
 BANDS, ROWS = 4, 2
 HOT, SALTS = 64, 4
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 _KEYS = [f"k{b}" for b in range(BANDS)]
+#: A row's id, its number and its key.
+_OWN = ["doc_id", "row", "r1", "r2"]
 
 
 def _power(n: int) -> np.ndarray:
@@ -112,13 +114,13 @@ def band_keys(sh: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
 
 def _occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in it:
-        ids = rb.column("doc_id")
         for first, held in blocks(rb.column("text")):
             words, at = hashed_words(held)
             doc, start, size, whole, sh, cuts = paragraphs(words, at)
             if len(whole):
                 keys = [pa.array(k.view(np.int64)) for k in band_keys(sh, cuts)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + doc)), pa.array(start - at[doc], type=pa.int32()), pa.array(size, type=pa.int32()), pa.array(whole.view(np.int64)), *keys], names=["doc_id", "start", "n_words", "id", *_KEYS])
+                own = [rb.column(c).take(pa.array(first + doc)) for c in _OWN]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at)[doc], type=pa.int32()), pa.array(start - at[doc], type=pa.int32()), pa.array(size, type=pa.int32()), pa.array(whole.view(np.int64)), *keys], names=[*_OWN, "total", "start", "n_words", "id", *_KEYS])
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,42 +143,49 @@ def _distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array([x.tobytes() for x in sets], type=pa.binary()), pa.array(parity)], names=["id", "shingles", "parity"])
 
 
-def _surroundings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, at, window): of each marked paragraph the hashes of the LEAST_RUN words from each place on that have LEAST_WORDS of its words."""
-    for rb in it:
-        ids, marks = rb.column("doc_id"), rb.column("marks")
-        for first, held in blocks(rb.column("text")):
-            words, at = hashed_words(held)
-            for i in range(len(held)):
-                w, row = words[at[i] : at[i + 1]], first + i
-                if len(w) < LEAST_RUN:
-                    continue
-                with np.errstate(over="ignore"):
-                    windows = mix((np.lib.stride_tricks.sliding_window_view(w, LEAST_RUN) * _power(LEAST_RUN)).sum(1, dtype=np.uint64))
-                    start, place = [], []
-                    for m in marks[row].as_py():
-                        s, n = m["start"], m["n_words"]
-                        # of rows that share an id, those that hold the paragraph
-                        if s + n <= len(w) and mix((w[s : s + n] * _power(n)).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)).view(np.int64)[0] == m["id"]:
-                            there = range(max(0, s + LEAST_WORDS - LEAST_RUN), min(len(windows), s + n - LEAST_WORDS + 1))
-                            place += there
-                            start += [s] * len(there)
-                if place:
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[row].as_py()] * len(place), type=pa.int64()), pa.array(start, type=pa.int32()), pa.array(place, type=pa.int32()), pa.array(windows[place].view(np.int64))], names=["doc_id", "start", "at", "window"])
-
-
-def _within_longer(texts: DataFrame, out: DataFrame) -> DataFrame:
-    """(doc_id, start) of paragraphs of runs of fewer than LEAST_RUN words whose passage goes on beyond its borders to LEAST_RUN words or more.
+def _surroundings(least_run: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, at, window): the hashes of the least_run words from each place on that have LEAST_WORDS words of a marked paragraph."""
+        for rb in it:
+            rows, marks = rb.column("row"), rb.column("marks")
+            for first, held in blocks(rb.column("text")):
+                words, at = hashed_words(held)
+                for i in range(len(held)):
+                    w = words[at[i] : at[i + 1]]
+                    if len(w) < least_run:
+                        continue
+                    ms = marks[first + i].as_py()
+                    last = len(w) - least_run + 1
+                    edges = np.zeros(last + 1, dtype=np.int64)
+                    for m in ms:
+                        a, b = max(0, m["start"] + LEAST_WORDS - least_run), min(last, m["start"] + m["n_words"] - LEAST_WORDS + 1)
+                        if a < b:
+                            edges[a] += 1
+                            edges[b] -= 1
+                    place = np.flatnonzero(np.cumsum(edges[:-1]))
+                    if len(place):
+                        with np.errstate(over="ignore"):
+                            power = _power(least_run)
+                            windows = mix(np.concatenate([(w[np.add.outer(part, np.arange(least_run))] * power).sum(1, dtype=np.uint64) for part in np.array_split(place, len(place) // 4096 + 1)]))
+                        yield pa.RecordBatch.from_arrays([pa.array([rows[first + i].as_py()] * len(place), type=pa.int64()), pa.array(place, type=pa.int32()), pa.array(windows.view(np.int64))], names=["row", "at", "window"])
+
+    return run
+
+
+def _within_longer(texts: DataFrame, out: DataFrame, least_run: int, across: bool) -> DataFrame:
+    """The rows of out in runs of fewer than least_run words whose passage goes on beyond its borders to least_run words or more.
 
     All occurrences of such a run's clusters are compared, also those in longer runs, by the windows around them, never pair by pair."""
-    short = out.where(F.col("length") < LEAST_RUN).select("cluster_id").distinct()
-    marks = semi(out, short, "cluster_id").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words", "id")).alias("marks"))
-    marks = marks.withColumnRenamed("doc_id", "marked")
-    held = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("marked"))).select("doc_id", "text", "marks")
-    windows = cut(held.mapInArrow(_surroundings, "doc_id long, start int, at int, window long"), "windows")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")
+    short = cut(out.where(F.col("length") < least_run), "short")
+    marked = semi(out, short.select("cluster_id").distinct(), "cluster_id")
+    marks = cut(marked.groupBy("row", "r1", "r2").agg(F.collect_set(F.struct("start", "n_words")).alias("marks")), "marks")
+    held = semi(texts, marks.select("r1", "r2").distinct(), ["r1", "r2"]).select("r1", "r2", "text").dropDuplicates(["r1", "r2"])
+    windows = cut(held.join(marks, ["r1", "r2"]).mapInArrow(_surroundings(least_run), "row long, at int, window long"), "windows")
+    place = F.col("row") if across else F.struct("row", "at")
     shared = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
-    return windows.join(shared, "window", "left_semi").select("doc_id", "start").distinct()
+    hits = windows.join(shared, "window", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("hits"))
+    low, high = F.col("start") + (LEAST_WORDS - least_run), F.col("start") + F.col("n_words") - LEAST_WORDS
+    return short.join(hits, "row").where(F.exists("hits", lambda x: (x >= low) & (x <= high))).select(out.columns)
 
 
 def _similar(num: int, den: int):
@@ -192,17 +201,52 @@ def _similar(num: int, den: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, start, n_words, cluster_id, keeper_doc_id, keeper_start, removed): a row for each
-    occurrence of a paragraph whose cluster has more than one. start counts the text's words from 0.
+def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100, least_run: int = LEAST_RUN, across: bool = False) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, copy, start, n_words, cluster_id, keeper_doc_id, keeper_start, removed, across, r1, r2): a row for each
+    occurrence of a paragraph whose cluster has more than one. start counts the text's words from 0; across says whether the
+    cluster has occurrences in several documents.
 
-    Of a text, only runs of adjoining repeated paragraphs of LEAST_RUN words or more are given, and paragraphs of shorter
+    Of a text, only runs of adjoining repeated paragraphs of least_run words or more are given, runs that are the whole text, and paragraphs of shorter
     runs whose passage has so many words with those before and after it, so that a short common line at a text's edge is
-    none. The cluster's first occurrence by (doc_id, start) is kept, the others are removed. Null ids come
-    last; texts of fewer than LEAST_WORDS words, empty and null ones have no paragraphs. Repeated
-    rows are occurrences of their own. Other columns are ignored."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(texts.mapInArrow(_occurrences, "doc_id long, start int, n_words int, id long" + "".join(f", {k} long" for k in _KEYS)), "occurrences")
+    none; least_run=1 gives every repeated paragraph. With across=True, repeats within one document alone are left out.
+    The cluster's first occurrence by (doc_id, start, row) is kept, the others are removed. Null ids come
+    last; texts of fewer than LEAST_WORDS words, empty and null ones have no paragraphs. Each row is a document, whatever its id: rows that
+    repeat doc_id and text are told apart by copy (from 0), others by (r1, r2), their row_key. Other columns are ignored."""
+    with Scratch(docs.sparkSession) as scratch:
+        keyed = [c.alias(f"r{i}") for i, c in enumerate(row_key(), 1)]
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"), *keyed)
+        found = cut(texts.mapInArrow(_occurrences, "doc_id long, row long, r1 long, r2 long, total int, start int, n_words int, id long" + "".join(f", {k} long" for k in _KEYS)), "occurrences")
+        joined = components(_similar_paragraphs(texts, found, num, den))
+
+        place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "row")
+        each = found.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("keeper"), F.min("row").alias("low"), F.max("row").alias("high"))
+        each = each.join(joined, "id", "left").where("n > 1 or component is not null")
+        each = cut(each.withColumn("cluster_id", F.coalesce("component", "id")), "each")
+        whole = each.groupBy("cluster_id").agg(F.sum("n").alias("all"), F.min("keeper").alias("keeper"), (F.min("low") != F.max("high")).alias("across")).where("all > 1" + (" and across" if across else ""))
+        each = cut(each.select("id", "n", "cluster_id").join(whole.drop("all"), "cluster_id"), "members")
+        out = lookup_counted(found.drop(*_KEYS), each, "id").drop("n")
+        out = out.withColumn("removed", (F.col("keeper.row") != F.col("row")) | (F.col("keeper.start") != F.col("start")))
+        end = F.col("start") + F.col("n_words")
+        by = W.partitionBy("row").orderBy("start", "n_words")
+        out = out.withColumn("new", F.coalesce(F.col("start") > F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+        out = out.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+        run = W.partitionBy("row", "run")
+        length = F.max(end).over(run) - F.min("start").over(run)
+        out = out.withColumn("length", F.when(length == F.col("total"), 1 << 30).otherwise(length))
+        out = cut(out.select(*_OWN, "start", "n_words", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), "removed", "across", "length"), "runs")
+        good = out.where(F.col("length") >= least_run)
+        if least_run > 1:
+            good = good.unionByName(_within_longer(texts, out, least_run, across))
+        again = cut(texts.groupBy("r1", "r2").agg(F.count("*").alias("m")).where("m > 1").select("r1", "r2"), "again")
+        copies = semi(good.select("r1", "r2", "row").distinct(), again, ["r1", "r2"])
+        first = semi(found.select("r1", "r2", "row"), again, ["r1", "r2"]).groupBy("r1", "r2").agg(F.array_sort(F.collect_set("row")).alias("rows"))
+        copies = copies.join(first, ["r1", "r2"]).select("row", (F.array_position("rows", F.col("row")) - 1).cast("int").alias("copy"))
+        good = good.join(cut(copies, "copies"), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
+        return scratch.result(good.select("doc_id", "copy", "start", "n_words", "cluster_id", "keeper_doc_id", "keeper_start", "removed", "across", "r1", "r2"), "passages")
+
+
+def _similar_paragraphs(texts: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Verified links (u, v) of unequal paragraphs that connect what all links of colliding ones connect."""
     banded = found.select(F.explode(F.array(*_KEYS)).alias("key"), "id")
     keys = cut(banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "keys")
     met = cut(semi(banded, keys, "key").distinct(), "met")
@@ -223,29 +267,23 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
         return (p * den >= q * num) & (q * den >= p * num) & (apart * (den + num) <= (p + q) * (den - num))
 
     lengths = sets.select(F.col("id").alias("doc"), (F.length("shingles") / 8).cast("int").alias("n"), "parity")
-    joined = components(connect(kept, verify, lengths, near))
-    found = found.join(F.broadcast(joined) if fits_broadcast(joined, 1_000_000) else joined, "id", "left").select("doc_id", "start", "n_words", "id", F.coalesce("component", "id").alias("cluster_id"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
-    clusters = found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).where("n > 1")
-    out = found.join(clusters, "cluster_id").withColumn("removed", ~(F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.start") == F.col("start"))))
-    end = F.col("start") + F.col("n_words")
-    before = F.max(end).over(W.partitionBy("doc_id").orderBy("start", "n_words").rowsBetween(W.unboundedPreceding, -1))
-    out = out.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
-    out = out.withColumn("run", F.sum("new").over(W.partitionBy("doc_id").orderBy("start", "n_words").rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy("doc_id", "run")
-    out = out.withColumn("length", F.max(end).over(run) - F.min("start").over(run))
-    out = cut(out.select("doc_id", "start", "n_words", "id", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), "removed", "length"), "runs")
-    longer = _within_longer(texts, out).select(F.col("doc_id").alias("d"), F.col("start").alias("s"))
-    short = out.where(F.col("length") < LEAST_RUN).join(longer, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")), "left_semi")
-    return out.where(F.col("length") >= LEAST_RUN).unionByName(short).drop("id", "length")
+    return connect(kept, verify, lengths, near)
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def without_passages(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """docs with text less the paragraphs that repeats marks as removed. A doc_id's marks hold for all its rows."""
-    marks = repeats.where("removed and doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("_marks"))
+    """docs with text less the paragraphs that repeats (of the same docs) marks as removed, each row by its own marks. Of rows that
+    repeat doc_id and text it is not said which is which copy."""
+    marks = repeats.where("removed").groupBy("r1", "r2", "copy").agg(F.collect_set(F.struct("start", "n_words")).alias("marks"))
+    names = {c: free_name(docs, c) for c in ("r1", "r2", "copy", "marks")}
+    marks = marks.select(*(F.col(c).alias(n) for c, n in names.items()))
+    key = [names["r1"], names["r2"]]
+    keyed = docs.withColumns(dict(zip(key, row_key(), strict=True)))
+    again = marks.where(F.col(names["copy"]) > 0).select(*key).distinct()
+    number = (F.row_number().over(W.partitionBy(*key).orderBy(*key)) - 1).cast("int")
+    numbered = semi(keyed, again, key).withColumn(names["copy"], number).unionByName(semi(keyed, again, key, how="left_anti").withColumn(names["copy"], F.lit(0)))
 
     @F.pandas_udf("string")
     def clean(text, marks):
@@ -258,9 +296,10 @@ def without_passages(docs: DataFrame, repeats: DataFrame) -> DataFrame:
             out.append(t)
         return type(text)(out)
 
-    joined = docs.join(marks, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_marks").isNull(), F.col("text")).otherwise(clean("text", "_marks"))).select(docs.columns)
+    joined = numbered.join(marks, [*key, names["copy"]], "left")
+    return joined.withColumn("text", F.when(F.col(names["marks"]).isNull(), F.col("text")).otherwise(clean("text", names["marks"]))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """Passages that repeat across documents."""
+    return repeated_passages(table(spark, sf_dir, "documents"), across=True)

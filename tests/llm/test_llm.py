@@ -489,7 +489,58 @@ def test_passages(spark):
     assert found.where("doc_id = 3 and removed").count() == 0 and found.where("doc_id = 10 and not removed").count() == 0
     cleaned = {r.doc_id: r.text for r in passages.without_passages(df, found).collect()}
     assert cleaned[3] == texts[3] and len(cleaned[10].split()) < len(texts[10].split()) - 20 and cleaned[12] == texts[12]
-    assert passages.repeated_passages(frame(spark, [])).count() == 0
+    assert passages.repeated_passages(frame(spark, [])).count() == 0 and passages.repeated_passages(frame(spark, [None, "", "a"])).count() == 0
+
+
+def test_passages_of_rows_not_ids(spark):
+    """Repeated rows, shared and null ids, short equal documents, and repeats within one document."""
+    p, q, short, other = (" ".join(words(n)) for n in (60, 70, 15, 50))
+    inner = " ".join(words(60))
+    twice = f"{other} {inner} {' '.join(words(25))} {inner}"
+    rows = [(4, p), (4, q), (4, p), (None, p), (None, short), (7, short), (8, twice), (9, "one two three"), (10, "one two three")]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    found = passages.repeated_passages(df)
+    gone = sorted(((r.doc_id or 0, r.copy, r.start) for r in found.where("removed").collect()))
+    assert {(i, c) for i, c, _ in gone} == {(4, 1), (0, 0), (8, 0)}
+    assert all(r.across == (r.doc_id != 8) for r in found.collect())
+    assert {r.doc_id for r in passages.repeated_passages(df, across=True).collect()} == {4, 7, None}
+    left = sorted(((r.doc_id or 0, r.text) for r in passages.without_passages(df, found).collect()))
+    assert (4, p) in left and (4, q) in left and (7, short) in left  # one copy stays, and so does what is no copy
+    # what is left of a copy is no paragraph: fewer than LEAST_WORDS words at either end
+    assert all(len(t.split()) < 2 * passages.LEAST_WORDS for i, t in left if i == 0 or i == 4 and t not in (p, q))
+    assert len(left) == len(rows) and len(next(t for i, t in left if i == 8).split()) < len(twice.split()) - 15
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_passages_against_brute_force(spark, seed):
+    """Every document that shares more than 50 words with another is found, most that share 20, and none without; similar passages are found as well."""
+    r = random.Random(seed)
+    some = lambda n: [f"y{r.randrange(20000)}" for _ in range(n)]
+    pool, texts = [some(n) for n in (12, 19, 20, 21, 25, 35, 51, 52, 60, 200)], []
+    for _ in range(70):
+        w = some(r.randint(0, 60))
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(0, len(w))
+            w[at:at] = r.choice(pool)
+        texts.append(" ".join(w))
+    near = some(300)
+    for _ in range(2):
+        texts.append(" ".join(x if r.random() < 0.98 else f"changed{r.random()}" for x in near))
+
+    def sharing(n: int) -> set:
+        held: dict = {}
+        for i, t in enumerate(texts):
+            w = t.split()
+            for a in range(len(w) - n + 1):
+                held.setdefault(tuple(w[a : a + n]), set()).add(i)
+        return {i for v in held.values() if len(v) > 1 for i in v}
+
+    same = {i for i, t in enumerate(texts) if len(t.split()) >= passages.LEAST_WORDS and texts.count(t) > 1}
+    got = {x.doc_id for x in passages.repeated_passages(frame(spark, texts), across=True).collect()}
+    assert sharing(51) | same | {70, 71} <= got <= sharing(20) | same | {70, 71}
+    assert len(got & sharing(20)) >= 0.85 * len(sharing(20))
+    everything = {x.doc_id for x in passages.repeated_passages(frame(spark, texts), least_run=1).collect()}
+    assert got <= everything
 
 
 def test_passages_of_recurring_words(spark):
