@@ -28,108 +28,205 @@ BLOCK = frozenset("address article aside blockquote body br button caption cente
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("script style noscript template textarea svg iframe object canvas".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME, _TAG, _BORDER = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"(/?)([a-zA-Z][^\s/>]*)"), re.compile(r"[>\"']")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Parts of the names that sites give to what is and what is not the article, however they are put together. Fixed values.
+STEMS = tuple("ad advert article aside auth author banner bottom brand bread byline comment consent content cookie copy credit discuss entry feed foot form head hentry legal link logo main mast menu meta modal nav news note notice overlay page pager popular popup post promo reader related reply respon search share side signup social sponsor story subscri tag text toc tool top trend widget".split())
+#: Words that such parts begin with or hold, in English. Fixed values.
+CUES = frozenset("advertisement comment comments cookies copyright follow home login menu newsletter next previous privacy related reply responses search share sidebar sign sponsored subscribe tags trending".split())
+#: Elements that end where the next of their kind begins, and those that they may hold open meanwhile.
+_ENDED = frozenset("p li dt dd tr td th option".split())
+_INNER = frozenset("p td th dt dd".split())
+#: Tags that say little and only make the model larger.
+_PLAIN = frozenset("html body b i em strong span font u small a".split())
+
+
+class _Tags:
+    """The next tag or text of a page, in time linear in the page whatever is broken in it."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.border: int | None = -1  # of the next ">"; None: there is none
+        self.strict = True  # until a quote has been left open
+        self.ends: dict[str, re.Pattern] = {}
+
+    def _close(self, at: int) -> int | None:
+        if self.border is not None and self.border < at:
+            found = self.page.find(">", at)
+            self.border = None if found < 0 else found
+        return self.border
+
+    def _end(self, at: int) -> int | None:
+        """The place of the > that ends a tag: the first outside quotes, or if a quote is left open the first."""
+        at_first, page = at, self.page
+        while self.strict:
+            m = _BORDER.search(page, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        if self._close(at_first) is not None:
+            self.strict = False
+        return self._close(at_first)
+
+    def skip(self, tag: str) -> None:
+        """Goes on behind the end of an element whose content is no text."""
+        end = self.ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*>", re.I)).search(self.page, self.at)
+        self.at = end.end() if end else len(self.page)
+
+    def __iter__(self) -> Iterator[tuple[str | None, bool, str]]:
+        """(tag, closing, attributes), or (None, False, text)."""
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            at = self.at
+            if page[at] != "<":
+                end = page.find("<", at)
+                self.at = n if end < 0 else end
+                yield None, False, page[at : self.at]
+            elif page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                self.at = n if end < 0 else end + 3
+            elif page[at + 1 : at + 2] in ("!", "?") and self._close(at) is not None:
+                self.at = self._close(at) + 1
+            elif (m := _TAG.match(page, at + 1)) and self._close(at) is not None and (end := self._end(m.end())) is not None:
+                self.at = end + 1
+                yield m[2].lower(), bool(m[1]), page[m.end() : end]
+            else:
+                self.at = at + 1
+                yield None, False, "<"
+
+
+def _names(tag: str, attributes: str) -> set[str]:
+    """Features of an element: its tag, the parts of its class and id, and the stems in them."""
+    out = set() if tag in _PLAIN else {"t:" + tag}
+    if "=" in attributes:
+        for a in _ATTRIBUTE.finditer(attributes):
+            for name in (a[2] or a[3] or a[4] or "").split():
+                parts = [x.lower() for x in _NAME.findall(name)]
+                out.update("n:" + x for x in parts)
+                whole = "".join(parts)
+                out.update("s:" + x for x in STEMS if (x in whole if len(x) > 3 else x in parts))
+        if _HIDDEN_STYLE.search(attributes):
+            out.add("n:hidden")
+    if re.search(r"\bhidden\b", attributes) and "=" not in attributes:
+        out.add("n:hidden")
+    return out
 
 
-def blocks(page: str | None) -> list[tuple[tuple[tuple[str, tuple[str, ...]], ...], str, float]]:
-    """(ancestors as (tag, names), text, share of its text in links) of each non-empty leaf block. Character references are decoded
+def blocks(page: str | None, known: frozenset[str] | None = None) -> list[tuple[list[str], str]]:
+    """(features, text) of each non-empty leaf block. Character references are decoded
     and white space becomes one space. A closing tag without its opening one is ignored; p, li, td and the
-    like end where the next begins; what is left open ends with the page."""
-    out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    like end where the next begins; what is left open ends with the page. Of ancestors' features only known ones are given, if known is."""
+    out: list[tuple[list[str], str, str, float]] = []
+    stack: list[tuple[str, set[str]]] = []
+    outer: list[int] = []  # places in the stack of block elements
+    spans: list[list[int]] = []  # first and last block of each block element, as they are opened
+    open_spans: list[int] = []
+    count: dict[str, int] = {}  # how often a tag is open
+    active: dict[str, int] = {}  # features of what is open
+    names: list[str] | None = []  # sorted, None: to be sorted anew
     parts: list[tuple[str, bool]] = []
-    links = 0
-    page = page or ""
 
     def flush() -> None:
+        nonlocal names
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
+                if names is None:
+                    names = sorted(active)
                 total = sum(len(t) for t, _ in parts)
-                out.append((tuple(x for x in stack if x[0] != "a"), text, sum(len(t) for t, a in parts if a) / max(1, total)))
+                out.append((names, stack[outer[-1]][0] if outer else "none", text, sum(len(t) for t, a in parts if a) / max(1, total)))
             parts.clear()
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
+    def close(size: int) -> None:
+        nonlocal names
+        while len(stack) > size:
+            tag, own = stack.pop()
+            count[tag] -= 1
+            if outer and outer[-1] == len(stack):
+                outer.pop()
+                spans[open_spans.pop()][1] = len(out)
+            for f in own:
+                active[f] -= 1
+                if not active[f]:
+                    del active[f]
+                    names = None
+
+    tags = _Tags(page or "")
+    for tag, closing, rest in tags:
         if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                parts.append((html_.unescape(m[0]), links > 0))
+            parts.append((html_.unescape(rest) if "&" in rest else rest, count.get("a", 0) > 0))
             continue
-        tag = tag.lower()
-        closing, attributes = m[1], m[3]
         if tag in HIDDEN:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not closing and not rest.endswith("/"):
+                tags.skip(tag)
             continue
         if tag in BLOCK:
             flush()
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
-                while True:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == tag:
-                        break
+            if count.get(tag):
+                while stack[-1][0] != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            for i in range(len(stack) - 1, -1, -1):
+        if tag in _ENDED and count.get(tag):
+            for i in reversed(outer):
                 if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
-                if stack[i][0] in BLOCK and stack[i][0] not in ("p", "td", "th", "dt", "dd"):
+                if stack[i][0] not in _INNER:
                     break
-        elif tag in BLOCK and stack and any(t == "p" for t, _ in stack):  # a block element ends a paragraph
-            i = max(i for i, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in BLOCK and t != "p" for t, _ in stack[i:]):
-                links -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-        names: tuple[str, ...] = ()
-        if "=" in attributes:
-            names = tuple(x for a in _ATTRIBUTE.finditer(attributes) for x in _NAME.findall((a[2] or a[3] or a[4] or "").lower()))
-            if _HIDDEN_STYLE.search(attributes):
-                names += ("hidden",)
-        elif " hidden" in attributes:
-            names = ("hidden",)
-        if not attributes.endswith("/"):
-            stack.append((tag, names))
-            links += tag == "a"
+        elif tag in BLOCK and outer and stack[outer[-1]][0] == "p":  # a block element ends a paragraph
+            close(outer[-1])
+        if not rest.endswith("/"):
+            own = _names(tag, rest)
+            own = own if known is None else own & known
+            if tag in BLOCK:
+                outer.append(len(stack))
+                open_spans.append(len(spans))
+                spans.append([len(out), 0])
+            stack.append((tag, own))
+            count[tag] = count.get(tag, 0) + 1
+            for f in own:
+                if f not in active:
+                    names = None
+                active[f] = active.get(f, 0) + 1
     flush()
-    return out
-
-
-#: Tags that say little and only make the model larger.
-_PLAIN = frozenset("html body b i em strong span font u small a".split())
+    close(0)
+    return list(zip(_features(out, spans), (b[2] for b in out), strict=True))
 
 
-def features(block: tuple, place: int, count: int) -> list[str]:
-    ancestors, text, linked = block
-    out = ["bias"]
-    seen = set()
-    for tag, names in ancestors:
-        if tag not in _PLAIN:
-            seen.add("t:" + tag)
-        seen.update("n:" + x for x in names)
-    out += sorted(seen)
-    out.append("leaf:" + next((t for t, _ in reversed(ancestors) if t in BLOCK), "none"))
-    words = len(text.split())
-    out.append(f"len:{min(6, words.bit_length())}")
-    out.append("links:" + ("most" if linked > 0.6 else "some" if linked > 0.1 else "none"))
-    if text[-1] in ".!?…:;\"'”»":
-        out.append("stop")
+def _shape(text: str, linked: float) -> tuple[str, str, list[str], int]:
+    words = text.split()
+    more = ["stop"] if text[-1] in ".!?…:;\"'”»" else []
     if "©" in text or "(c)" in text.lower():
-        out.append("copyright")
-    if place == count - 1:
-        out.append("last")
+        more.append("copyright")
+    more += sorted({"w:" + w for w in (x.strip(".,:!?()").lower() for x in words[:6]) if w in CUES})
+    prose = 0 if linked > 0.6 or len(words) < 5 else len(text)
+    return f"len:{min(6, len(words).bit_length())}", "links:" + ("most" if linked > 0.6 else "some" if linked > 0.1 else "none"), more, prose
+
+
+def _features(found: list[tuple[list[str], str, str, float]], spans: list[list[int]]) -> list[list[str]]:
+    """What an element is like, what the text is like, what the blocks before and after are like, and whether the block
+    lies in the smallest element that has most of the page's prose."""
+    shapes = [_shape(text, linked) for *_, text, linked in found]
+    total = [0]
+    for *_, prose in shapes:
+        total.append(total[-1] + prose)
+    core = min(((b - a, a, b) for a, b in spans if b > a and total[b] - total[a] >= 0.6 * total[-1]), default=(0, 0, len(found)))[1:]
+    out = []
+    for i, ((names, leaf, _, _), (length, links, more, _)) in enumerate(zip(found, shapes, strict=True)):
+        fs = ["bias", *names, "leaf:" + leaf, length, links, f"{length}{links}", *more, "core" if core[0] <= i < core[1] else "rim"]
+        for side, j in (("before", i - 1), ("after", i + 1)):
+            fs += [f"{side}:{x}" for x in shapes[j][:2]] if 0 <= j < len(found) else [f"{side}:none"]
+        out.append(fs)
     return out
 
 
@@ -140,6 +237,10 @@ class Chain:
         self.w: dict[str, float] = {}
         self.pair = [[0.0, 0.0], [0.0, 0.0]]
 
+    @property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.w)
+
     def _scores(self, page: list[list[str]]) -> list[float]:
         get = self.w.get
         return [sum(get(f, 0.0) for f in fs) for fs in page]
@@ -209,102 +310,168 @@ def _lse(a: float, b: float) -> float:
 
 #: Names that sites give to what is not the article, by kind.
 _ASIDES = {
-    "nav": ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topnav", "links", "toc", "pager", "pagination"],
-    "header": ["header", "masthead", "banner", "top", "branding", "logo", "site-header"],
-    "aside": ["sidebar", "aside", "widget", "related", "recommended", "popular", "trending", "share", "social", "tags", "author-box", "newsletter", "subscribe", "promo"],
-    "footer": ["footer", "bottom", "legal", "copyright", "site-footer", "colophon"],
-    "ad": ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "banner-ad", "promo"],
-    "notice": ["cookie", "cookies", "notice", "consent", "gdpr", "alert", "popup", "modal", "overlay"],
-    "form": ["form", "search", "login", "signup", "contact-form"],
-    "comments": ["comments", "comment", "discussion", "replies", "respond", "disqus", "reply"],
+    "nav": ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topnav", "links", "toc", "pager", "pagination", "main-menu", "page-nav"],
+    "header": ["header", "masthead", "banner", "top", "branding", "logo", "site-header", "pageHeader"],
+    "aside": ["sidebar", "aside", "widget", "related", "recommended", "popular", "trending", "share", "social", "tags", "author-box", "newsletter", "subscribe", "promo", "side-bar", "widget-area", "relatedPosts"],
+    "footer": ["footer", "bottom", "legal", "copyright", "site-footer", "colophon", "page-footer"],
+    "ad": ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "banner-ad", "promo", "ad-slot"],
+    "notice": ["cookie", "cookies", "notice", "consent", "gdpr", "alert", "popup", "modal", "overlay", "cookie-bar"],
+    "form": ["form", "search", "login", "signup", "contact-form", "respond", "search-box"],
+    "comments": ["comments", "comment", "discussion", "replies", "respond", "disqus", "reply", "comment-list", "commentList", "user-comments", "reader-comments", "feedback", "notes", "responses"],
 }
 #: Names that sites give to the article or what holds it.
-_MAIN = ["content", "post", "entry", "article", "main", "story", "post-content", "entry-content", "article-body", "text", "page", "body"]
-
-
-def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]:
-    """(page, whether each of its blocks is content) from templates; the labels come with the parts."""
-    rng, out = random.Random(seed), []
-
-    def words(a: int, b: int) -> str:
-        w = ["".join(rng.choice("abcdeéghiklmnoüprstuvz") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(a, b))]
-        return " ".join(w).capitalize()
-
-    def prose(a: int, b: int) -> str:
-        return " ".join(words(3, 14) + rng.choice([".", ".", ".", "!", "?", ""]) for _ in range(rng.randint(a, b)))
-
-    def named(kind: str) -> str:
-        name = rng.choice(_ASIDES[kind])
-        return rng.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {rng.choice("abc")}"'])
-
-    def links(kind: str, tag: str) -> list[tuple[str, bool | None]]:
-        items = [words(1, 3) for _ in range(rng.randint(2, 9))]
-        own = f"<{tag}{named(kind) if tag == 'div' or rng.random() < 0.5 else ''}>"
-        if rng.random() < 0.7:
-            return [(f"{own}<ul>", None), *((f'<li><a href="/{i}">{x}</a></li>', False) for i, x in enumerate(items)), (f"</ul></{tag}>", None)]
-        return [(own + " ".join(f'<a href="/{i}">{x}</a>' for i, x in enumerate(items)) + f"</{tag}>", False)]
-
-    def aside(kind: str) -> list[tuple[str, bool | None]]:
+_MAIN = ["content", "post", "entry", "article", "main", "story", "post-content", "entry-content", "article-body", "text", "page", "body", "hentry", "main-content", "postBody", "single-post"]
+#: How such parts begin now and then.
+_OPENERS = {"nav": ["Menu", "Home"], "aside": ["Related", "Tags", "Share", "Trending"], "footer": ["Copyright", "Privacy"], "ad": ["Advertisement", "Sponsored"], "notice": ["Cookies"], "form": ["Search", "Login", "Subscribe"], "comments": ["Comments", "Responses", "Reply"]}
+
+Part = tuple[str, bool | None]
+
+
+class _Maker:
+    """Pages of four kinds of layout: by semantic elements, by named div elements, as weblogs, and by tables without names."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def words(self, a: int, b: int) -> str:
+        pick = self.rng
+        return " ".join("".join(pick.choice("abcdeéghiklmnoüprstuvz") for _ in range(pick.randint(1, 9))) for _ in range(pick.randint(a, b))).capitalize()
+
+    def prose(self, a: int, b: int) -> str:
+        return " ".join(self.words(3, 14) + self.rng.choice([".", ".", ".", "!", "?", ""]) for _ in range(self.rng.randint(a, b)))
+
+    def named(self, kind: str) -> str:
+        name = self.rng.choice(_ASIDES.get(kind, _MAIN))
+        return self.rng.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {self.rng.choice("abc")}"'])
+
+    def opener(self, kind: str) -> str:
+        return self.rng.choice(_OPENERS[kind]) if kind in _OPENERS and self.rng.random() < 0.4 else self.words(1, 3)
+
+    def wrapped(self, tag: str, attributes: str, parts: list[Part]) -> list[Part]:
+        return [(f"<{tag}{attributes}>", None), *parts, (f"</{tag}>", None)]
+
+    def links(self, bare: bool = False) -> list[Part]:
+        pick, items = self.rng, [self.words(1, 3) for _ in range(self.rng.randint(2, 9))]
+        x = pick.random()
+        if x < 0.6 and not bare:
+            return self.wrapped("ul", "", [(f'<li><a href="/{i}">{t}</a></li>', False) for i, t in enumerate(items)])
+        if x < 0.8:
+            return [(f'<a href="/{i}">{t}</a><br>', False) for i, t in enumerate(items)]
+        return [(pick.choice([" ", " | ", " &gt; "]).join(f'<a href="/{i}">{t}</a>' for i, t in enumerate(items)), False)]
+
+    def comments(self, attributes: str, tag: str) -> list[Part]:
+        pick, list_ = self.rng, self.rng.random() < 0.4
+        inner: list[Part] = [(f"<h3>{self.opener('comments')}</h3>", False)] if pick.random() < 0.6 else []
+        said = []
+        for _ in range(pick.randint(1, 6)):
+            x = pick.random()
+            body = [(f"<p>{self.prose(1, 5)}</p>", False)] if x < 0.5 else [(f"<div>{self.prose(1, 5)}</div>", False)]
+            if pick.random() < 0.4:
+                body = [(f"<div>{self.words(1, 2)}</div>", False), *body]
+            said += [*(self.wrapped("li", "", body) if list_ else body)]
+        return self.wrapped(tag, attributes, inner + (self.wrapped("ol", "", said) if list_ else said))
+
+    def aside(self, kind: str, named: bool | None = None) -> list[Part]:
+        """A part that is no article. named: by a div's name; else by an element of its own where there is one."""
+        pick = self.rng
+        own_tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
+        by_name = named if named is not None else own_tag is None or pick.random() < 0.3
+        tag = own_tag if own_tag and not by_name else pick.choice(["div", "div", "section"])
+        attributes = self.named(kind) if by_name or pick.random() < 0.4 else ""
+        if kind == "comments":
+            return self.comments(attributes, tag)
         if kind == "nav":
-            return links(kind, rng.choice(["nav", "nav", "div"]))
-        if kind == "aside" and rng.random() < 0.5:
-            return [("<aside>", None), (f"<h3>{words(1, 3)}</h3>", False), *links(kind, "div"), ("</aside>", None)]
+            return self.wrapped(tag, attributes, self.links())
         if kind == "form":
-            return [(f'<form{named(kind)}><label>{words(1, 3)}</label><input name="q"><button>', False), (f"{words(1, 2)}</button></form>", False)]
-        tag = {"header": "header", "footer": "footer", "aside": "aside"}.get(kind, rng.choice(["div", "section"]))
-        tag, own = (tag, "") if tag in ("header", "footer", "aside") and rng.random() < 0.7 else ("div", named(kind))
-        text = {"footer": lambda: rng.choice(["&copy; ", "© ", ""]) + f"{words(1, 3)} &middot; {prose(1, 2)}", "comments": lambda: prose(1, 5)}.get(kind, lambda: prose(1, 2))
-        parts: list[tuple[str, bool | None]] = [(f"<{tag}{own}>", None)]
-        for _ in range(rng.randint(1, 6) if kind == "comments" else rng.choice([1, 1, 2])):
-            parts.append((f"<p>{text()}</p>" if rng.random() < 0.4 else f"<div>{text()}</div>", False))
-        if rng.random() < 0.4:
-            parts = [(f"<{tag}{own}>{text()}", False)]
-        return [*parts, (f"</{tag}>", None)]
-
-    def article() -> list[tuple[str, bool | None]]:
-        tag = rng.choice(["article", "article", "article", "main", "div", "section"])
-        own = f' class="{rng.choice(_MAIN)}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
-        parts: list[tuple[str, bool | None]] = [(f"<{tag}{own}>", None)]
-        if rng.random() < 0.8:
-            parts.append((f"<h1>{words(2, 10)}</h1>", True))
-        for _ in range(rng.choice([0, 1, 2, 4, 7, 12])):
-            x = rng.random()
+            return self.wrapped("form", attributes if not by_name or pick.random() < 0.5 else "", [(f'<label>{self.opener(kind)}</label><input name="q"><button>', False), (f"{self.words(1, 2)}</button>", False)])
+        if kind == "aside" and pick.random() < 0.5:
+            return self.wrapped(tag, attributes, [(f"<h3>{self.opener(kind)}</h3>", False), *self.links()])
+        text = (lambda: pick.choice(["&copy; ", "© ", "Copyright ", ""]) + f"{self.words(1, 3)} &middot; {self.prose(1, 2)}") if kind == "footer" else (lambda: self.prose(1, 2))
+        if pick.random() < 0.4:
+            return [(f"<{tag}{attributes}>{text()}", False), (f"</{tag}>", None)]
+        parts: list[Part] = [(f"<h4>{self.opener(kind)}</h4>", False)] if pick.random() < 0.2 else []
+        for _ in range(pick.choice([1, 1, 2])):
+            parts.append((f"<p>{text()}</p>" if pick.random() < 0.4 else f"<div>{text()}</div>", False))
+        return self.wrapped(tag, attributes, parts)
+
+    def body(self, inside: bool) -> list[Part]:
+        """What an article holds, with other parts in between if inside."""
+        pick = self.rng
+        parts: list[Part] = [(f"<h{n}>{self.words(2, 10)}</h{n}>", True) for n in pick.choice(["1", "1", "1", "2", ""])]
+        for _ in range(pick.choice([0, 1, 2, 4, 7, 12])):
+            x = pick.random()
             if x < 0.12:
-                parts.append((f"<h{rng.choice('234')}>{words(1, 7)}</h{rng.choice('234')}>", True))
+                n = pick.choice("234")
+                parts.append((f"<h{n}>{self.words(1, 7)}</h{n}>", True))
             elif x < 0.2:
-                parts += [("<ul>", None), *((f"<li>{prose(1, 1)}</li>", True) for _ in range(rng.randint(1, 5))), ("</ul>", None)]
+                parts += self.wrapped("ul", "", [(f"<li>{self.prose(1, 1)}</li>", True) for _ in range(pick.randint(1, 5))])
             elif x < 0.26:
-                parts.append((f"<blockquote>{prose(1, 3)}</blockquote>", True))
+                parts.append((f"<blockquote>{self.prose(1, 3)}</blockquote>", True))
             elif x < 0.32:
-                parts += [(f"<p><b>{prose(1, 2)}<br>", True), (f"{prose(1, 2)}</p>", True)]
+                parts += [(f"<p><b>{self.prose(1, 2)}<br>", True), (f"{self.prose(1, 2)}</p>", True)]
             elif x < 0.36:
-                parts += [("<table><tr>", None), *((f"<td>{words(1, 3)}</td>", True) for _ in range(4)), ("</tr></table>", None)]
+                parts += [("<table><tr>", None), *((f"<td>{self.words(1, 3)}</td>", True) for _ in range(4)), ("</tr></table>", None)]
             elif x < 0.4:
-                parts.append((f"<pre>{words(3, 12)}</pre>", True))
-            elif x < 0.46:
-                parts += aside(rng.choice(["ad", "aside", "aside", "notice"]))
+                parts.append((f"<pre>{self.words(3, 12)}</pre>", True))
+            elif x < 0.48:
+                before, after = self.words(1, 4), pick.choice(["", ".", f" {self.words(1, 5)}."])
+                parts.append((f'<p>{before if pick.random() < 0.5 else ""} <a href="/x">{self.words(4, 16)}</a>{after}</p>', True))
+            elif x < 0.54 and inside:
+                parts += self.aside(pick.choice(["ad", "aside", "aside", "notice"]))
             else:
-                parts.append((f"<p>{prose(1, 8) if rng.random() < 0.85 else words(1, 2) + '.'}</p>", True))
-        if rng.random() < 0.25:
-            parts.append((f"<p>{prose(1, 4)}<br>", True))
-        if rng.random() < 0.2:
-            parts += aside("comments")
-        return [*parts, (f"</{tag}>", None)]
-
-    for _ in range(count):
-        body: list[tuple[str, bool | None]] = []
+                parts.append((f"<p>{self.prose(1, 8) if pick.random() < 0.85 else self.words(1, 2) + '.'}</p>", True))
+        if pick.random() < 0.25:
+            parts.append((f"<p>{self.prose(1, 4)}<br>", True))
+        return parts + (self.aside("comments") if inside and pick.random() < 0.25 else [])
+
+    def semantic(self) -> list[Part]:
+        tag = self.rng.choice(["article", "article", "article", "main", "div", "section"])
+        own = f' class="{self.rng.choice(_MAIN)}"' if tag in ("div", "section") or self.rng.random() < 0.3 else ""
+        return self.around(self.wrapped(tag, own, self.body(True)), None)
+
+    def around(self, article: list[Part], named: bool | None) -> list[Part]:
+        rng, out = self.rng, []
         for kind in ("notice", "header", "nav", "ad"):
             if rng.random() < {"nav": 0.8, "header": 0.5}.get(kind, 0.35):
-                body += aside(kind)
-        if rng.random() < 0.15:
-            body += aside("form")
-        before, after = [k for k in ("aside", "ad") if rng.random() < 0.2], [k for k in ("aside", "comments", "form", "ad", "nav", "footer") if rng.random() < (0.8 if k == "footer" else 0.25)]
-        for k in before:
-            body += aside(k)
-        body += article()
-        for k in after:
-            body += aside(k)
-        head = f"<head><title>{words(2, 8)}</title><script>var a = '<p>';</script></head>" if rng.random() < 0.8 else ""
+                out += self.aside(kind, named)
+        for kind, p in (("form", 0.15), ("aside", 0.2), ("ad", 0.2)):
+            out += self.aside(kind, named) if rng.random() < p else []
+        out += article
+        for kind in ("aside", "comments", "form", "ad", "nav", "footer"):
+            out += self.aside(kind, named) if rng.random() < (0.8 if kind == "footer" else 0.25) else []
+        return out
+
+    def divs(self) -> list[Part]:
+        inner = self.wrapped("div", f' class="{self.rng.choice(_MAIN)}"', self.body(True))
+        return self.wrapped("div", self.rng.choice(["", ' id="wrapper"', ' class="container"']), self.around(inner, True))
+
+    def weblog(self) -> list[Part]:
+        rng = self.rng
+        post = self.wrapped("div", rng.choice([' class="post hentry"', ' class="hentry"', ' class="blog-post"', ' id="post-1" class="post"']), [(f"<h2 class=\"{rng.choice(['entry-title', 'post-title', 'title'])}\">{self.words(2, 8)}</h2>", True), *self.wrapped("div", rng.choice(["", ' class="entry"', ' class="entry-content"']), self.body(False))])
+        said = self.comments(rng.choice([' class="commentlist"', ' id="comments"', ' class="comment-list"', ' class="comments-area"']), rng.choice(["ol", "div"])) if rng.random() < 0.7 else []
+        holds = self.wrapped("div", rng.choice([' id="content"', ' id="primary"', ' id="main"', ""]), post + said)
+        return [*self.aside("header", True), *self.aside("nav", True), *holds, *self.aside("aside", True), *(self.aside("form", True) if rng.random() < 0.5 else []), *self.aside("footer", True)]
+
+    def tables(self) -> list[Part]:
+        rng = self.rng
+        text: list[Part] = [(f"<{t}>{self.words(2, 8)}</{t}><br>", True) for t in rng.choice([["h1"], ["h2"], ["b"], ["center"], []])]
+        for _ in range(rng.randint(1, 7)):
+            text.append((f"<p>{self.prose(1, 7)}</p>" if rng.random() < 0.6 else f"{self.prose(1, 6)}<br>", True))
+        cell = lambda parts: self.wrapped("td", rng.choice(["", ' width="100"', ' valign="top"']), parts)
+        row = lambda cells: self.wrapped("tr", "", cells)
+        menu, body = cell(self.links(bare=rng.random() < 0.7)), cell(text)
+        rows = row(rng.choice([menu + body, body + menu, menu + body + cell(self.links(bare=True))]))
+        head = row(cell([(self.words(1, 4), False)])) if rng.random() < 0.5 else []
+        foot = row(cell([(f"<center>{rng.choice(['&copy; ', 'Copyright ', ''])}{self.words(1, 4)}</center>", False)])) if rng.random() < 0.6 else []
+        return self.wrapped("table", rng.choice(["", ' border="0"']), head + rows + foot)
+
+
+def labelled_pages(count: int = 700, seed: int = 11, kinds: tuple[str, ...] = ("semantic", "semantic", "divs", "weblog", "tables")) -> list[tuple[str, list[bool]]]:
+    """(page, whether each of its blocks is content); the labels come with the parts."""
+    make, out = _Maker(seed), []
+    for _ in range(count):
+        body = getattr(make, make.rng.choice(kinds))()
+        head = f"<head><title>{make.words(2, 8)}</title><script>var a = '<p>';</script></head>" if make.rng.random() < 0.8 else ""
         parts = [(f"<!DOCTYPE html><html>{head}<body>", False if head else None), *body, ("</body></html>", None)]
         page, labels = "".join(p for p, _ in parts), [y for p, y in parts if y is not None]
         if len(blocks(page)) == len(labels):
@@ -313,23 +480,22 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[boo
 
 
 def train(pages: list[tuple[str, list[bool]]] | None = None) -> Chain:
-    rows = []
-    for page, labels in labelled_pages() if pages is None else pages:
-        found = blocks(page)
-        rows.append(([features(b, i, len(found)) for i, b in enumerate(found)], [int(y) for y in labels]))
+    rows = [([fs for fs, _ in blocks(page)], [int(y) for y in labels]) for page, labels in (labelled_pages() if pages is None else pages)]
     return Chain().fit(rows)
 
 
-def main_text(page: str | None, model: Chain) -> str:
-    found = blocks(page)
-    labels = model.decode([features(b, i, len(found)) for i, b in enumerate(found)])
-    return " ".join(b[1] for b, y in zip(found, labels, strict=True) if y)
+def main_text(page: str | None, model: Chain, known: frozenset[str] | None = None) -> str:
+    found = blocks(page, known or model.known)
+    labels = model.decode([fs for fs, _ in found])
+    return " ".join(text for (_, text), y in zip(found, labels, strict=True) if y)
 
 
 def _extract(model: Chain):
+    known = model.known
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            text = [main_text(h.as_py(), model) for h in rb.column("html")]
+            text = [main_text(h.as_py(), model, known) for h in rb.column("html")]
             yield pa.RecordBatch.from_arrays([rb.column("page_id"), rb.column("url"), pa.array(text, type=pa.string()), pa.array([len(t) for t in text], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run

@@ -3,6 +3,7 @@ and columns of clashing names."""
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -342,20 +343,54 @@ def test_ann_verifies_a_part(spark):
         assert abs(ann.chi2_quantile(p, m) - want) < 1e-3
 
 
-def test_html(spark):
-    model = html_extract.train()
-    pages = html_extract.labelled_pages(150, seed=77)
+@pytest.fixture(scope="module")
+def page_model():
+    return html_extract.train()
+
+
+@pytest.mark.parametrize("kind", ["semantic", "divs", "weblog", "tables"])
+def test_html_blocks_of_held_out_pages(page_model, kind):
     right = total = 0
-    for page, labels in pages:
-        b = html_extract.blocks(page)
-        y = model.decode([html_extract.features(x, i, len(b)) for i, x in enumerate(b)])
+    for page, labels in html_extract.labelled_pages(100, seed=77, kinds=(kind,)):
+        y = page_model.decode([fs for fs, _ in html_extract.blocks(page)])
         right += sum(a == int(c) for a, c in zip(y, labels, strict=True))
         total += len(labels)
-    assert right / total > 0.97
+    assert total > 500 and right / total > 0.98
+
+
+#: Layouts that the generator does not make, with the text to be found.
+PAGES = [
+    ('<div id="header"><h1><a href="/">My Blog</a></h1></div><div id="page"><div class="hentry"><h2>A day at the sea</h2><p>We went to the sea and it was good. The sun was out all day long.</p><p>In the evening we went home again, tired but happy.</p></div><ol class="commentlist"><li><p>Nice post, thank you for it!</p></li><li><p>I was there as well, and it rained.</p></li></ol></div><div id="sidebar"><ul><li><a href=1>Archives</a></li><li><a href=2>About</a></li></ul></div>',
+     "A day at the sea We went to the sea and it was good. The sun was out all day long. In the evening we went home again, tired but happy."),
+    ("<table><tr><td><a href=1>Home</a> <a href=2>News</a></td><td><h1>Title of it</h1><p>This is the first paragraph of the article, and it has a few words.</p><p>This is the second one. It is shorter.</p></td></tr></table>",
+     "Title of it This is the first paragraph of the article, and it has a few words. This is the second one. It is shorter."),
+    ('<article><h1>Heading</h1><p>The article begins here with a sentence. Then there is another one.</p><p>And it goes on for a while, as they do.</p><div class="reader-notes"><p>I do not agree with this at all.</p><p>Neither do I, to be honest.</p></div></article>',
+     "Heading The article begins here with a sentence. Then there is another one. And it goes on for a while, as they do."),
+    ('<nav><a href=1>Home</a></nav><main><h1>Heading</h1><p>The text begins with one paragraph that has no link in it.</p><p><a href="x">A long link that makes up nearly all of this paragraph</a> here.</p><p>It ends with this one.</p></main><footer>(c) us</footer>',
+     "Heading The text begins with one paragraph that has no link in it. A long link that makes up nearly all of this paragraph here. It ends with this one."),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_html_of_other_layouts(page_model, page, text):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>", page_model) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", '<a "', "<p class='\"x>", "<!", "<b>x", '<div class="a b">x<p>', "<script>", "<ul><li>", "</p", "<a href=\"x>y' ", "<!-- ", "&amp", "<td><th>x"])
+def test_broken_pages_take_linear_time(page_model, piece):
+    """A page of a megabyte that is broken all over; quadratic time would be hours."""
+    began = time.process_time()
+    html_extract.main_text(piece * (1_000_000 // len(piece)), page_model)
+    assert time.process_time() - began < 30
+
+
+def test_html(spark, page_model):
     page = "<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp;amp; B</h1><p>one\n two<b>x</b><script>no</script>.</p></article><footer>&copy; me</footer>"
-    df = spark.createDataFrame([(1, "u", page, 0), (2, "u", None, 0), (3, None, "", 0), (None, "u", "<p", 0)], "page_id long, url string, html string, text int")
-    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(df, model).collect()}
-    assert got[1] == ("A &amp; B one twox.", 19) and got[2] == ("", 0) and got[3] == ("", 0) and len(got) == 4
+    df = spark.createDataFrame([(1, "u", page, 0), (1, "u", page, 0), (2, "u", None, 0), (3, None, "", 0), (None, "u", "<p", 0), (4, "u", "<div>" * 5000 + "x", 0)], "page_id long, url string, html string, text int")
+    rows = html_extract.extract(df, page_model).collect()
+    got = {r.page_id: (r.text, r.n_chars) for r in rows}
+    assert got[1] == ("A &amp; B one twox.", 19) and got[2] == ("", 0) and got[3] == ("", 0) and len(rows) == 6
+    assert html_extract.extract(df.limit(0), page_model).count() == 0
 
 
 def test_quality(spark, monkeypatch):
