@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's n-gram windows become a hash set that every task holds (a literal set, used only
-below a checked size). A document's windows are hashed and probed in place; the few that hit
-leave the row as text and are verified by an equality join with the benchmark's windows.
+The hashes of the benchmark's n-gram windows are a set that every task holds, as a table of bits of
+a bounded size. A document's words are hashed once; each of its windows is probed first by the hash of its
+two ends, and what passes by the hash of all its words. Only what passes that too (hits, and one in
+thousands of the others) leaves the row as text and is verified by an equality join with the
+benchmark's windows. So nothing but hits is shuffled, however large the benchmark.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavex.llm.common import fits_broadcast, table
+from behavex.llm.common import Scratch, cut, free_name, row_key, table, without_rows
 
 #: Words are runs of digits, letters and non-ASCII characters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -22,54 +24,76 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), SEPARATORS), lambda w: w != "")
 
 
+#: The bit table has so many bits for each of its keys, and 2^MOST_BITS (16 MB) at most.
+BITS_A_KEY, MOST_BITS = 32, 27
+#: Windows are broadcast to the hits if they are no more than this.
+FEW_WINDOWS = 200_000
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """(len, window, items): every window of n words, or the whole of a shorter item."""
-    w = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0 and item_id is not null")
+    """(len, window, items): every window of n words, or the whole of a shorter item, and its items' ids as text."""
+    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
     w = w.withColumn("len", F.least(F.size("w"), F.lit(n)))
     at = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1))
     w = w.withColumn("i", at).select("item_id", "len", F.array_join(F.expr("slice(w, i, len)"), " ").alias("window"))
     return w.groupBy("len", "window").agg(F.collect_set("item_id").alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, most_windows: int = 200_000) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, n_words, n_hit, items array<long>, hits array<struct<pos, len>>), a row for
-    each row of docs, also for repeated ones and null ids.
+def _ends(h: str, at: str, n: int | str) -> str:
+    return f"xxhash64(get({h}, {at}), get({h}, {at} + {n} - 1), {n})"
+
+
+def _all(h: str, at: str, n: int | str) -> str:
+    return f"xxhash64(slice({h}, {at} + 1, {n}), {n})"
+
+
+def bit_table(windows: DataFrame, bits: int) -> DataFrame:
+    """One row with an array of longs whose 2^bits bits say which hashes occur."""
+    h = windows.select(F.transform(F.split("window", " "), lambda w: F.xxhash64(w)).alias("h"), "len")
+    keys = h.select(F.explode(F.expr(f"array(pmod({_ends('h', '0', 'len')}, {1 << bits}L), pmod({_all('h', '0', 'len')}, {1 << bits}L))")).alias("k"))
+    some = keys.groupBy(F.shiftright("k", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("b"))
+    every = windows.sparkSession.range(1 << (bits - 6)).join(some, "id", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bits"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, n_words, n_hit, items array<string>, hits array<struct<pos, len>>, r1, r2), a row for
+    each row of docs, also for repeated ones and null ids; r1 and r2 are its row_key.
 
     A word inside any occurrence of a benchmark window is hit. Null and blank text has no words
-    and no hits; benchmark rows without words or id are ignored, and an empty benchmark hits
-    nothing. Beyond most_windows benchmark windows no set is held: every window of the documents
-    is then joined. Other columns are ignored."""
-    windows = benchmark_windows(benchmark, n)
-    lengths = sorted(r.len for r in windows.select("len").distinct().collect())  # n at most
-    held = fits_broadcast(windows, most_windows)
-    docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    members: dict[int, str] = {}
-    if held:
-        for r in windows.select("len", F.xxhash64(F.split("window", " ")).alias("h")).collect():
-            members[r.len] = members.get(r.len, "") + f",{r.h}L"
-
-    each = []
-    for k in lengths:
-        at = f"if(size(w) >= {k}, sequence(0, size(w) - {k}), cast(array() as array<int>))"
-        if held:
-            at = f"filter({at}, i -> xxhash64(slice(w, i + 1, {k})) IN ({members[k][1:]}))"
-        each.append(f"transform({at}, i -> named_struct('pos', i, 'len', {k}, 'window', array_join(slice(w, i + 1, {k}), ' ')))")
-    hits = f"concat({', '.join(each)})" if each else "cast(array() as array<struct<pos:int,len:int,window:string>>)"
-    docs = docs.withColumn("one", F.array(words(F.col("text"))))
-    # the words are bound once, as a lambda's variable: otherwise each probe would split the text anew
-    found = F.expr(f"get(transform(one, w -> named_struct('n_words', cast(size(w) as bigint), 'hits', {hits})), 0)")
-    rows = docs.select("doc_id", "row", found.alias("f")).select("doc_id", "row", "f.n_words", F.explode_outer("f.hits").alias("hit"))
-    rows = rows.select("doc_id", "row", "n_words", F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len"), F.col("hit.window").alias("window"))
-    joined = rows.join(F.broadcast(windows) if held else windows, ["len", "window"], "left")
-    spot = F.when(F.col("items").isNotNull(), F.struct("pos", "len"))
-    each = joined.groupBy("doc_id", "row", "n_words").agg(F.collect_set(spot).alias("hits"), F.collect_set("items").alias("items"))
-    covered = F.aggregate(
-        F.array_sort("hits"),
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda s, x: F.struct(F.greatest(s["end"], x["pos"] + x["len"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["pos"] + x["len"] - F.greatest(s["end"], x["pos"]))).alias("n")),
-        lambda s: s["n"].cast("long"),
-    )
-    return each.select("doc_id", "n_words", covered.alias("n_hit"), F.array_distinct(F.flatten("items")).alias("items"), F.array_sort("hits").alias("hits"))
+    and no hits; benchmark rows without words are ignored, those without id hit but are no item, and an empty benchmark hits
+    nothing. Other columns are ignored."""
+    with Scratch(docs.sparkSession) as scratch:
+        windows = cut(benchmark_windows(benchmark, n), "windows")
+        lengths = {r.len: r.n for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # n rows at most
+        total = sum(lengths.values())
+        bits = min(MOST_BITS, max(10, (2 * BITS_A_KEY * total - 1).bit_length()))
+        docs = docs.select("doc_id", "text", *(c.alias(f"r{i}") for i, c in enumerate(row_key(), 1))).withColumn("row", F.monotonically_increasing_id())
+
+        each = []
+        for k in sorted(lengths):
+            has = lambda key: f"exists(array(pmod({key}, {1 << bits}L)), x -> (shiftrightunsigned(get(s.bits, cast(shiftright(x, 6) as int)), cast(x % 64 as int)) & 1L) = 1L)"
+            at = f"filter(if(size(s.h) >= {k}, sequence(0, size(s.h) - {k}), cast(array() as array<int>)), i -> {has(_ends('s.h', 'i', k))} AND {has(_all('s.h', 'i', k))})"
+            each.append(f"transform({at}, i -> named_struct('pos', i, 'len', {k}, 'window', array_join(slice(s.w, i + 1, {k}), ' ')))")
+        hits = f"concat({', '.join(each)})" if each else "cast(array() as array<struct<pos:int,len:int,window:string>>)"
+        # words, their hashes and the bits are bound once a row, as variables of lambdas; the optimizer puts these projections into one
+        docs = docs.withColumn("w", F.array(words(F.col("text"))))
+        table_of_bits = bit_table(windows, bits).scalar() if each else F.array().cast("array<bigint>")
+        docs = docs.withColumn("s", F.transform("w", lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))))
+        docs = docs.withColumn("s", F.arrays_zip("s", F.array(table_of_bits).alias("bits")))
+        found = F.expr(f"get(transform(s, z -> get(transform(array(named_struct('w', z.s.w, 'h', z.s.h, 'bits', z.bits)), s -> named_struct('n_words', cast(size(s.w) as bigint), 'hits', {hits})), 0)), 0)")
+        rows = docs.select("doc_id", "r1", "r2", "row", found.alias("f")).select("doc_id", "r1", "r2", "row", "f.n_words", F.explode_outer("f.hits").alias("hit"))
+        rows = rows.select("doc_id", "r1", "r2", "row", "n_words", F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len"), F.col("hit.window").alias("window"))
+        joined = rows.join(F.broadcast(windows) if total <= FEW_WINDOWS else windows, ["len", "window"], "left")
+        spot = F.when(F.col("items").isNotNull(), F.struct("pos", "len"))
+        of = joined.groupBy("doc_id", "r1", "r2", "row", "n_words").agg(F.collect_set(spot).alias("hits"), F.collect_set("items").alias("items"))
+        covered = F.aggregate(
+            F.array_sort("hits"),
+            F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+            lambda s, x: F.struct(F.greatest(s["end"], x["pos"] + x["len"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["pos"] + x["len"] - F.greatest(s["end"], x["pos"]))).alias("n")),
+            lambda s: s["n"].cast("long"),
+        )
+        return scratch.result(of.select("doc_id", "n_words", covered.alias("n_hit"), F.array_distinct(F.flatten("items")).alias("items"), F.array_sort("hits").alias("hits"), "r1", "r2"), "contamination")
 
 
 def is_contaminated() -> Column:
@@ -78,24 +102,28 @@ def is_contaminated() -> Column:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rule calls contaminated go."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: documents that the rule calls contaminated go; others that share their id stay."""
+    with Scratch(spark) as scratch:
+        bad = cut(contamination(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("r1", "r2").distinct(), "bad")
+        return scratch.result(without_rows(docs, bad), "clean")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """The other way to clean: hit words go, with the separators before them; all documents stay."""
-    hit = contamination(docs, benchmark, n).where("n_hit > 0").groupBy("doc_id").agg(F.first("hits").alias("_hits"))
+    names = [free_name(docs, c) for c in ("r1", "r2", "hits")]
+    hit = contamination(docs, benchmark, n).where("n_hit > 0").groupBy("r1", "r2").agg(F.first("hits").alias("hits"))  # equal texts have equal hits
+    hit = hit.select(*(F.col(c).alias(x) for c, x in zip(("r1", "r2", "hits"), names, strict=True)))
     word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[0-9A-Za-z\x{80}-\x{10FFFF}]+"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({word})"), F.lit(1))
-    kept = F.filter(pieces, lambda p, i: ~F.exists("_hits", lambda h: (i >= h["pos"]) & (i < h["pos"] + h["len"])))
+    kept = F.filter(pieces, lambda p, i: ~F.exists(names[2], lambda h: (i >= h["pos"]) & (i < h["pos"] + h["len"])))
     tail = F.regexp_extract(F.col("text"), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)$", 1)
-    return docs.join(hit, "doc_id", "left").withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))).select(docs.columns)
+    joined = docs.withColumns(dict(zip(names, row_key(), strict=False))).join(hit, names[:2], "left")
+    return joined.withColumn("text", F.when(F.col(names[2]).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 OP3_SQL = r"""

@@ -10,10 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from behavex.llm import ann, html_extract, line_dedup, packing, passages, quality, sharding, token_counts
+from behavex.llm import ann, decontaminate, html_extract, line_dedup, packing, passages, quality, sharding, token_counts
 from behavex.llm import components as components_module
 from behavex.llm.components import components
-from behavex.llm.decontaminate import contamination, is_contaminated, remove_spans
+from behavex.llm.decontaminate import contamination, drop_contaminated, is_contaminated, remove_spans
 from behavex.llm.jaccard_join import WIDE_FROM, Bands, _apart, _wide, jaccard_components, keep_one
 from behavex.llm.tokens import encoder, tokenizer_path
 
@@ -166,20 +166,59 @@ def test_components(spark, few, monkeypatch):
             assert got[u] == got[v] <= min(u, v)
 
 
-def test_contamination(spark):
+def test_contamination(spark, monkeypatch):
     item = " ".join(f"q{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item, "x"), (2, "short item", "x"), (3, None, "x"), (4, "", "x")], "item_id long, text string, doc_id string")
     texts = [None, "", "nothing here", "a " + item.upper() + " b", " ".join(item.split()[2:15]), "Short, ITEM!", " ".join(["pad"] * 600) + " " + item]
     got = {r.doc_id: r for r in contamination(frame(spark, texts), bench).withColumn("bad", is_contaminated()).collect()}
-    assert [(got[i].n_words, got[i].n_hit, sorted(got[i].items)) for i in range(7)] == [(0, 0, []), (0, 0, []), (2, 0, []), (22, 20, [1]), (13, 13, [1]), (2, 2, [2]), (620, 20, [1])]
+    assert [(got[i].n_words, got[i].n_hit, sorted(got[i]["items"])) for i in range(7)] == [(0, 0, []), (0, 0, []), (2, 0, []), (22, 20, ["1"]), (13, 13, ["1"]), (2, 2, ["2"]), (620, 20, ["1"])]
     assert [got[i].bad for i in range(7)] == [False, False, False, True, True, True, False]
     cleaned = {r.doc_id: r.text for r in remove_spans(frame(spark, texts), bench).collect()}
     assert cleaned[3] == "a b" and cleaned[0] is None and cleaned[2] == "nothing here"
     assert contamination(frame(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
-    again = contamination(frame(spark, texts), bench, most_windows=1)  # the joined way
-    assert sorted((r.doc_id, r.n_hit) for r in again.collect()) == sorted((i, got[i].n_hit) for i in got)
-
-
+    # rows that share an id, repeated rows and null ids are judged by their own text; a benchmark row without id hits as well
+    odd = bench.unionByName(spark.createDataFrame([(None, "nothing here", "y")], bench.schema))
+    rows = [(1, texts[3]), (1, "quite clean"), (1, texts[3]), (None, texts[3]), (None, "quite clean"), (9, texts[2])]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    found = sorted(((r.doc_id or 0, r.n_hit, len(r["items"])) for r in contamination(df, odd).collect()))
+    assert found == [(0, 0, 0), (0, 20, 1), (1, 0, 0), (1, 20, 1), (1, 20, 1), (9, 2, 0)]
+    monkeypatch.setattr(decontaminate, "table", lambda *_: bench)
+    left = drop_contaminated(spark, df, "")
+    assert sorted(((r.doc_id or 0, r.text) for r in left.collect())) == [(0, "quite clean"), (1, "quite clean"), (9, texts[2])] and left.columns == df.columns
+    assert sorted(r.text for r in remove_spans(df, bench).where("doc_id = 1").collect()) == ["a b", "a b", "quite clean"]
+
+
+@pytest.mark.parametrize("bits, few", [(27, 200_000), (10, 0)])
+def test_contamination_against_brute_force(spark, monkeypatch, bits, few):
+    """Also with a bit table that is far too small, which only costs time, and with windows that are not broadcast."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "FEW_WINDOWS", few)
+    r = random.Random(4)
+    some = lambda n: [r.choice(["a", "B", "c", "é", "d7"]) for _ in range(n)]
+    items = [some(r.choice([1, 2, 5, 12, 13, 14, 30])) for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        w = some(r.randint(0, 40))
+        item = r.choice(items)
+        a = r.randrange(len(item))
+        texts.append(r.choice([" ", ", ", "--"]).join(w + item[a : a + r.randint(1, 30)]))
+    low = [[x.lower() if x.isascii() else x for x in i] for i in items]
+    windows: dict = {}
+    for n, w in enumerate(low):
+        k = min(13, len(w))
+        for a in range(len(w) - k + 1):
+            windows.setdefault(tuple(w[a : a + k]), set()).add(str(n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit, set(x["items"])) for x in contamination(frame(spark, texts), bench).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        hit, found = set(), set()
+        for k in {len(x) for x in windows}:
+            for a in range(len(w) - k + 1):
+                if tuple(w[a : a + k]) in windows:
+                    hit.update(range(a, a + k))
+                    found |= windows[tuple(w[a : a + k])]
+        assert got[i] == (len(w), len(hit), found)
 
 
 def test_line_dedup(spark):
