@@ -1,13 +1,9 @@
-"""Scalar functions as Column expressions, all within code generation but for the large-value
-fallback of half_up."""
+"""Scalar functions as Column expressions of built-in functions."""
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def is_empty(c: Column) -> Column:
@@ -106,18 +102,39 @@ def unsalted(c: Column) -> Column:
     return F.regexp_replace(c, "^[0-9]+_", "")
 
 
-@F.udf(DoubleType())
-def _half_up_any(x):
-    return None if x is None or x != x or x in (float("inf"), float("-inf")) else float(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+def today() -> Column:
+    """Today's date as yyyy-MM-dd, in the session's time zone."""
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+def yesterday() -> Column:
+    return F.date_format(F.date_sub(F.current_date(), 1), "yyyy-MM-dd")
+
+
+def parse_day(c: Column) -> Column:
+    """Text yyyy-MM-dd as a date; null where it can't be read."""
+    return F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
+
+
+#: From each of these sizes on a double is a multiple of 2^-shift, so that size * 2^shift is exact and fits a long up to the next size.
+_STEPS = [(0, 60), (3, 49), (13, 39), (22, 30), (31, 21), (40, 12), (49, 3)]
 
 
 def half_up(x: Column, any_size: bool = False) -> Column:
-    """Two decimals, half up on the double's exact binary value.
-
-    0 <= x < 8 is exact in integer arithmetic (x * 2^60 fits a long). With any_size larger and
-    negative values are rounded too, by a Python function that only they reach."""
-    scaled = (x * F.lit(float(1 << 60))).cast("bigint").cast("decimal(38,0)")
-    half, one = F.lit(1 << 59).cast("decimal(38,0)"), F.lit(1 << 60).cast("decimal(38,0)")
-    exact = F.call_function("div", scaled * 100 + half, one).cast("double") / 100
-    small = F.when((x >= 0) & (x < 8), exact)
-    return F.coalesce(small, _half_up_any(F.when((x < 0) | (x >= 8), x))) if any_size else small
+    """Two decimals, half up on the double's exact binary value, in integer arithmetic.
+
+    Without any_size, 0 <= x < 8 only (rates), null else. With it any value, negative ones away from zero like positive ones;
+    from 2^53 on doubles are whole. NaN and infinities give null."""
+    size = F.abs(x)
+
+    def exact(shift: int) -> Column:
+        scaled = (size * F.lit(float(1 << shift))).cast("bigint").cast("decimal(38,0)")
+        half, one = F.lit(1 << shift - 1).cast("decimal(38,0)"), F.lit(1 << shift).cast("decimal(38,0)")
+        return F.call_function("div", scaled * 100 + half, one).cast("double") / 100
+
+    if not any_size:
+        return F.when((x >= 0) & (x < 8), exact(60))
+    out = F.when(F.isnan(x) | (size == float("inf")), F.lit(None).cast("double")).when(size >= float(1 << 53), size)
+    for power, shift in reversed(_STEPS):
+        out = out.when(size >= float(1 << power if power else 0), exact(shift))
+    return F.when(x < 0, -out).otherwise(out)

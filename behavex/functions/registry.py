@@ -2,54 +2,24 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
-
-
-@pandas_udf(StringType())
-def json_top_field(document: pd.Series, name: pd.Series) -> pd.Series:
-    def one(d, n):
-        try:
-            v = json.loads(d)[n]
-        except (TypeError, ValueError, KeyError, IndexError):
-            return None
-        return None if v is None else v if isinstance(v, str) else json.dumps(v)
-
-    return pd.Series([one(d, n) for d, n in zip(document, name, strict=True)])
-
-
-@pandas_udf(StringType())
-def concat_long_string(a: pd.Series, b: pd.Series, separator: pd.Series) -> pd.Series:
-    text = a.map(lambda x: "null" if pd.isna(x) else str(int(x)))
-    return text + separator + b.fillna("null")
-
-
-@pandas_udf(StringType())
-def random_prefix(value: pd.Series, n: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return pd.Series(np.random.randint(0, n.to_numpy()).astype(str)) + "_" + value
-
-
-@pandas_udf(StringType())
-def remove_random_prefix(value: pd.Series) -> pd.Series:
-    return value.str.replace(r"^[0-9]+_", "", regex=True)
-
 
-@pandas_udf(StringType())
-def group_concat_distinct(values: pd.Series) -> str:
-    return ",".join(sorted(set(values.dropna())))
+#: SQL functions, which the optimizer sees through. A SQL function cannot be an aggregate: group_concat_distinct takes what
+#: collect_set(x) gives, which has partial sums; get_json_object keeps its built-in meaning, and json_top_field takes a bare name.
+_SQL = {
+    "json_top_field(document STRING, name STRING)": "get_json_object(document, concat('$.', name))",
+    "concat_long_string(a BIGINT, b STRING, separator STRING)": "concat(coalesce(cast(a AS STRING), 'null'), separator, coalesce(b, 'null'))",
+    "random_prefix(value STRING, n INT)": "concat(cast(floor(rand() * n) AS STRING), '_', value)",
+    "remove_random_prefix(value STRING)": "regexp_replace(value, '^[0-9]+_', '')",
+    "group_concat_distinct(collected ARRAY<STRING>)": "nullif(array_join(array_sort(array_distinct(collected)), ','), '')",
+}
 
 
 def register(spark: SparkSession) -> None:
-    """Registers the functions. get_json_object keeps its built-in meaning; json_top_field takes a bare name."""
-    for f in (json_top_field, concat_long_string, random_prefix.asNondeterministic(), remove_random_prefix, group_concat_distinct):
-        spark.udf.register(getattr(f, "__name__", "f"), f)
+    """Registers the functions as temporary ones."""
+    for head, body in _SQL.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS STRING RETURN {body}")
 
 
 def concat_distinct(c) -> F.Column:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behavex.functions import columns as C
+from behavex.functions import registry
 from behavex.functions.registry import concat_distinct
 from behavex.operators import ads, categories, funnel, products, sessions
 from behavex.params import TaskParams
 from behavex.sources import readers, sinks
+from behavex.sources.files import shared_folder
 from behavex.streaming import ad_stream
 
 TASK = '{"startdate":["2024-01-05"],"enddate":["2024-01-25"],"startage":["20"],"endage":["50"],"professional":["BUILDING,MACHINERY,AUTOMOBILE"],"keywords":["kw1,kw2,kw3,kw4,kw5"]}'
+#: Every filter at once.
+TASK_ALL = '{"startdate":["2024-01-05"],"enddate":["2024-01-25"],"startage":["18"],"endage":["60"],"professional":["BUILDING,MACHINERY,AUTOMOBILE,FURNITURE"],"city":["FRANCE,GERMANY,CHINA,PERU,KENYA,JAPAN,EGYPT,INDIA"],"sex":["male"],"keywords":["kw1,kw2,kw3,kw4,kw5,kw6,kw7"],"categoryIds":["1,2,3,5,8,13,21,34,55,89,7,17,27,37,47,57,67,77,87,97,4,14,24,44,54,64,74,84,94"]}'
 FLOW = [1, 2, 3, 4, 5]
 LEVELS = {"AFRICA": "A级", "AMERICA": "A级", "ASIA": "B级", "EUROPE": "C级"}
 LEAST_CLICKS = 2
@@ -111,8 +114,7 @@ def _salted_join(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="behavex-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _jdbc(s: SparkSession, d: str) -> DataFrame:
@@ -137,28 +139,46 @@ def _merge(kind: str):
     return run
 
 
+#: The stream's micro-batches: every day's clicks are spread over all three, so that each key crosses batches.
+PARTS = ("hour(ts) < 8", "hour(ts) BETWEEN 8 AND 15", "hour(ts) > 15")
+
+
 def _stream(kind: str):
-    """The streaming job over the clicks as three files in time order, run to their end."""
+    """The streaming job over the clicks as three files, run to their end."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
         path = _scratch(s, f"stream-{kind}")
         clicks = readers.ad_clicks(s, d)
-        for i, part in enumerate(("dayofmonth(ts) <= 10", "dayofmonth(ts) between 11 and 20", "dayofmonth(ts) > 20")):
+        for i, part in enumerate(PARTS):
             clicks.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in/part={i}")
         source = s.readStream.schema(ad_stream.CLICK_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
-        if kind == "trend":
+        tables = ad_stream.AdTables(s, path)
+        if kind == "state":
+            ad_stream.running_stat(s, source, path, lateness="40 days", every=None).awaitTermination()
+            return tables.stat.read()
+        if kind == "window":
             ad_stream.click_trend(s, source, path, lateness="40 days", every=None).awaitTermination()
-            return sinks.VersionedTable(s, f"{path}/trend", ad_stream.TREND).read()
-        if kind == "blacklist":
-            ad_stream.blacklist(s, source, path, least=LEAST_CLICKS, every=None).awaitTermination()
-            return sinks.VersionedTable(s, f"{path}/blacklist", "user_id bigint").read()
-        ad_stream.running_stat(s, source, path, lateness="40 days", every=None).awaitTermination()
-        schema = ad_stream.STAT if kind == "stat" else ad_stream.TOP
-        return sinks.VersionedTable(s, f"{path}/{kind}", schema).read()
+            return tables.trend.read()
+        ad_stream.ad_job(s, source, path, least=LEAST_CLICKS, every=None).awaitTermination()
+        return getattr(tables, kind).read()
 
     return run
 
 
+def _relative_days(s: SparkSession, d: str) -> DataFrame:
+    today, yesterday = C.parse_day(C.today()), C.parse_day(C.yesterday())
+    return cities(s, d).select("city_id", F.date_diff(today, yesterday).alias("apart"), (today == F.current_date()).alias("current"))
+
+
+def _sql_functions(s: SparkSession, d: str) -> DataFrame:
+    """The registered functions, from SQL text."""
+    registry.register(s)
+    cities(s, d).createOrReplaceTempView("function_cities")
+    return s.sql("""SELECT area, group_concat_distinct(collect_set(concat_long_string(city_id + 9007199254740993, city_name, ':'))) AS city_infos, min(json_top_field(concat('{"id": ', city_id, '}'), 'id')) AS least,
+        max(remove_random_prefix(salted)) AS last, bool_and(salted RLIKE '^[0-9]_') AS prefixed
+        FROM (SELECT *, random_prefix(city_name, 10) AS salted FROM function_cities) GROUP BY area""")
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return sessions.ratios(sessions.histogram(_squeezed(_chosen(s, d))))
 
@@ -203,14 +223,21 @@ QUERIES = {
     "stream_ad_stat": _stream("stat"),
     "stream_ad_province_top3": _stream("top"),
     "stream_ad_click_trend": _stream("trend"),
-    "stream_ad_blacklist": _stream("blacklist"),
+    "stream_ad_blacklist": _stream("listed"),
+    "stream_ad_user_daily": _stream("daily"),
+    "stream_running_stat": _stream("state"),
+    "stream_windowed_trend": _stream("window"),
+    "relative_days": _relative_days,
+    "sql_functions": _sql_functions,
+    "session_filter_all": lambda s, d: sessions.matching(_aggregate(s, d), TaskParams.parse(TASK_ALL)),
     "jdbc_roundtrip": _jdbc,
     "upsert_add": _merge("add"),
     "upsert_replace": _merge("replace"),
     "replace_by_key": _merge("groups"),
 }
 
-_P = TaskParams.parse(TASK)
+_P, _A = TaskParams.parse(TASK), TaskParams.parse(TASK_ALL)
+_DAY = "strftime(ts, '%Y-%m-%d') AS date, user_id, ad_id, count(*) AS click_count"
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 #: Common table expressions by name, each with the names it stands on.
@@ -246,6 +273,16 @@ _CTE: dict[str, tuple[list[str], str]] = {
     "ad": (["cities"], "SELECT ts, area AS province, city_name AS city, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS ad_id FROM events JOIN cities ON city_id = user_id % 25 WHERE event_type = 'click'"),
     "daily": (["ad"], "SELECT strftime(ts, '%Y-%m-%d') AS date, user_id, ad_id, count(*) AS click_count FROM ad GROUP BY ALL"),
     "listed": (["daily"], f"SELECT DISTINCT user_id FROM daily WHERE click_count >= {LEAST_CLICKS}"),
+    # batch by batch: who is listed, and what passes
+    "d0": (["ad"], f"SELECT {_DAY} FROM ad WHERE {PARTS[0]} GROUP BY ALL"),
+    "l0": (["d0"], f"SELECT DISTINCT user_id FROM d0 WHERE click_count >= {LEAST_CLICKS}"),
+    "g1": (["ad", "l0"], f"SELECT * FROM ad WHERE {PARTS[1]} AND user_id NOT IN (SELECT user_id FROM l0)"),
+    "d1": (["d0", "g1"], f"SELECT date, user_id, ad_id, CAST(sum(click_count) AS BIGINT) AS click_count FROM (SELECT * FROM d0 UNION ALL SELECT {_DAY} FROM g1 GROUP BY ALL) GROUP BY ALL"),
+    "l1": (["d1", "l0"], f"SELECT user_id FROM l0 UNION SELECT user_id FROM d1 WHERE click_count >= {LEAST_CLICKS}"),
+    "g2": (["ad", "l1"], f"SELECT * FROM ad WHERE {PARTS[2]} AND user_id NOT IN (SELECT user_id FROM l1)"),
+    "d2": (["d1", "g2"], f"SELECT date, user_id, ad_id, CAST(sum(click_count) AS BIGINT) AS click_count FROM (SELECT * FROM d1 UNION ALL SELECT {_DAY} FROM g2 GROUP BY ALL) GROUP BY ALL"),
+    "l2": (["d2", "l1"], f"SELECT user_id FROM l1 UNION SELECT user_id FROM d2 WHERE click_count >= {LEAST_CLICKS}"),
+    "passed": (["ad", "g1", "g2"], f"SELECT * FROM ad WHERE {PARTS[0]} UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2"),
     "good": (["ad", "listed"], "SELECT * FROM ad WHERE user_id NOT IN (SELECT user_id FROM listed)"),
 }
 _HALF = "CAST((CAST(x * 1152921504606846976::DOUBLE AS BIGINT)::HUGEINT * 100 + 576460752303423488::HUGEINT) // 1152921504606846976::HUGEINT AS DOUBLE) / 100"
@@ -313,11 +350,17 @@ ORACLE = {
     "ad_stat_running": _sql(_STAT.format(t="good"), "good"),
     "ad_province_top3": _sql(_TOP.format(t="good"), "good"),
     "ad_click_trend": _sql(_TREND, "ad"),
-    "stream_ad_stat": _sql(_STAT.format(t="ad"), "ad"),
-    "stream_ad_province_top3": _sql(_TOP.format(t="ad"), "ad"),
+    "stream_ad_stat": _sql(_STAT.format(t="passed"), "passed"),
+    "stream_ad_province_top3": _sql(_TOP.format(t="passed"), "passed"),
     "stream_ad_click_trend": _sql(_TREND, "ad"),
-    # a key's day lies within one batch, so that the list is who reaches the threshold while not yet listed: everyone who ever does
-    "stream_ad_blacklist": _sql("SELECT * FROM listed", "listed"),
+    "stream_ad_blacklist": _sql("SELECT * FROM l2", "l2"),
+    "stream_ad_user_daily": _sql("SELECT * FROM d2", "d2"),
+    "stream_running_stat": _sql(_STAT.format(t="ad"), "ad"),
+    "stream_windowed_trend": _sql(_TREND, "ad"),
+    "relative_days": "SELECT CAST(n_nationkey AS BIGINT) AS city_id, 1 AS apart, true AS current FROM nation",
+    "sql_functions": _sql("""SELECT area, string_agg(DISTINCT CAST(city_id + 9007199254740993 AS VARCHAR) || ':' || city_name, ',' ORDER BY CAST(city_id + 9007199254740993 AS VARCHAR) || ':' || city_name) AS city_infos, min(CAST(city_id AS VARCHAR)) AS least, max(city_name) AS last, true AS prefixed FROM cities GROUP BY area""", "cities"),
+    "session_filter_all": _sql(f"""SELECT * FROM agg WHERE age BETWEEN {_A.startage} AND {_A.endage} AND list_contains({_list(_A.professional)}, professional) AND list_contains({_list(_A.city)}, city) AND sex = '{_A.sex}'
+        AND coalesce(list_has_any(string_split(search_keywords, ','), {_list(_A.keywords)}), false) AND coalesce(list_has_any(string_split(click_category_ids, ','), {_list(_A.categoryIds)}), false)""", "agg"),
     "jdbc_roundtrip": _sql("SELECT city_id AS city_id, city_name, area FROM cities", "cities"),
     "upsert_add": _sql("SELECT date, user_id, ad_id, CAST(sum(n) AS BIGINT) AS click_count FROM (SELECT strftime(ts, '%Y-%m-%d') AS date, user_id, ad_id, (day(ts) <= 15)::INT + (day(ts) > 10)::INT AS n FROM ad) GROUP BY date, user_id, ad_id", "ad"),
     "upsert_replace": _sql("SELECT * FROM n UNION ALL SELECT * FROM o WHERE (date, province, city, ad_id) NOT IN (SELECT (date, province, city, ad_id) FROM n)", "ad").replace(" SELECT * FROM n UNION", f", o AS ({_STAT.format(t=_OLD)}), n AS ({_STAT.format(t=_NEW)}) SELECT * FROM n UNION", 1),

@@ -3,6 +3,8 @@ table; a batch id makes each of them idempotent under replay."""
 
 from __future__ import annotations
 
+import datetime
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +70,47 @@ class VersionedTable:
             self._markers.delete(f"v{v}")
             table.delete(old)
         return done
+
+
+class DatedTable:
+    """A Parquet table in versions, in parts by its column `date` (text as yyyy-MM-dd): a batch writes the dates that it touches, and
+    its marker file says where each date's rows are, so that a batch costs what it touches and not the table. Dates before
+    the `days` last ones leave the newer versions if days is given. Replays and readers are as with VersionedTable."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 2, days: int | None = None):
+        self.spark, self.path, self.schema, self.keep, self.days = spark, path.rstrip("/"), schema, keep, days
+        self._markers, self._folder = Folder(spark, f"{self.path}/versions"), Folder(spark, self.path)
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self._markers.names())
+
+    def _parts(self, before: int | None) -> dict[str, str]:
+        have = [v for v in self._versions() if before is None or v < before]
+        return json.loads(self._markers.read(f"v{have[-1]}")) if have else {}
+
+    def read(self, before: int | None = None, dates: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{p}" for d, p in self._parts(before).items() if dates is None or d in dates]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def publish(self, df: DataFrame, batch: int, dates: list[str]) -> bool:
+        """Makes df all rows of these dates, from this batch's version on; False if the batch was there."""
+        if batch in self._versions():
+            return False
+        folder, old = f"rows-{uuid.uuid4().hex}", self._parts(batch)
+        df.where(F.col("date").isin(dates)).withColumn("part", F.col("date")).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        now = old | {d: f"{folder}/part={d}" for d in dates if f"part={d}" in self._folder.names(folder)}
+        if self.days is not None and now:
+            last = max(datetime.date.fromisoformat(d) for d in now)
+            now = {d: p for d, p in now.items() if (last - datetime.date.fromisoformat(d)).days < self.days}
+        done = self._markers.create_once(f"v{batch}", json.dumps(now))
+        if not done:
+            self._folder.delete(folder)
+        gone, kept = self._versions()[: -self.keep], self._versions()[-self.keep :]
+        used = {p for v in kept for p in json.loads(self._markers.read(f"v{v}")).values()}
+        for v in gone:
+            for p in set(json.loads(self._markers.read(f"v{v}")).values()) - used:
+                self._folder.delete(p)
+            self._markers.delete(f"v{v}")
+        return done

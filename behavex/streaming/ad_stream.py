@@ -1,5 +1,5 @@
 """The ad job over streams. Each query has its checkpoint; sinks are versioned by batch id, so that a
-replayed micro-batch changes nothing."""
+replayed micro-batch changes nothing, and a batch rewrites no more than the dates that it touches."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from behavex.operators import ads
-from behavex.sources.sinks import VersionedTable, merge_add, merge_replace, replace_groups
+from behavex.sources.sinks import DatedTable, VersionedTable, merge_add, merge_replace, replace_groups
 
 CLICK_SCHEMA = "ts timestamp, province string, city string, user_id bigint, ad_id bigint"
 STAT = "date string, province string, city string, ad_id bigint, click_count bigint"
@@ -22,33 +22,60 @@ def _start(df: DataFrame, path: str, mode: str, each, every: str | None) -> Stre
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def blacklist(spark: SparkSession, clicks: DataFrame, path: str, least: int = 100, every: str | None = "5 seconds") -> StreamingQuery:
-    """Daily user counts and the blacklist they feed: a listed user's clicks stop counting with the next batch."""
-    daily, listed = VersionedTable(spark, f"{path}/daily", DAILY), VersionedTable(spark, f"{path}/blacklist", "user_id bigint")
+class AdTables:
+    """The job's tables below a folder."""
 
-    def each(batch: DataFrame, n: int) -> None:
-        was = listed.read(before=n)
-        counts = merge_add(daily.read(before=n), ads.user_daily(ads.allowed(batch, was)), ["date", "user_id", "ad_id"], "click_count")
-        daily.publish(counts, n)
-        bad = ads.offenders(daily.read(before=n + 1), least).join(was, "user_id", "left_anti")
-        listed.publish(was.unionByName(bad), n)
+    def __init__(self, spark: SparkSession, path: str, days: int | None = None):
+        self.daily = DatedTable(spark, f"{path}/daily", DAILY, days=days)
+        self.stat = DatedTable(spark, f"{path}/stat", STAT, days=days)
+        self.top = DatedTable(spark, f"{path}/top", TOP, days=days)
+        self.trend = DatedTable(spark, f"{path}/trend", TREND, days=days)
+        self.listed = VersionedTable(spark, f"{path}/blacklist", "user_id bigint")
+
+
+def _add(table: DatedTable, new: DataFrame, keys: list[str], batch: int, dates: list[str]) -> None:
+    table.publish(merge_add(table.read(before=batch, dates=dates), new, keys, "click_count"), batch, dates)
 
-    return _start(clicks, f"{path}/blacklist_query", "append", each, every)
+
+def ad_job(spark: SparkSession, clicks: DataFrame, path: str, least: int = 100, every: str | None = "5 seconds", days: int | None = None) -> StreamingQuery:
+    """The whole job as one stream. Clicks of users who are listed when a micro-batch begins are dropped; the rest feeds the
+    users' daily counts, these the blacklist (which holds from the next batch on), and the running counts by day,
+    province, city and ad, these each day's and province's top ads. The trend by minute counts all clicks, listed users' too.
+    Every table is the sum of what its batches added, so that nothing is late. Tables forget dates after `days`."""
+    t = AdTables(spark, path, days)
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        try:
+            dates = [r.d for r in batch.select(F.date_format("ts", "yyyy-MM-dd").alias("d")).distinct().collect()]  # the few days of one batch
+            was = t.listed.read(before=n)
+            good = ads.allowed(batch, was)
+            _add(t.daily, ads.user_daily(good), ["date", "user_id", "ad_id"], n, dates)
+            bad = ads.offenders(t.daily.read(before=n + 1, dates=dates), least).join(was, "user_id", "left_anti")
+            t.listed.publish(was.unionByName(bad), n)
+            _add(t.stat, ads.stat(good), ["date", "province", "city", "ad_id"], n, dates)
+            t.top.publish(ads.province_top(t.stat.read(before=n + 1, dates=dates)), n, dates)
+            _add(t.trend, ads.trend(batch), ["date", "hour", "minute", "ad_id"], n, dates)
+        finally:
+            batch.unpersist()
+
+    return _start(clicks, f"{path}/ad_job", "append", each, every)
 
 
 def running_stat(spark: SparkSession, clicks: DataFrame, path: str, lateness: str = "2 days", every: str | None = "5 seconds") -> StreamingQuery:
     """Running counts by day, province, city and ad (upsert-replace) and from them each day's and province's
     top ads (replaced by group). State older than the watermark goes; the tables keep it."""
-    stat, top = VersionedTable(spark, f"{path}/stat", STAT), VersionedTable(spark, f"{path}/top", TOP)
+    tables = AdTables(spark, path)
     day = F.window("ts", "1 day")
     counted = clicks.withWatermark("ts", lateness).groupBy(day, "province", "city", "ad_id").agg(F.count("*").alias("click_count"))
     counted = counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "province", "city", "ad_id", "click_count")
 
     def each(batch: DataFrame, n: int) -> None:
-        stat.publish(merge_replace(stat.read(before=n), batch, ["date", "province", "city", "ad_id"]), n)
-        now = stat.read(before=n + 1)
+        dates = [r.date for r in batch.select("date").distinct().collect()]  # the days of one batch
+        tables.stat.publish(merge_replace(tables.stat.read(before=n, dates=dates), batch, ["date", "province", "city", "ad_id"]), n, dates)
+        now = tables.stat.read(before=n + 1, dates=dates)
         touched = now.join(batch.select("date", "province").distinct(), ["date", "province"], "left_semi")
-        top.publish(replace_groups(top.read(before=n), ads.province_top(touched), ["date", "province"]), n)
+        tables.top.publish(replace_groups(tables.top.read(before=n, dates=dates), ads.province_top(touched), ["date", "province"]), n, dates)
 
     return _start(counted, f"{path}/stat_query", "update", each, every)
 
@@ -56,12 +83,13 @@ def running_stat(spark: SparkSession, clicks: DataFrame, path: str, lateness: st
 def click_trend(spark: SparkSession, clicks: DataFrame, path: str, lateness: str = "60 minutes", every: str | None = "10 seconds") -> StreamingQuery:
     """Clicks of each ad by minute over all clicks (listed users too), upsert-replace. An event counts in its own
     minute while it is no later than the watermark allows."""
-    table = VersionedTable(spark, f"{path}/trend", TREND)
+    table = AdTables(spark, path).trend
     counted = clicks.withWatermark("ts", lateness).groupBy(F.window("ts", "1 minute"), "ad_id").agg(F.count("*").alias("click_count"))
     by = [F.date_format("window.start", f).alias(n) for n, f in (("date", "yyyy-MM-dd"), ("hour", "HH"), ("minute", "mm"))]
     counted = counted.select(*by, "ad_id", "click_count")
 
     def each(batch: DataFrame, n: int) -> None:
-        table.publish(merge_replace(table.read(before=n), batch, ["date", "hour", "minute", "ad_id"]), n)
+        dates = [r.date for r in batch.select("date").distinct().collect()]
+        table.publish(merge_replace(table.read(before=n, dates=dates), batch, ["date", "hour", "minute", "ad_id"]), n, dates)
 
     return _start(counted, f"{path}/trend_query", "update", each, every)
