@@ -31,7 +31,7 @@ def jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, int, i
 
 def task_param(spark: SparkSession, url: str, task_id: int, **options: str) -> str:
     """A task's JSON by its key; the filter runs in the database."""
-    row = spark.read.format("jdbc").options(url=url, query=f"select task_param from task where task_id = {int(task_id)}", **options).load().first()
+    row = jdbc(spark, url, "task", **options).where(F.col("task_id") == int(task_id)).select("task_param").first()
     if row is None or row[0] is None:
         raise LookupError(f"no task {task_id}")
     return row[0]
@@ -69,11 +69,23 @@ def mock_users(spark: SparkSession, users: int = 100) -> DataFrame:
     return spark.range(users).select(F.col("id").alias("user_id"), F.concat(F.lit("user"), n).alias("username"), F.concat(F.lit("name"), n).alias("name"), F.pmod("id", F.lit(60)).cast("int").alias("age"), F.concat(F.lit("professional"), n).alias("professional"), F.concat(F.lit("city"), F.pmod("id", F.lit(10)).cast("string")).alias("city"), F.when(F.col("id") % 2 == 0, "male").otherwise("female").alias("sex"))
 
 
+def mock_products(spark: SparkSession, products: int = 100) -> DataFrame:
+    """Products of which some are a shop's own (product_status 0) and some others' (1), by hash."""
+    n, status = F.col("id").cast("string"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("string")
+    return spark.range(products).select(F.col("id").alias("product_id"), F.concat(F.lit("product"), n).alias("product_name"), F.concat(F.lit('{"product_status": '), status, F.lit("}")).alias("extend_info"))
+
+
+#: Cities of each province in the synthetic ad log.
+AD_CITIES = {"province0": ["city00", "city01"], "province1": ["city10", "city11"], "province2": ["city20", "city21"], "province3": ["city30", "city31"], "province4": ["city40", "city41"]}
+
+
 def ad_log_lines(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:
     """A stream of synthetic ad log lines `epoch_ms province city user ad`, for trials without a broker."""
     rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
     pick = lambda n, salt: F.pmod(F.xxhash64("value", F.lit(salt)), F.lit(n)).cast("string")
-    return rate.select(F.concat_ws(" ", F.unix_millis("timestamp").cast("string"), F.concat(F.lit("province"), pick(5, 1)), F.concat(F.lit("city"), pick(2, 2)), pick(1000, 3), pick(10, 4)).alias("value"))
+    places = F.array(*(F.concat_ws(" ", F.lit(p), F.lit(c)) for p, cs in AD_CITIES.items() for c in cs))
+    place = F.get(places, F.pmod(F.xxhash64("value", F.lit(1)), F.size(places)).cast("int"))
+    return rate.select(F.concat_ws(" ", F.unix_millis("timestamp").cast("string"), place, pick(1000, 3), pick(10, 4)).alias("value"))
 
 
 def kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:

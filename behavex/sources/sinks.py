@@ -100,7 +100,8 @@ class DatedTable:
             return False
         folder, old = f"rows-{uuid.uuid4().hex}", self._parts(batch)
         df.where(F.col("date").isin(dates)).withColumn("part", F.col("date")).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
-        now = old | {d: f"{folder}/part={d}" for d in dates if f"part={d}" in self._folder.names(folder)}
+        parts = self._folder.names(folder)
+        now = {d: p for d, p in old.items() if d not in dates} | {d: f"{folder}/part={d}" for d in dates if f"part={d}" in parts}
         if self.days is not None and now:
             last = max(datetime.date.fromisoformat(d) for d in now)
             now = {d: p for d, p in now.items() if (last - datetime.date.fromisoformat(d)).days < self.days}

@@ -1,3 +1,4 @@
+import datetime
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -6,8 +7,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from behavex.functions import columns as C
+from behavex.functions import registry
 from behavex.operators import ads, categories, funnel, products, sessions
-from behavex.params import TaskParams
+from behavex.params import Settings, TaskParams, task_arguments
+from behavex.plans import run
 from behavex.sources import readers, sinks
 
 
@@ -131,6 +134,14 @@ def test_half_up_is_exact(spark, pairs):
         assert y == float(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
 
 
+def test_half_up_of_every_size(spark):
+    big = [(sign * (2.0**p + d),) for p in range(-3, 56) for d in (0.0, 0.005, 0.125, 0.375, 0.994999, 1 / 3) for sign in (1, -1)]
+    df = spark.createDataFrame([*big, (0.0,), (float("nan"),), (float("inf"),), (None,)], "x double")
+    for x, y, small in df.select("x", C.half_up(F.col("x"), any_size=True), C.half_up(F.col("x"))).collect():
+        want = None if x is None or x != x or abs(x) == float("inf") else float(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+        assert y == want and small == (want if want is not None and 0 <= x < 8 else None)
+
+
 def test_record_functions(spark):
     df = spark.createDataFrame([("a=1|b=|c=x=y|a=2",)], "r string")
     r = df.select(C.field_of(F.col("r"), "a"), C.field_of(F.col("r"), "b"), C.field_of(F.col("r"), "c"), C.with_field(F.col("r"), "b", "9")).first()
@@ -140,3 +151,79 @@ def test_record_functions(spark):
 def test_mock_data_is_seeded(spark):
     a = readers.mock_actions(spark, 20)
     assert a.count() == readers.mock_actions(spark, 20).count() and a.columns == [x.split()[0] for x in readers.ACTION_SCHEMA.split(", ")]
+
+
+def test_mock_products_and_ad_log(spark):
+    assert {r.extend_info for r in readers.mock_products(spark, 50).collect()} == {'{"product_status": 0}', '{"product_status": 1}'}
+    assert readers.ad_log_lines(spark).isStreaming and len({c for cs in readers.AD_CITIES.values() for c in cs}) == 10
+
+
+def test_settings(tmp_path):
+    (tmp_path / "s.properties").write_text("# comment\n! another\na = 1\nb=x=y\nflag=TRUE\nbad=one\nempty=\n")
+    got = Settings.load(str(tmp_path / "s.properties"))
+    assert (got.text("a"), got.text("b"), got.text("none"), got.text("empty")) == ("1", "x=y", None, "")
+    assert (got.integer("a"), got.integer("bad"), got.integer("none")) == (1, 0, 0)
+    assert (got.flag("flag"), got.flag("a"), got.flag("none")) == (True, False, False)
+
+
+def test_task_arguments():
+    assert task_arguments(["7"]) == 7 and task_arguments([], 3) == 3
+    with pytest.raises(ValueError):
+        task_arguments([])
+
+
+def test_today(spark):
+    before = datetime.datetime.now(datetime.UTC).date()
+    day, last = spark.range(1).select(C.today(), C.yesterday()).first()
+    assert day in {str(before), str(before + datetime.timedelta(1))} and str(datetime.date.fromisoformat(day) - datetime.timedelta(1)) == last
+
+
+def test_registered_functions(spark):
+    registry.register(spark)
+    long = spark.sql("SELECT concat_long_string(a, b, ':') AS c, json_top_field('{\"x\": {\"y\": 1}}', 'x') AS j, json_top_field('{bad', 'x') AS n FROM VALUES (9007199254740993L, 'v'), (NULL, NULL) AS t(a, b)")
+    assert rows(long) == [("9007199254740993:v", '{"y":1}', None), ("null:null", '{"y":1}', None)]
+    one = spark.sql("SELECT random_prefix('a_b', 5) AS p, remove_random_prefix('3_4_x') AS r, group_concat_distinct(array('b', 'a', 'b', NULL)) AS g, group_concat_distinct(array()) AS e").first()
+    assert one.p[0] in "01234" and one.p[1:] == "_a_b" and (one.r, one.g, one.e) == ("4_x", "a,b", None)
+
+
+def test_job_command_line(spark, tmp_path):
+    """A task looked up in the database, its job run over Parquet tables, results with its id in the database and in a folder."""
+    url, driver = f"jdbc:derby:memory:{tmp_path.name};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    tasks = spark.createDataFrame([(4, '{"targetpageflow":["1,2,3"]}'), (5, None)], "task_id long, task_param string")
+    sinks.to_jdbc(tasks.coalesce(1), url, "task", driver=driver)
+    assert readers.task_param(spark, url, 4, driver=driver) == '{"targetpageflow":["1,2,3"]}'
+    for missing in (5, 6):
+        with pytest.raises(LookupError):
+            readers.task_param(spark, url, missing, driver=driver)
+    data = f"{tmp_path}/data"
+    a = actions(spark, [(1, "s", p, f"2024-01-01 10:00:0{i}", "kw", 1, "1,2", None) for i, p in enumerate([1, 2, 1, 2, 3])])
+    a.write.parquet(f"{data}/user_visit_action.parquet")
+    spark.createDataFrame(USERS, readers.USER_SCHEMA).write.parquet(f"{data}/user_info.parquet")
+    spark.createDataFrame([(1, "a", "华东")], "city_id long, city_name string, area string").write.parquet(f"{data}/city_info.parquet")
+    readers.mock_products(spark).write.parquet(f"{data}/product_info.parquet")
+    settings = tmp_path / "job.properties"
+    settings.write_text(f"jdbc.url={url}\njdbc.driver={driver}\ndata.path={data}\ntask.page=4\n")
+    run.main(["page", "--settings", str(settings)])
+    got = readers.jdbc(spark, url, "page_convert_rate", driver=driver)
+    assert rows(got) == [(4, "1_2=1.0|2_3=0.5")]
+    settings.write_text(settings.read_text() + f"output.path={tmp_path}/out\n")
+    run.main(["area", "9", "--settings", str(settings), "--params", "{}"])
+    assert {r.task_id for r in spark.read.parquet(f"{tmp_path}/out/area_top3_product").collect()} == {9}
+    found = run.run(spark, "session", 8, Settings.load(str(settings)), "{}")
+    assert set(found) == {"session_aggr_stat", "session_random_extract", "session_detail", "top10_category", "top10_category_session", "top10_session_detail"}
+    assert all(spark.read.parquet(f"{tmp_path}/out/{n}").columns[0] == "task_id" for n in found) and found["session_aggr_stat"].first().session_count == 1
+
+
+def test_dated_table(spark, tmp_path):
+    """A batch writes the dates that it touches; old versions and forgotten dates go, replays change nothing."""
+    t = sinks.DatedTable(spark, str(tmp_path / "t"), "date string, n long", days=3)
+    make = lambda *x: spark.createDataFrame(list(x), "date string, n long")
+    assert t.publish(make(("2024-01-01", 1), ("2024-01-02", 2)), 0, ["2024-01-01", "2024-01-02"])
+    assert t.publish(make(("2024-01-02", 5), ("2024-01-03", 3)), 1, ["2024-01-02", "2024-01-03"])
+    assert not t.publish(make(("2024-01-02", 9)), 1, ["2024-01-02"])
+    assert rows(t.read()) == [("2024-01-01", 1), ("2024-01-02", 5), ("2024-01-03", 3)]
+    assert rows(t.read(before=1)) == [("2024-01-01", 1), ("2024-01-02", 2)] and rows(t.read(dates=["2024-01-03"])) == [("2024-01-03", 3)]
+    assert t.publish(make(("2024-01-04", 4)), 2, ["2024-01-04"]) and t.publish(make(), 3, ["2024-01-02"])
+    assert rows(t.read()) == [("2024-01-03", 3), ("2024-01-04", 4)] and t._versions() == [2, 3]
+    files = [p for p in (tmp_path / "t").glob("rows-*/part=*")]
+    assert len(files) == 3  # of the two versions kept: the second batch's two dates, and the third's
