@@ -204,12 +204,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, most_rows: int = 1_000_0
     return spread.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], "left").drop(salt)
 
 
-def lookup_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+def lookup_counted(left: DataFrame, right: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
     """Inner join with a right side of unique keys that also says how many rows of left each key has. Keys of more than a
     100,000th of all of them (so 100,000 at most) are broadcast; none of those that are shuffled is large for a task."""
     most = (right.agg(F.sum(n)).first()[0] or 0) // 100_000
     hot = right.where(F.col(n) > max(most, 10_000))
-    rare = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= max(most, 10_000)), key)
+    rare = left.join(F.broadcast(hot.select(*[key] if isinstance(key, str) else key)), key, "left_anti").join(right.where(F.col(n) <= max(most, 10_000)), key)
     return left.join(F.broadcast(hot), key).unionByName(rare)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavex.llm.common import Scratch, cut, free_name, table
+from behavex.llm.common import Scratch, cut, free_name, lookup_counted, table
 
 K, WINDOW = 2, 2
 #: A run of more words counts however few its lines are.
@@ -56,8 +56,8 @@ def _long_runs(least: int) -> str:
 
 def _later(runs: DataFrame, key: list[str]) -> DataFrame:
     """Of runs(k1, k2, p, n, key) those that are not their key's first."""
-    first = runs.groupBy(*key).agg(F.min(F.struct("k1", "k2", "p")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return runs.join(first, key).where("struct(k1, k2, p) > f").select("k1", "k2", "p", "n")
+    first = runs.groupBy(*key).agg(F.min(F.struct("k1", "k2", "p")).alias("f"), F.count("*").alias("m")).where("m > 1")
+    return lookup_counted(runs, cut(first, "first"), key, "m").where("struct(k1, k2, p) > f").select("k1", "k2", "p", "n")
 
 
 def repeated_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -69,8 +69,8 @@ def repeated_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     d = cut(d.select("k1", "k2", F.col("l.i").alias("places"), F.col("l.h").alias("hs"), F.col("l.w").alias("ws")).dropDuplicates(["k1", "k2"]), "lines")
 
     marks = cut(d.select("k1", "k2", F.explode(F.expr(_fingerprints(k, window))).alias("m")).select("k1", "k2", "m.*"), "marks")
-    first = marks.groupBy("g").agg(F.min(F.struct("k1", "k2", "q", "before", "behind")).alias("f"), F.count("*").alias("m")).where("m > 1").select("g", "f")
-    met = marks.join(first, "g").where("struct(k1, k2, q) > struct(f.k1, f.k2, f.q)")
+    first = marks.groupBy("g").agg(F.min(F.struct("k1", "k2", "q", "before", "behind")).alias("f"), F.count("*").alias("m")).where("m > 1")
+    met = lookup_counted(marks, cut(first, "first"), "g", "m").where("struct(k1, k2, q) > struct(f.k1, f.k2, f.q)")
     met = met.withColumns({"up": F.expr(_alike("before", "f.before", window - 1)), "down": F.expr(_alike("behind", "f.behind", window - 1))})
     met = cut(met.select("k1", "k2", "q", "g", "windows", "up", "down"), "met")
     matched = met.where(f"up + down + {k} >= {t}").select("k1", "k2", (F.col("q") - F.col("up")).alias("p"), (F.col("up") + F.col("down") + k).alias("n"))
@@ -99,7 +99,7 @@ def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
         gone = scratch.result(repeated_lines(docs, k, window).toDF(k1, k2, dead), "gone")
     keyed = docs.withColumn(k1, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(k2, F.xxhash64("text"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(dead, i)), "\n")
-    out = keyed.join(gone, [k1, k2], "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
+    out = keyed.join(gone.hint("merge"), [k1, k2], "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size(dead), F.lit(0)).cast("long"))
     return out.withColumn("text", F.when(F.col(dead).isNotNull(), kept).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
