@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from behavex.llm.common import cut, discard
+from behavex.llm.common import cut, discard, lookup_counted
 
 
 #: A step's minima are broadcast for so many links at most; beyond, each is repeated for so many salts.
@@ -63,8 +63,9 @@ def connect(kept: DataFrame, verify: Callable[[DataFrame], DataFrame], rows: Dat
     keys whose members are still in different components, pairs across components meet. verify
     keeps the pairs (x, y) that link. rows(doc, ...) has what the test near(left, right) needs, which
     may only reject pairs that cannot link; it runs inside the joins."""
-    heads = kept.groupBy("key", "salt").agg(F.min("doc").alias("head")).groupBy("key").agg(F.collect_list("head").alias("heads"))  # one for each salt
-    mine = kept.select("key", "doc").join(heads, "key").groupBy("doc").agg(F.collect_set("heads").alias("h"))
+    heads = kept.groupBy("key", "salt").agg(F.min("doc").alias("head"), F.count("*").alias("c"))  # one for each salt
+    heads = cut(heads.groupBy("key").agg(F.collect_list("head").alias("heads"), F.sum("c").alias("n")), "heads")
+    mine = lookup_counted(kept.select("key", "doc"), heads, "key").groupBy("doc").agg(F.collect_set("heads").alias("h"))
     first = mine.select("doc", F.explode(F.array_distinct(F.flatten("h"))).alias("head")).where("doc <> head")
     first = cut(first.select(F.greatest("doc", "head").alias("x"), F.least("doc", "head").alias("y")).distinct(), "first")
     close = first
