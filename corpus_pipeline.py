@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from behavex.llm.common import cut, table
+from behavex.llm.common import Scratch, discard, table
 from behavex.llm.decontaminate import drop_contaminated
 from behavex.llm.jaccard_join import keep_one
 from behavex.llm.line_dedup import without_repeats
@@ -21,12 +21,16 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Trained models, tokenizers and component search have no SQL form; tests hold stages against brute force.
+#: Trained models, tokenizers and component search have no SQL form; a test holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with Scratch(spark) as scratch:
+            docs, old = scratch.result(stage(spark, docs, sf_dir), name), before
+        if old is not None:
+            discard(old)
+        before = docs
     return docs

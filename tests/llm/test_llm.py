@@ -330,6 +330,8 @@ def test_packing(spark):
     assert sum(p.length for p in got) == sum(map(len, ids))
     assert len(by_sequence) <= 1.1 * -(-sum(map(len, ids)) // 256) + 1
     assert packing.pack(frame(spark, []), path).count() == 0
+    odd = packing.pack(frame(spark, ["a b", "a b", "a b", None], [None, 5, 5, 5]), path).collect()  # null and shared ids, repeated rows
+    assert sorted((p.doc_id or 0, p.length) for p in odd) == [(0, 3), (5, 1), (5, 3), (5, 3)] and sorted(p.offset for p in odd)[0] == 0 and {p.sequence_id for p in odd} == {odd[0].sequence_id}
 
 
 def brute_nearest(rows, k=20, every=20):
@@ -663,9 +665,37 @@ def test_passages_with_close_borders(spark):
     assert found == set(range(12))
 
 
+def brute_contaminated(text, items):
+    """The contract's rule, over windows of 13 words."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit = split(text), set()
+    windows = {tuple(x[a : a + min(13, len(x))]) for x in map(split, items) for a in range(max(1, len(x) - 12)) if x}
+    for n in {len(x) for x in windows}:
+        for a in range(len(w) - n + 1):
+            if tuple(w[a : a + n]) in windows:
+                hit.update(range(a, a + n))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
 def test_pipeline(spark):
+    """The stages' decisions on a whole small table, by brute force from what the classifier accepts."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    accepted = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))).where("accepted").select("doc_id")
+    rows = sorted((r.doc_id, r.text) for r in docs.join(accepted, "doc_id", "left_semi").collect())
+    ids, texts = [i for i, _ in rows], brute_lines([t for _, t in rows], 3, 50)
+    left = [(i, t) for i, t, (_, was) in zip(ids, texts, rows, strict=True) if t == was or t.strip(" ")]
+    left = [x for n, (x, (_, root)) in enumerate(zip(left, brute_components([t for _, t in left]), strict=True)) if root == n]
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    left = [(i, t) for i, t in left if not brute_contaminated(t, items)]
+
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in out} == {i for i, _ in left}
+    slow, size, used = encoder(tokenizer_path("byte_bpe_50k.json")).slow, {}, {}
+    for r in out:
+        size[r.doc_id] = size.get(r.doc_id, 0) + r.length
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert size == {i: len(slow.encode(t, add_special_tokens=False).ids) + 1 for i, t in left} and max(used.values()) <= 1024
