@@ -109,8 +109,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rule calls contaminated go; others that share their id stay."""
     with Scratch(spark) as scratch:
-        bad = cut(contamination(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("r1", "r2").distinct(), "bad")
-        return scratch.result(without_rows(docs, bad), "clean")
+        bad = scratch.result(contamination(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("r1", "r2").distinct(), "bad")
+    return without_rows(docs, bad)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:

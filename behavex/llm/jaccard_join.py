@@ -311,12 +311,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         many = found.groupBy("class").agg(F.count("*").alias("m"), F.min(key).alias("k")).where("m > 1")
         best = cut(many.select("class", F.col("k.r1").alias("b1"), F.col("k.r2").alias("b2")), "best")
         member = cut(lookup(found, best, "class").where("b1 is not null"), "member")
-        gone = cut(member.where("r1 <> b1 or r2 <> b2").select("r1", "r2").distinct(), "gone")
-        again = cut(member.where("r1 = b1 and r2 = b2").groupBy("r1", "r2").agg(F.count("*").alias("m")).where("m > 1").select("r1", "r2"), "again")
-        kept = without_rows(docs, gone)
-        if not again.isEmpty():  # rows that repeat the one that stays
-            names = [free_name(docs, "r1"), free_name(docs, "r2")]
-            keyed = kept.withColumns(dict(zip(names, row_key(), strict=True)))
-            other = again.select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]))
-            kept = semi(keyed, other, names, how="left_anti").unionByName(semi(keyed, other, names).dropDuplicates(names))
-        return scratch.result(kept.select(*(F.col(f"`{c}`") for c in docs.columns)), "kept")
+        gone = scratch.result(member.where("r1 <> b1 or r2 <> b2").select("r1", "r2").distinct(), "gone")
+        again = scratch.result(member.where("r1 = b1 and r2 = b2").groupBy("r1", "r2").agg(F.count("*").alias("m")).where("m > 1").select("r1", "r2"), "again")
+    kept = without_rows(docs, gone)
+    if again.isEmpty():
+        return kept
+    names = [free_name(docs, "r1"), free_name(docs, "r2")]  # of rows that repeat the one that stays, one stays
+    keyed = kept.withColumns(dict(zip(names, row_key(), strict=True)))
+    again = again.select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]))
+    kept = semi(keyed, again, names, how="left_anti").unionByName(semi(keyed, again, names).dropDuplicates(names))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
