@@ -64,8 +64,9 @@ def repeated_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     """docs(doc_id, text) -> (k1, k2, gone): the numbers of the lines to delete, of documents that have any.
     k1 is doc_id (null: the largest long), k2 the text's hash. To be called within a Scratch."""
     lines, t = F.split("text", "\n"), k + window - 1
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k1"), F.xxhash64("text").alias("k2"), F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.rtrim(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"), (F.trim(x) != "").alias("full"))).alias("l"))
-    d = d.withColumn("l", F.filter("l", lambda x: x["full"])).where(F.size("l") > 0)
+    line = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.rtrim(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"), (F.trim(x) != "").alias("full")))
+    d = docs.where(F.col("text").rlike("[^ \n]"))  # not by the lines, which the optimizer would make once more for it
+    d = d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k1"), F.xxhash64("text").alias("k2"), F.filter(line, lambda x: x["full"]).alias("l"))
     d = cut(d.select("k1", "k2", F.col("l.i").alias("places"), F.col("l.h").alias("hs"), F.col("l.w").alias("ws")).dropDuplicates(["k1", "k2"]), "lines")
 
     marks = cut(d.select("k1", "k2", F.explode(F.expr(_fingerprints(k, window))).alias("m")).select("k1", "k2", "m.*"), "marks")
