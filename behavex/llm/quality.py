@@ -345,7 +345,9 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            good = [x for out in inner(iter([pa.RecordBatch.from_struct_array(rb.column(rest))])) for x in out.column("accepted").to_pylist()]
+            row = pa.RecordBatch.from_struct_array(rb.column(rest)).append_column("text", rb.column("text"))
+            good = [x for out in inner(iter([row])) for x in out.column("accepted").to_pylist()]
             yield rb.select(columns).filter(pa.array(good, type=pa.bool_()))
 
-    return docs.select("*", F.struct(*_row()).alias(rest)).mapInArrow(run, docs.schema)
+    doc_id, _, *more = _row()
+    return docs.select("*", F.struct(doc_id, *more).alias(rest)).mapInArrow(run, docs.schema)
