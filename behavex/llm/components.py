@@ -84,4 +84,6 @@ def connect(kept: DataFrame, verify: Callable[[DataFrame], DataFrame], rows: Dat
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") > F.col("b.doc")) & (F.col("a.c") != F.col("b.c"))
     rest = a.join(b, on & near("a", "b") if near else on).select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y"))
     rest = cut(rest.distinct().join(first, ["x", "y"], "left_anti"), "rest")
-    return linked.unionByName(cut(verify(rest), "more")).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    if not rest.isEmpty():
+        linked = linked.unionByName(cut(verify(rest), "more"))
+    return linked.select(F.col("x").alias("u"), F.col("y").alias("v"))
