@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 from functools import reduce
 
 import numpy as np
@@ -40,37 +41,39 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables that an operator writes on its way; they go when it is done, or when it fails."""
-
-    open: list[Scratch] = []
+    """Tables that an operator writes on its way; they go when it is done, or when it fails. Each thread has its own, so that
+    operators may run side by side in one session."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self._outer, self._token = spark, [], None, None
 
     def __enter__(self) -> Scratch:
-        Scratch.open.append(self)
+        self._outer = _scratch.get()
+        self._token = _scratch.set(self)
         return self
 
     def __exit__(self, *_) -> None:
-        Scratch.open.remove(self)
+        _scratch.reset(self._token)
         for path in self.paths:
             remove(self.spark, path)
 
     def result(self, df: DataFrame, name: str = "result") -> DataFrame:
         """Writes the operator's result, which outlives the scratch tables (an enclosing operator's Scratch has it in turn)."""
         path = new_path(self.spark, name)
-        outer = Scratch.open[: Scratch.open.index(self)]
-        if outer:
-            outer[-1].paths.append(path)
+        if self._outer:
+            self._outer.paths.append(path)
         return _stored(df, path)
 
 
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes a frame to the shared folder and reads it again: lineage ends there, the frame
     is computed once, and a lost executor costs a read."""
     path = new_path(df.sparkSession, name)
-    if Scratch.open:
-        Scratch.open[-1].paths.append(path)
+    if inner := _scratch.get():
+        inner.paths.append(path)
     return _stored(df, path)
 
 
