@@ -5,7 +5,7 @@ beginnings of single words (their first 4, 6, 8 and 10 bytes), so that word form
 what is broadcast for scoring is the few thousand that are not.
 
 Training takes at most `LABELLED` labelled rows, those with the smallest hash of doc_id. Their features are written once, dealt to a fixed
-number of shards; in each epoch the shards train side by side from the common state, which then becomes the mean over the shards that
+number of shards and in the order of their hashes; in each epoch, a pass over that table without a shuffle, the shards train side by side from the common state, which then becomes the mean over the shards that
 touched a coordinate. The result depends neither on the number of executors nor on the order of rows. Scoring is one pass over whole texts
 without a shuffle.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavex.llm.common import LOWER, Scratch, blocks, cut, mix, span_hashes, table, word_spans
+from behavex.llm.common import LOWER, Scratch, blocks, mix, new_path, span_hashes, table, word_spans
 
 #: Bound of the training sample; how many shards train at a time.
 LABELLED, SHARDS, EPOCHS = 12_000, 4, 4
@@ -118,20 +118,33 @@ def _with_coordinates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _epoch(z: bytes, n: bytes, size: int):
-    """One shard's rows, in the order of their hashes, from the common state -> the coordinates it touched with their state."""
+    """Each shard's rows in their order, from the common state -> (shard, rows, the coordinates it touched, their state)."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        model = Ftrl(size)
-        model.z[:], model.n[:] = np.frombuffer(z, dtype=np.float32), np.frombuffer(n, dtype=np.float32)
-        touched = np.zeros(size + 1, dtype=bool)
-        touched[size] = True
-        rows = rows.sort_by([("place", "ascending"), ("doc_id", "ascending")])
-        for x, y in zip(rows["x"].to_pylist(), rows["toxic"].to_pylist(), strict=True):
-            at = np.frombuffer(x, dtype=np.int32)
-            touched[at] = True
-            model.learn(at, int(y > 0))
-        at = np.flatnonzero(touched).astype(np.int32)
-        return pa.table({"at": pa.array([at.tobytes()], pa.binary()), "z": pa.array([model.z[at].tobytes()], pa.binary()), "n": pa.array([model.n[at].tobytes()], pa.binary())})
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows, last, model, touched = None, 0, None, None, None
+
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(touched).astype(np.int32)
+            parts = (pa.array([x.tobytes()], pa.binary()) for x in (at, model.z[at], model.n[at]))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([rows], pa.int64()), *parts], names=["shard", "rows", "at", "z", "n"])
+
+        for rb in it:
+            for s, place, x, y in zip(*(rb.column(c).to_pylist() for c in ("shard", "place", "x", "toxic")), strict=True):
+                if s != shard:
+                    if shard is not None:
+                        yield done()
+                    model, touched = Ftrl(size), np.zeros(size + 1, dtype=bool)
+                    model.z[:], model.n[:] = np.frombuffer(z, dtype=np.float32), np.frombuffer(n, dtype=np.float32)
+                    touched[size] = True
+                    shard, rows, last = s, 0, place
+                if place < last:
+                    raise ValueError("a shard's rows are out of order")
+                at = np.frombuffer(x, dtype=np.int32)
+                touched[at] = True
+                model.learn(at, int(y > 0))
+                rows, last = rows + 1, place
+        if shard is not None:
+            yield done()
 
     return run
 
@@ -141,21 +154,29 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED, epoch
 
     What reaches the driver is the shards' states, at most 12 bytes a coordinate and shard."""
     size = 1 << BITS
-    with Scratch(docs.sparkSession):
-        rows = cut(_sample(docs, labels, most_labelled).repartition(4 * SHARDS, "doc_id").mapInArrow(_with_coordinates, "doc_id long, toxic int, x binary"), "features")
+    with Scratch(docs.sparkSession) as scratch:
+        place = F.xxhash64("doc_id")
+        sample = _sample(docs, labels, most_labelled).repartition(4 * SHARDS, "doc_id").mapInArrow(_with_coordinates, "doc_id long, toxic int, x binary")
+        dealt = sample.select(F.pmod(place, F.lit(SHARDS)).alias("shard"), place.alias("place"), "doc_id", "toxic", "x").repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "doc_id")
+        path = new_path(docs.sparkSession, "features")
+        scratch.paths.append(path)
+        dealt.write.option("parquet.block.size", 1 << 30).parquet(path)  # a shard is one row group, which one task reads from first to last
+        rows = docs.sparkSession.read.schema(dealt.schema).parquet(path)
         classes = rows.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("long"))).first()
         if not classes[0] or classes[1] in (0, classes[0]):
             return float(classes[1] or 0) / max(1, classes[0])
-        order = F.xxhash64("doc_id")
-        dealt = rows.withColumn("place", order).withColumn("shard", F.pmod(order, F.lit(SHARDS)))
         model = Ftrl(size)
         for _ in range(epochs):
-            total, seen = np.zeros((2, size + 1)), np.zeros(size + 1)
-            for r in dealt.groupBy("shard").applyInArrow(_epoch(model.z.tobytes(), model.n.tobytes(), size), "at binary, z binary, n binary").toLocalIterator():
+            total, seen, shards = np.zeros((2, size + 1)), np.zeros(size + 1), {}
+            epoch = rows.select("shard", "place", "x", "toxic").mapInArrow(_epoch(model.z.tobytes(), model.n.tobytes(), size), "shard long, rows long, at binary, z binary, n binary")
+            for r in epoch.toLocalIterator():
                 at = np.frombuffer(r.at, dtype=np.int32)
                 total[0, at] += np.frombuffer(r.z, dtype=np.float32)
                 total[1, at] += np.frombuffer(r.n, dtype=np.float32)
                 seen[at] += 1
+                shards[r.shard] = shards.get(r.shard, 0) + 1
+            if set(shards.values()) != {1}:
+                raise RuntimeError("a shard was read in several pieces")
             now = seen > 0
             model.z[now], model.n[now] = (total[:, now] / seen[now]).astype(np.float32)
     w = model.weights()
