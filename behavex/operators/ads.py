@@ -8,11 +8,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """`epoch_ms province city user ad` lines; what can't be read is left out."""
+def parsed(lines: DataFrame) -> DataFrame:
+    """`epoch_ms province city user ad` lines, with their other columns: the fields, and what is wrong with a line (null: nothing)."""
     p = F.split(F.col("value"), " ")
-    out = lines.select(F.timestamp_millis(F.get(p, F.lit(0)).try_cast("bigint")).alias("ts"), F.get(p, F.lit(1)).alias("province"), F.get(p, F.lit(2)).alias("city"), F.get(p, F.lit(3)).try_cast("bigint").alias("user_id"), F.get(p, F.lit(4)).try_cast("bigint").alias("ad_id"))
-    return out.where("ts is not null and user_id is not null and ad_id is not null")
+    number = lambda i: F.get(p, F.lit(i)).try_cast("bigint")
+    ms, user, ad = number(0), number(3), number(4)
+    problem = F.when(F.col("value").isNull() | (F.size(p) < 5), "fields").when(ms.isNull(), "time").when(user.isNull(), "user").when(ad.isNull(), "ad")
+    return lines.select("*", F.timestamp_millis(ms).alias("ts"), F.get(p, F.lit(1)).alias("province"), F.get(p, F.lit(2)).alias("city"), user.alias("user_id"), ad.alias("ad_id"), problem.alias("problem"))
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """The clicks of the lines that can be read."""
+    return parsed(lines).where("problem is null").select("ts", "province", "city", "user_id", "ad_id")
 
 
 def allowed(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:

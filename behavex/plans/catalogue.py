@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from behavex.functions import columns as C
@@ -12,7 +13,7 @@ from behavex.functions import registry
 from behavex.functions.registry import concat_distinct
 from behavex.operators import ads, categories, funnel, products, sessions
 from behavex.params import TaskParams
-from behavex.sources import readers, sinks
+from behavex.sources import click_log, readers, sinks
 from behavex.sources.files import shared_folder
 from behavex.streaming import ad_stream
 
@@ -143,31 +144,81 @@ def _merge(kind: str):
 PARTS = ("hour(ts) < 8", "hour(ts) BETWEEN 8 AND 15", "hour(ts) > 15")
 
 
+def _click_files(s: SparkSession, d: str, path: str) -> DataFrame:
+    """The clicks as a stream of three files."""
+    clicks = readers.ad_clicks(s, d)
+    for i, part in enumerate(PARTS):
+        clicks.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in/part={i}")
+    return s.readStream.schema(ad_stream.CLICK_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+
+
 def _stream(kind: str):
     """The streaming job over the clicks as three files, run to their end."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
         path = _scratch(s, f"stream-{kind}")
-        clicks = readers.ad_clicks(s, d)
-        for i, part in enumerate(PARTS):
-            clicks.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in/part={i}")
-        source = s.readStream.schema(ad_stream.CLICK_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
-        tables = ad_stream.AdTables(s, path)
+        source = _click_files(s, d, path)
+        tables = ad_stream.ParquetResults(s, path, ad_stat="replace" if kind == "state" else "add", ad_click_trend="replace" if kind == "window" else "add")
         if kind == "state":
             ad_stream.running_stat(s, source, path, lateness="40 days", every=None).awaitTermination()
-            return tables.stat.read()
+            return tables.read("ad_stat")
         if kind == "window":
             ad_stream.click_trend(s, source, path, lateness="40 days", every=None).awaitTermination()
-            return tables.trend.read()
-        ad_stream.ad_job(s, source, path, least=LEAST_CLICKS, every=None).awaitTermination()
-        return getattr(tables, kind).read()
+            return tables.read("ad_click_trend")
+        ad_stream.ad_job(s, source, path, least=LEAST_CLICKS, every=None, lateness="40 days").awaitTermination()
+        return tables.read(kind)
+
+    return run
+
+
+#: When the lines of each part arrive in the log: all clicks of a part at one moment, the moments more than an hour apart from first to last.
+ARRIVALS = (1_704_000_005_000, 1_704_002_405_000, 1_704_004_805_000)
+
+
+def _log_lines(s: SparkSession, d: str, part: str) -> DataFrame:
+    """A part's clicks as raw lines; each error event is a line that can't be read."""
+    word = lambda c: F.translate(c, " ", "_")
+    good = readers.ad_clicks(s, d).where(part).select(F.concat_ws(" ", F.unix_millis("ts").cast("string"), word("province"), word("city"), F.col("user_id").cast("string"), F.col("ad_id").cast("string")).alias("value"))
+    bad = readers.parquet(s, d, "events").where("event_type = 'error'").where(part).select(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("broken "), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("now asia japan u1 "), F.col("event_id").cast("string"))).alias("value"))
+    return good.unionByName(bad)
+
+
+def _lines(kind: str, name: str):
+    """The job over the raw-line log: lines are appended three times, and each time the job goes on from its checkpoint to the log's end."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = _scratch(s, f"lines-{kind}")
+        click_log.register(s)
+        results = ad_stream.ParquetResults(s, path, **({"ad_click_trend": "replace"} if kind == "trend" else {}))
+        for i, part in enumerate(PARTS):
+            click_log.append(_log_lines(s, d, part), f"{path}/log", ARRIVALS[i], partitions=2)
+            lines = s.readStream.format("click_log").load(f"{path}/log")
+            for q in ad_stream.ad_log_job(s, lines, path, LEAST_CLICKS, every=False, lateness="40 days", results=results, trend_results=results, parts=(kind,)):
+                q.awaitTermination()
+        return results.read(name) if kind != "unreadable" else s.read.parquet(f"{path}/unreadable").select("value", "problem", "arrived")
+
+    return run
+
+
+def _database(name: str):
+    """The streaming job with its results in a database (in the driver's memory here): each batch is staged and merged in a transaction."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = _scratch(s, f"database-{name}")
+        database = sinks.Database(s, f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
+        results = ad_stream.DatabaseResults(database)
+        ad_stream.ad_job(s, _click_files(s, d, path), path, least=LEAST_CLICKS, every=None, lateness="40 days", results=results).awaitTermination()
+        return results.read(name)
 
     return run
 
 
 def _relative_days(s: SparkSession, d: str) -> DataFrame:
-    today, yesterday = C.parse_day(C.today()), C.parse_day(C.yesterday())
-    return cities(s, d).select("city_id", F.date_diff(today, yesterday).alias("apart"), (today == F.current_date()).alias("current"))
+    """The events of the last days, as of the day after the last event."""
+    e = readers.parquet(s, d, "events").select("event_id", F.to_date("ts").alias("day"))
+    now = F.date_add(F.max("day").over(W.partitionBy()), 1)
+    apart = F.date_diff(C.parse_day(C.today()), C.parse_day(C.yesterday()))
+    return e.withColumn("ago", F.date_diff(now, "day")).withColumn("yesterday", F.col("ago") == apart).where("ago <= 7")
 
 
 def _sql_functions(s: SparkSession, d: str) -> DataFrame:
@@ -220,13 +271,20 @@ QUERIES = {
     "ad_stat_running": lambda s, d: ads.stat(_good(s, d)),
     "ad_province_top3": lambda s, d: ads.province_top(ads.stat(_good(s, d))),
     "ad_click_trend": lambda s, d: ads.trend(readers.ad_clicks(s, d)),
-    "stream_ad_stat": _stream("stat"),
-    "stream_ad_province_top3": _stream("top"),
-    "stream_ad_click_trend": _stream("trend"),
-    "stream_ad_blacklist": _stream("listed"),
-    "stream_ad_user_daily": _stream("daily"),
+    "stream_ad_stat": _stream("ad_stat"),
+    "stream_ad_province_top3": _stream("ad_province_top3"),
+    "stream_ad_click_trend": _stream("ad_click_trend"),
+    "stream_ad_blacklist": _stream("ad_blacklist"),
+    "stream_ad_user_daily": _stream("ad_user_click_count"),
     "stream_running_stat": _stream("state"),
     "stream_windowed_trend": _stream("window"),
+    "lines_ad_stat": _lines("ad", "ad_stat"),
+    "lines_ad_blacklist": _lines("ad", "ad_blacklist"),
+    "lines_hour_trend": _lines("trend", "ad_click_trend"),
+    "lines_unreadable": _lines("unreadable", ""),
+    "database_ad_stat": _database("ad_stat"),
+    "database_ad_province_top3": _database("ad_province_top3"),
+    "database_ad_user_daily": _database("ad_user_click_count"),
     "relative_days": _relative_days,
     "sql_functions": _sql_functions,
     "session_filter_all": lambda s, d: sessions.matching(_aggregate(s, d), TaskParams.parse(TASK_ALL)),
@@ -288,7 +346,8 @@ _CTE: dict[str, tuple[list[str], str]] = {
 _HALF = "CAST((CAST(x * 1152921504606846976::DOUBLE AS BIGINT)::HUGEINT * 100 + 576460752303423488::HUGEINT) // 1152921504606846976::HUGEINT AS DOUBLE) / 100"
 _STAT = "SELECT strftime(ts, '%Y-%m-%d') AS date, province, city, ad_id, count(*) AS click_count FROM {t} GROUP BY ALL"
 _TOP = "SELECT date, province, ad_id, click_count FROM (SELECT *, row_number() OVER (PARTITION BY date, province ORDER BY click_count DESC, ad_id) AS r FROM (SELECT strftime(ts, '%Y-%m-%d') AS date, province, ad_id, count(*) AS click_count FROM {t} GROUP BY ALL)) WHERE r <= 3"
-_TREND = "SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count FROM ad GROUP BY ALL"
+_TREND_OF = "SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count FROM {t} GROUP BY ALL"
+_TREND = _TREND_OF.format(t="ad")
 _OLD, _NEW = "(SELECT * FROM ad WHERE day(ts) <= 15)", "(SELECT * FROM ad WHERE day(ts) > 10 AND hour(ts) < 12)"
 
 
@@ -357,7 +416,15 @@ ORACLE = {
     "stream_ad_user_daily": _sql("SELECT * FROM d2", "d2"),
     "stream_running_stat": _sql(_STAT.format(t="ad"), "ad"),
     "stream_windowed_trend": _sql(_TREND, "ad"),
-    "relative_days": "SELECT CAST(n_nationkey AS BIGINT) AS city_id, 1 AS apart, true AS current FROM nation",
+    "lines_ad_stat": _sql(f"SELECT date, replace(province, ' ', '_') AS province, replace(city, ' ', '_') AS city, ad_id, click_count FROM ({_STAT.format(t='passed')})", "passed"),
+    "lines_ad_blacklist": _sql("SELECT * FROM l2", "l2"),
+    "lines_hour_trend": _sql(f"{_TREND_OF.format(t=f'ad WHERE NOT ({PARTS[0]})')}", "ad"),
+    "lines_unreadable": f"""SELECT CASE WHEN event_id % 2 = 0 THEN 'broken ' || event_id ELSE 'now asia japan u1 ' || event_id END AS value, CASE WHEN event_id % 2 = 0 THEN 'fields' ELSE 'time' END AS problem,
+        make_timestamp(CASE WHEN {PARTS[0]} THEN {ARRIVALS[0]} WHEN {PARTS[1]} THEN {ARRIVALS[1]} ELSE {ARRIVALS[2]} END * 1000) AS arrived FROM events WHERE event_type = 'error'""",
+    "database_ad_stat": _sql(_STAT.format(t="passed"), "passed"),
+    "database_ad_province_top3": _sql(_TOP.format(t="passed"), "passed"),
+    "database_ad_user_daily": _sql("SELECT * FROM d2", "d2"),
+    "relative_days": """SELECT event_id, day, ago, ago = 1 AS yesterday FROM (SELECT event_id, CAST(ts AS DATE) AS day, CAST(date_diff('day', CAST(ts AS DATE), CAST(max(ts) OVER () AS DATE) + 1) AS INTEGER) AS ago FROM events) WHERE ago <= 7""",
     "sql_functions": _sql("""SELECT area, string_agg(DISTINCT CAST(city_id + 9007199254740993 AS VARCHAR) || ':' || city_name, ',' ORDER BY CAST(city_id + 9007199254740993 AS VARCHAR) || ':' || city_name) AS city_infos, min(CAST(city_id AS VARCHAR)) AS least, max(city_name) AS last, true AS prefixed FROM cities GROUP BY area""", "cities"),
     "session_filter_all": _sql(f"""SELECT * FROM agg WHERE age BETWEEN {_A.startage} AND {_A.endage} AND list_contains({_list(_A.professional)}, professional) AND list_contains({_list(_A.city)}, city) AND sex = '{_A.sex}'
         AND coalesce(list_has_any(string_split(search_keywords, ','), {_list(_A.keywords)}), false) AND coalesce(list_has_any(string_split(click_category_ids, ','), {_list(_A.categoryIds)}), false)""", "agg"),

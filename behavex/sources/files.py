@@ -70,5 +70,9 @@ class Folder:
             self._fs.delete(tmp, False)
         return done
 
+    def move(self, name: str, to: str) -> None:
+        if self._fs.exists(self._at(to)) or not self._fs.rename(self._at(name), self._at(to)):
+            raise FileExistsError(f"{self.path}/{to}")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)

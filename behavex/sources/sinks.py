@@ -8,6 +8,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from behavex.sources.files import Folder
@@ -115,3 +116,161 @@ class DatedTable:
                 self._folder.delete(p)
             self._markers.delete(f"v{v}")
         return done
+
+
+class ChangeTable:
+    """A Parquet table that is the sum of its batches' changes: a batch writes its own rows only, and its marker file says which folders the
+    table is made of. how = "sum" adds the values of equal keys; "latest" lets the newest batch that has a key stand for it, with all
+    its rows, and a value of 0 takes the key away. After `fold` batches the changes are folded into one folder. Replays and readers are as with VersionedTable."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], how: str = "sum", value: str | None = "click_count", fold: int = 64, keep: int = 2):
+        self.spark, self.path, self.schema, self.keys, self.how, self.value, self.fold, self.keep = spark, path.rstrip("/"), schema, keys, how, value, fold, keep
+        self._markers, self._folder = Folder(spark, f"{self.path}/versions"), Folder(spark, self.path)
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self._markers.names())
+
+    def _folders(self, version: int) -> list[str]:
+        return json.loads(self._markers.read(f"v{version}"))
+
+    def _merged(self, folders: list[str]) -> DataFrame:
+        parts = [f"{self.path}/{f}" for f in folders]
+        rows = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(*parts) if parts else self.spark.createDataFrame([], f"{self.schema}, batch bigint")
+        if self.how == "sum":
+            rows = rows.groupBy(*self.keys).agg(F.sum(self.value).alias(self.value), F.max("batch").alias("batch"))
+        else:
+            newest = F.max("batch").over(W.partitionBy(*self.keys))
+            rows = rows.withColumn("newest", newest).where("batch = newest").drop("newest")
+        return rows
+
+    def read(self, before: int | None = None) -> DataFrame:
+        have = [v for v in self._versions() if before is None or v < before]
+        rows = self._merged(self._folders(have[-1]) if have else [])
+        rows = rows.where(F.col(self.value) != 0) if self.value and self.how == "latest" else rows
+        return rows.select(*(c.split()[0] for c in self.schema.split(", ")))
+
+    def publish(self, df: DataFrame, batch: int) -> bool:
+        """Adds a batch's rows; False if the batch was there."""
+        have = self._versions()
+        if batch in have:
+            return False
+        old, folder = self._folders(have[-1]) if have else [], f"rows-{uuid.uuid4().hex}"
+        df.select(*(c.split()[0] for c in self.schema.split(", ")), F.lit(batch).cast("bigint").alias("batch")).write.parquet(f"{self.path}/{folder}")
+        made, now = [folder], [*old, folder]
+        if len(now) > self.fold:
+            base = f"rows-{uuid.uuid4().hex}"
+            self._merged(now).select(*(c.split()[0] for c in self.schema.split(", ")), "batch").write.parquet(f"{self.path}/{base}")
+            made, now = [folder, base], [base]
+        done = self._markers.create_once(f"v{batch}", json.dumps(now))
+        for f in made if not done else [f for f in made if f not in now]:
+            self._folder.delete(f)
+        gone, kept = self._versions()[: -self.keep], self._versions()[-self.keep :]
+        used = {f for v in kept for f in self._folders(v)}
+        for v in gone:
+            for f in set(self._folders(v)) - used:
+                self._folder.delete(f)
+            self._markers.delete(f"v{v}")
+        return done
+
+
+class Database:
+    """Keyed tables of a database. A batch is loaded into a staging table by Spark, in parallel; one transaction then merges the staging table
+    into the target and notes the batch in a ledger. A batch that is replayed, or that died between the two steps, has its rows once.
+
+    how: "add" sums values of equal keys, "replace" lets new values stand, "groups" deletes all rows of a group that the batch has before
+    it inserts, "absent" inserts what is not there; a value of 0 under "replace" takes the row away."""
+
+    def __init__(self, spark: SparkSession, url: str, driver: str | None = None, **options: str):
+        self.spark, self.url, self.options = spark, url, {k: v for k, v in options.items() if v is not None}
+        if driver:
+            self.options["driver"] = driver
+        self._mark = "`" if url.startswith("jdbc:mysql") else '"'
+
+    def _q(self, name: str) -> str:
+        return f"{self._mark}{name}{self._mark}"
+
+    def _connection(self):
+        jvm = self.spark._jvm
+        if "driver" in self.options:
+            jvm.java.lang.Class.forName(self.options["driver"]).newInstance()
+        user = self.options.get("user")
+        return jvm.java.sql.DriverManager.getConnection(self.url, user, self.options.get("password")) if user else jvm.java.sql.DriverManager.getConnection(self.url)
+
+    def execute(self, *statements: str) -> list[int]:
+        """Runs statements in one transaction; the rows that each changed."""
+        connection = self._connection()
+        try:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            try:
+                out = [statement.executeUpdate(s) for s in statements]
+                connection.commit()
+                return out
+            except Exception:
+                connection.rollback()
+                raise
+            finally:
+                statement.close()
+        finally:
+            connection.close()
+
+    def _exists(self, table: str) -> bool:
+        connection = self._connection()
+        try:
+            names = [n for n in (table, table.upper(), table.lower()) for r in [connection.getMetaData().getTables(None, None, n, None)] if r.next()]
+            return bool(names)
+        finally:
+            connection.close()
+
+    def ensure(self, table: str, columns: dict[str, str], keys: list[str] | None = None) -> None:
+        """Makes the table, its staging table and the ledger where they are missing; columns with the database's types."""
+        body = ", ".join(f"{self._q(c)} {t}{' NOT NULL' if c in (keys or ()) else ''}" for c, t in columns.items())
+        key = f", PRIMARY KEY ({', '.join(map(self._q, keys))})" if keys else ""
+        for name, text in ((table, body + key), (f"{table}_stage", body), ("batch_ledger", f"{self._q('stream')} VARCHAR(128) NOT NULL, {self._q('batch')} BIGINT NOT NULL, PRIMARY KEY ({self._q('stream')}, {self._q('batch')})")):
+            if not self._exists(name):
+                self.execute(f"CREATE TABLE {name} ({text})")
+
+    def committed(self, stream: str, batch: int) -> bool:
+        connection = self._connection()
+        try:
+            found = connection.createStatement().executeQuery(f"SELECT COUNT(*) FROM batch_ledger WHERE {self._q('stream')} = '{stream}' AND {self._q('batch')} = {int(batch)}")
+            found.next()
+            return found.getInt(1) > 0
+        finally:
+            connection.close()
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.format("jdbc").options(url=self.url, dbtable=table, **self.options).load()
+
+    def stage(self, df: DataFrame, table: str) -> None:
+        """Loads the staging table anew, whatever an earlier try has left in it."""
+        self.execute(f"DELETE FROM {table}_stage")
+        to_jdbc(df, self.url, f"{table}_stage", **self.options)
+
+    def merge(self, table: str, columns: list[str], keys: list[str], how: str, stream: str, batch: int) -> bool:
+        """Merges the staging table and notes the batch, both or neither; False if the ledger has the batch."""
+        if self.committed(stream, batch):
+            return False
+        q, rest = self._q, [c for c in columns if c not in keys]
+        names, stage = ", ".join(map(q, columns)), f"{table}_stage"
+        same = " AND ".join(f"t.{q(k)} = s.{q(k)}" for k in keys)
+        if how == "groups":
+            body = [f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {stage} s WHERE " + " AND ".join(f"{table}.{q(k)} = s.{q(k)}" for k in keys) + ")", f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}"]
+        elif self._mark == "`":  # this database has another form of MERGE
+            change = ", ".join(f"{q(c)} = {q(c) + ' + ' if how == 'add' else ''}VALUES({q(c)})" for c in rest) if how != "absent" else f"{q(keys[0])} = {q(keys[0])}"
+            body = [f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage} ON DUPLICATE KEY UPDATE {change}"]
+        else:
+            change = ", ".join(f"t.{q(c)} = {f't.{q(c)} + ' if how == 'add' else ''}s.{q(c)}" for c in rest)
+            matched = f"WHEN MATCHED THEN UPDATE SET {change} " if how != "absent" else ""
+            body = [f"MERGE INTO {table} t USING {stage} s ON {same} {matched}WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join(f's.{q(c)}' for c in columns)})"]
+        if how == "replace" and rest:
+            body.append(f"DELETE FROM {table} WHERE {q(rest[-1])} = 0")
+        self.execute(f"INSERT INTO batch_ledger ({q('stream')}, {q('batch')}) VALUES ('{stream}', {int(batch)})", *body)
+        return True
+
+    def apply(self, df: DataFrame, table: str, keys: list[str], how: str, stream: str, batch: int) -> bool:
+        """One batch into one table; df's rows have distinct keys (groups: distinct rows)."""
+        if self.committed(stream, batch):
+            return False
+        self.stage(df, table)
+        return self.merge(table, df.columns, keys, how, stream, batch)
