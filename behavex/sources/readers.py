@@ -91,7 +91,7 @@ def ad_log_lines(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:
 def kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """The log lines of a Kafka topic; needs Spark's Kafka package."""
     source = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic}).load()
-    return source.select(F.col("value").cast("string").alias("value"))
+    return source.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived"))
 
 
 # --- the behaviour model over the test tables -------------------------------------------------

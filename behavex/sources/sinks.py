@@ -18,6 +18,33 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+class AuditError(ValueError):
+    """Rows that must not be published."""
+
+
+def audited(df: DataFrame, checks: dict[str, str]) -> None:
+    """Raises if rows break a rule; checks are aggregates in SQL that have to be true, by the rule's name. One pass."""
+    if checks:
+        found = df.agg(*(F.coalesce(F.expr(rule), F.lit(False)).alias(name) for name, rule in checks.items())).first().asDict()
+        if broken := sorted(n for n, ok in found.items() if not ok):
+            raise AuditError(f"not published, broken rules: {', '.join(broken)}")
+
+
+def publish_task(df: DataFrame, path: str, task_id: int, checks: dict[str, str] | None = None) -> None:
+    """A task's rows as its part of a Parquet table: written aside, audited as written, then put in the place of
+    what an earlier run of the task has left. Readers of the folder see whole runs only, and a run that fails leaves the rows that were there."""
+    spark = df.sparkSession
+    aside, name = f"_run-{uuid.uuid4().hex}", f"task_id={int(task_id)}"
+    folder = Folder(spark, path)
+    try:
+        df.drop("task_id").write.parquet(f"{path}/{aside}")
+        audited(spark.read.schema(df.drop("task_id").schema).parquet(f"{path}/{aside}"), checks or {})
+        folder.delete(name)
+        folder.move(aside, name)
+    finally:
+        folder.delete(aside)
+
+
 def to_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 1000, **options: str) -> None:
     """One transaction for each partition, in batches."""
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch, **options).mode(mode).save()
@@ -268,6 +295,16 @@ class Database:
         self.execute(f"INSERT INTO batch_ledger ({q('stream')}, {q('batch')}) VALUES ('{stream}', {int(batch)})", *body)
         return True
 
+    def publish_task(self, df: DataFrame, table: str, task_id: int, checks: dict[str, str] | None = None, text: str = "VARCHAR(4000)") -> None:
+        """A task's rows as its part of a table: loaded into a staging table, audited there, and put in the place of what an earlier
+        run of the task has left, in one transaction."""
+        types = {"string": text, "int": "INT", "bigint": "BIGINT", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN"}
+        self.ensure(table, {f.name: types[f.dataType.simpleString()] for f in df.schema})
+        self.stage(df, table)
+        audited(self.read(f"{table}_stage"), checks or {})
+        names = ", ".join(map(self._q, df.columns))
+        self.execute(f"DELETE FROM {table} WHERE {self._q('task_id')} = {int(task_id)}", f"INSERT INTO {table} ({names}) SELECT {names} FROM {table}_stage")
+
     def apply(self, df: DataFrame, table: str, keys: list[str], how: str, stream: str, batch: int) -> bool:
         """One batch into one table; df's rows have distinct keys (groups: distinct rows)."""
         if self.committed(stream, batch):
