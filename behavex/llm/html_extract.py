@@ -191,7 +191,7 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[tuple[
             if tag in BLOCK:
                 outer.append(len(stack))
                 open_spans.append(len(spans))
-                spans.append([len(out), 0])
+                spans.append([len(out), 0, tag not in _LEAVES])
             stack.append((tag, own))
             count[tag] = count.get(tag, 0) + 1
             for f in own:
@@ -203,14 +203,23 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[tuple[
     return list(zip(_features(out, spans), (b[2] for b in out), strict=True))
 
 
+#: Characters of scripts that put no spaces between words; two count as a word.
+_UNSPACED = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\u0e00-\u0e7f]")
+
+
 def _shape(text: str, linked: float) -> tuple[str, str, list[str], int]:
     words = text.split()
-    more = ["stop"] if text[-1] in ".!?…:;\"'”»" else []
+    n = len(words) + (0 if text.isascii() else len(_UNSPACED.findall(text)) // 2)
+    more = ["stop"] if text[-1] in ".!?…:;\"'”»。！？" else []
     if "©" in text or "(c)" in text.lower():
         more.append("copyright")
     more += sorted({"w:" + w for w in (x.strip(".,:!?()").lower() for x in words[:6]) if w in CUES})
-    prose = 0 if linked > 0.6 or len(words) < 5 else len(text)
-    return f"len:{min(6, len(words).bit_length())}", "links:" + ("most" if linked > 0.6 else "some" if linked > 0.1 else "none"), more, prose
+    prose = 0 if linked > 0.6 or n < 5 else len(text)
+    return f"len:{min(6, n.bit_length())}", "links:" + ("most" if linked > 0.6 else "some" if linked > 0.1 else "none"), more, prose
+
+
+#: Elements that hold text rather than parts of a page.
+_LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dt", "dd"}
 
 
 def _features(found: list[tuple[list[str], str, str, float]], spans: list[list[int]]) -> list[list[str]]:
@@ -220,10 +229,11 @@ def _features(found: list[tuple[list[str], str, str, float]], spans: list[list[i
     total = [0]
     for *_, prose in shapes:
         total.append(total[-1] + prose)
-    core = min(((b - a, a, b) for a, b in spans if b > a and total[b] - total[a] >= 0.6 * total[-1]), default=(0, 0, len(found)))[1:]
+    core = min(((b - a, a, b) for a, b, holds in spans if holds and b > a and total[b] - total[a] >= 0.6 * total[-1]), default=(0, 0, len(found)))[1:]
     out = []
     for i, ((names, leaf, _, _), (length, links, more, _)) in enumerate(zip(found, shapes, strict=True)):
-        fs = ["bias", *names, "leaf:" + leaf, length, links, f"{length}{links}", *more, "core" if core[0] <= i < core[1] else "rim"]
+        where = "core" if core[0] <= i < core[1] else "rim"
+        fs = ["bias", *names, "leaf:" + leaf, length, links, f"{length}{links}", *more, where, f"{where}{length}{links}"]
         for side, j in (("before", i - 1), ("after", i + 1)):
             fs += [f"{side}:{x}" for x in shapes[j][:2]] if 0 <= j < len(found) else [f"{side}:none"]
         out.append(fs)
@@ -320,7 +330,9 @@ _ASIDES = {
     "comments": ["comments", "comment", "discussion", "replies", "respond", "disqus", "reply", "comment-list", "commentList", "user-comments", "reader-comments", "feedback", "notes", "responses"],
 }
 #: Names that sites give to the article or what holds it.
-_MAIN = ["content", "post", "entry", "article", "main", "story", "post-content", "entry-content", "article-body", "text", "page", "body", "hentry", "main-content", "postBody", "single-post"]
+_MAIN = ["content", "post", "entry", "article", "main", "story", "post-content", "entry-content", "article-body", "text", "page", "body", "hentry", "main-content", "postBody", "single-post", "post-body", "story-body"]
+#: Names of an article's own paragraphs where they are no p elements.
+_PARAGRAPHS = ["paragraph", "para", "text", "line", "block", "row", "p1"]
 #: How such parts begin now and then.
 _OPENERS = {"nav": ["Menu", "Home"], "aside": ["Related", "Tags", "Share", "Trending"], "footer": ["Copyright", "Privacy"], "ad": ["Advertisement", "Sponsored"], "notice": ["Cookies"], "form": ["Search", "Login", "Subscribe"], "comments": ["Comments", "Responses", "Reply"]}
 
@@ -394,12 +406,24 @@ class _Maker:
             parts.append((f"<p>{text()}</p>" if pick.random() < 0.4 else f"<div>{text()}</div>", False))
         return self.wrapped(tag, attributes, parts)
 
+    def paragraph(self, style: str, text: str) -> list[Part]:
+        """A paragraph as sites write it: in an element of its own, in one with another inside, or as bare text up to a line break."""
+        if style == "br":
+            return [(text + self.rng.choice(["<br>", "<br><br>", "<br />", "<br/><br/>\n"]), True)]
+        before, after = {"p": ("<p>", "</p>"), "div": ("<div>", "</div>"), "span": ("<div><span>", "</span></div>"), "pspan": ("<p><span>", "</span></p>")}[style]
+        if style != "p" and self.rng.random() < 0.3:
+            before = before.replace("div", f'div class="{self.rng.choice(_PARAGRAPHS)}"', 1)
+        return [(before + text + after, True)]
+
     def body(self, inside: bool) -> list[Part]:
-        """What an article holds, with other parts in between if inside."""
+        """What an article holds, with other parts in between if inside; its paragraphs are all written in one way."""
         pick = self.rng
+        style = pick.choices(["p", "div", "br", "span", "pspan"], [5, 2, 2, 1, 0.5])[0]
+        if pick.random() < 0.06:  # one text is all there is
+            return [(self.prose(2, 8), True)] if style == "br" else self.paragraph(style, self.prose(2, 8))
         parts: list[Part] = [(f"<h{n}>{self.words(2, 10)}</h{n}>", True) for n in pick.choice(["1", "1", "1", "2", ""])]
-        for _ in range(pick.choice([0, 1, 2, 4, 7, 12])):
-            x = pick.random()
+        for _ in range(pick.choice([0, 1, 2, 4, 7, 12] if style == "p" else [1, 2, 3, 5, 8])):
+            x = pick.random() if style == "p" else max(0.02, pick.random() * 1.4 - 0.1)
             if x < 0.12:
                 n = pick.choice("234")
                 parts.append((f"<h{n}>{self.words(1, 7)}</h{n}>", True))
@@ -419,15 +443,30 @@ class _Maker:
             elif x < 0.54 and inside:
                 parts += self.aside(pick.choice(["ad", "aside", "aside", "notice"]))
             else:
-                parts.append((f"<p>{self.prose(1, 8) if pick.random() < 0.85 else self.words(1, 2) + '.'}</p>", True))
-        if pick.random() < 0.25:
+                parts += self.paragraph(style, self.prose(1, 8) if pick.random() < 0.85 else self.words(1, 2) + ".")
+        if style == "br" and pick.random() < 0.6:  # the last one ends with what holds it
+            parts.append((self.prose(1, 4), True))
+        elif pick.random() < 0.25:
             parts.append((f"<p>{self.prose(1, 4)}<br>", True))
         return parts + (self.aside("comments") if inside and pick.random() < 0.25 else [])
 
     def semantic(self) -> list[Part]:
         tag = self.rng.choice(["article", "article", "article", "main", "div", "section"])
         own = f' class="{self.rng.choice(_MAIN)}"' if tag in ("div", "section") or self.rng.random() < 0.3 else ""
-        return self.around(self.wrapped(tag, own, self.body(True)), None)
+        inner = self.body(True)
+        if self.rng.random() < 0.3:  # an element more in between
+            inner = self.wrapped("div", self.rng.choice(["", f' class="{self.rng.choice(_MAIN)}"']), inner)
+        return self.around(self.wrapped(tag, own, inner), None)
+
+    def lone(self) -> list[Part]:
+        """An article with nothing around it, often of one block."""
+        rng = self.rng
+        tag = rng.choice(["article", "main", "div", "div", "section", ""])
+        inner: list[Part] = [(self.prose(1, 8), True)] if rng.random() < 0.5 else self.body(False)
+        if rng.random() < 0.3:
+            inner = self.wrapped("div", "", inner)
+        own = f' class="{rng.choice(_MAIN)}"' if tag and rng.random() < 0.6 else ""
+        return self.wrapped(tag, own, inner) if tag else inner
 
     def around(self, article: list[Part], named: bool | None) -> list[Part]:
         rng, out = self.rng, []
@@ -447,7 +486,7 @@ class _Maker:
 
     def weblog(self) -> list[Part]:
         rng = self.rng
-        post = self.wrapped("div", rng.choice([' class="post hentry"', ' class="hentry"', ' class="blog-post"', ' id="post-1" class="post"']), [(f"<h2 class=\"{rng.choice(['entry-title', 'post-title', 'title'])}\">{self.words(2, 8)}</h2>", True), *self.wrapped("div", rng.choice(["", ' class="entry"', ' class="entry-content"']), self.body(False))])
+        post = self.wrapped("div", rng.choice([' class="post hentry"', ' class="hentry"', ' class="blog-post"', ' id="post-1" class="post"']), [(f"<{(h := rng.choice(['h2', 'h2', 'h3']))} class=\"{rng.choice(['entry-title', 'post-title', 'title'])}\">{self.words(2, 8)}</{h}>", True), *self.wrapped("div", rng.choice(["", ' class="entry"', ' class="entry-content"', ' class="post-body"', ' class="post-body entry-content"']), self.body(False))])
         said = self.comments(rng.choice([' class="commentlist"', ' id="comments"', ' class="comment-list"', ' class="comments-area"']), rng.choice(["ol", "div"])) if rng.random() < 0.7 else []
         holds = self.wrapped("div", rng.choice([' id="content"', ' id="primary"', ' id="main"', ""]), post + said)
         return [*self.aside("header", True), *self.aside("nav", True), *holds, *self.aside("aside", True), *(self.aside("form", True) if rng.random() < 0.5 else []), *self.aside("footer", True)]
@@ -456,7 +495,7 @@ class _Maker:
         rng = self.rng
         text: list[Part] = [(f"<{t}>{self.words(2, 8)}</{t}><br>", True) for t in rng.choice([["h1"], ["h2"], ["b"], ["center"], []])]
         for _ in range(rng.randint(1, 7)):
-            text.append((f"<p>{self.prose(1, 7)}</p>" if rng.random() < 0.6 else f"{self.prose(1, 6)}<br>", True))
+            text += self.paragraph(rng.choice(["p", "p", "br", "br", "div"]), self.prose(1, 7))
         cell = lambda parts: self.wrapped("td", rng.choice(["", ' width="100"', ' valign="top"']), parts)
         row = lambda cells: self.wrapped("tr", "", cells)
         menu, body = cell(self.links(bare=rng.random() < 0.7)), cell(text)
@@ -466,11 +505,11 @@ class _Maker:
         return self.wrapped("table", rng.choice(["", ' border="0"']), head + rows + foot)
 
 
-def labelled_pages(count: int = 700, seed: int = 11, kinds: tuple[str, ...] = ("semantic", "semantic", "divs", "weblog", "tables")) -> list[tuple[str, list[bool]]]:
+def labelled_pages(count: int = 1500, seed: int = 11, kinds: tuple[str, ...] = ("semantic", "semantic", "divs", "weblog", "tables"), lone: float = 0.06) -> list[tuple[str, list[bool]]]:
     """(page, whether each of its blocks is content); the labels come with the parts."""
     make, out = _Maker(seed), []
     for _ in range(count):
-        body = getattr(make, make.rng.choice(kinds))()
+        body = make.lone() if make.rng.random() < lone else getattr(make, make.rng.choice(kinds))()
         head = f"<head><title>{make.words(2, 8)}</title><script>var a = '<p>';</script></head>" if make.rng.random() < 0.8 else ""
         parts = [(f"<!DOCTYPE html><html>{head}<body>", False if head else None), *body, ("</body></html>", None)]
         page, labels = "".join(p for p, _ in parts), [y for p, y in parts if y is not None]

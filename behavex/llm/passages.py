@@ -17,7 +17,7 @@ more pass over the texts, for their shingles. Documents are told apart by row, s
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +86,10 @@ def paragraphs(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarra
         size = np.diff(np.r_[start, n])
         keep = size >= LEAST_WORDS
         start, size = start[keep], size[keep]
+        long = np.diff(at)
+        short = np.flatnonzero((long >= LEAST_WORDS) & (long < 2 * LEAST_RUN))  # a short text is a paragraph as a whole too
+        short = short[~np.isin(at[:-1][short] * (2 * LEAST_RUN) + long[short], start[size < 2 * LEAST_RUN] * (2 * LEAST_RUN) + size[size < 2 * LEAST_RUN])]
+        start, size = np.r_[start, at[:-1][short]], np.r_[size, long[short]]
         if not len(start):
             return none, none, none, none.view(np.uint64), none.view(np.uint64), none
         local = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -118,7 +122,9 @@ def _occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, at = hashed_words(held)
             doc, start, size, whole, sh, cuts = paragraphs(words, at)
             if len(whole):
-                keys = [pa.array(k.view(np.int64)) for k in band_keys(sh, cuts)]
+                back = np.flatnonzero(np.diff(start) <= 0)  # short texts as a whole come last; they meet equal ones only
+                without = np.arange(len(start)) > (back[0] if len(back) else len(start))
+                keys = [pa.array(k.view(np.int64), mask=without) for k in band_keys(sh, cuts)]
                 own = [rb.column(c).take(pa.array(first + doc)) for c in _OWN]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at)[doc], type=pa.int32()), pa.array(start - at[doc], type=pa.int32()), pa.array(size, type=pa.int32()), pa.array(whole.view(np.int64)), *keys], names=[*_OWN, "total", "start", "n_words", "id", *_KEYS])
 
@@ -208,7 +214,7 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100, least_run:
 
     Of a text, only runs of adjoining repeated paragraphs of least_run words or more are given, runs that are the whole text, and paragraphs of shorter
     runs whose passage has so many words with those before and after it, so that a short common line at a text's edge is
-    none; least_run=1 gives every repeated paragraph. With across=True, repeats within one document alone are left out.
+    none. A text of LEAST_WORDS to 2 * LEAST_RUN - 1 words is a paragraph as a whole as well, so that equal short texts are given; least_run=1 gives every repeated paragraph. With across=True, repeats within one document alone are left out.
     The cluster's first occurrence by (doc_id, start, row) is kept, the others are removed. Null ids come
     last; texts of fewer than LEAST_WORDS words, empty and null ones have no paragraphs. Each row is a document, whatever its id: rows that
     repeat doc_id and text are told apart by copy (from 0), others by (r1, r2), their row_key. Other columns are ignored."""
@@ -239,15 +245,20 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100, least_run:
             good = good.unionByName(_within_longer(texts, out, least_run, across))
         again = cut(texts.groupBy("r1", "r2").agg(F.count("*").alias("m")).where("m > 1").select("r1", "r2"), "again")
         copies = semi(good.select("r1", "r2", "row").distinct(), again, ["r1", "r2"])
-        first = semi(found.select("r1", "r2", "row"), again, ["r1", "r2"]).groupBy("r1", "r2").agg(F.array_sort(F.collect_set("row")).alias("rows"))
-        copies = copies.join(first, ["r1", "r2"]).select("row", (F.array_position("rows", F.col("row")) - 1).cast("int").alias("copy"))
+        # numbered within each part of the scan, from where the parts before it end, so that very many copies are spread over tasks
+        held = cut(semi(found.select("r1", "r2", "row"), again, ["r1", "r2"]).distinct().withColumn("part", F.shiftright("row", 33)), "copied")
+        before = F.sum("m").over(W.partitionBy("r1", "r2").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+        parts = held.groupBy("r1", "r2", "part").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(before, F.lit(0))).drop("m")
+        within = held.withColumn("i", F.row_number().over(W.partitionBy("r1", "r2", "part").orderBy("row")) - 1)
+        number = within.join(parts, ["r1", "r2", "part"]).select("row", (F.col("before") + F.col("i")).cast("int").alias("copy"))
+        copies = copies.select("row").join(number, "row")
         good = good.join(cut(copies, "copies"), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
         return scratch.result(good.select("doc_id", "copy", "start", "n_words", "cluster_id", "keeper_doc_id", "keeper_start", "removed", "across", "r1", "r2"), "passages")
 
 
 def _similar_paragraphs(texts: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """Verified links (u, v) of unequal paragraphs that connect what all links of colliding ones connect."""
-    banded = found.select(F.explode(F.array(*_KEYS)).alias("key"), "id")
+    banded = found.select(F.explode(F.array(*_KEYS)).alias("key"), "id").where("key is not null")
     keys = cut(banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "keys")
     met = cut(semi(banded, keys, "key").distinct(), "met")
     sets = semi(texts.select("text").mapInArrow(_sets, "id long, shingles binary"), met.select("id").distinct(), "id").dropDuplicates(["id"])
@@ -273,6 +284,17 @@ def _similar_paragraphs(texts: DataFrame, found: DataFrame, num: int, den: int)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or adjoin as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def without_passages(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """docs with text less the paragraphs that repeats (of the same docs) marks as removed, each row by its own marks. Of rows that
     repeat doc_id and text it is not said which is which copy."""
@@ -291,8 +313,8 @@ def without_passages(docs: DataFrame, repeats: DataFrame) -> DataFrame:
         for t, ms in zip(text, marks, strict=True):
             if t is not None and ms is not None and len(ms):
                 spans = [(m.start(), m.end()) for m in _WORD.finditer(t)] + [(len(t), len(t))]
-                for s, n in sorted(((m["start"], m["n_words"]) for m in ms), reverse=True):
-                    t = t[: spans[s][0]] + t[spans[min(s + n, len(spans) - 1)][0] :]
+                for a, b in reversed(_merged((m["start"], m["start"] + m["n_words"]) for m in ms)):
+                    t = t[: spans[a][0]] + t[spans[min(b, len(spans) - 1)][0] :]
             out.append(t)
         return type(text)(out)
 
