@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +118,8 @@ def _with_coordinates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(at, len(held)), rb.column("toxic").slice(at, len(held)), x], names=["doc_id", "toxic", "x"])
 
 
-def _epoch(z: bytes, n: bytes, size: int):
-    """Each shard's rows in their order, from the common state -> (shard, rows, the coordinates it touched, their state)."""
+def _epoch(state: Broadcast, size: int):
+    """Each shard's rows in their order, from the common state (z and n) -> (shard, rows, the coordinates it touched, their state)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows, last, model, touched = None, 0, None, None, None
@@ -129,17 +130,17 @@ def _epoch(z: bytes, n: bytes, size: int):
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([rows], pa.int64()), *parts], names=["shard", "rows", "at", "z", "n"])
 
         for rb in it:
-            for s, place, x, y in zip(*(rb.column(c).to_pylist() for c in ("shard", "place", "x", "toxic")), strict=True):
+            for s, place, y, x in zip(*(rb.column(c).to_pylist() for c in ("shard", "place", "toxic")), rb.column("x"), strict=True):
                 if s != shard:
                     if shard is not None:
                         yield done()
                     model, touched = Ftrl(size), np.zeros(size + 1, dtype=bool)
-                    model.z[:], model.n[:] = np.frombuffer(z, dtype=np.float32), np.frombuffer(n, dtype=np.float32)
+                    model.z[:], model.n[:] = state.value
                     touched[size] = True
                     shard, rows, last = s, 0, place
                 if place < last:
                     raise ValueError("a shard's rows are out of order")
-                at = np.frombuffer(x, dtype=np.int32)
+                at = np.frombuffer(x.as_buffer(), dtype=np.int32)
                 touched[at] = True
                 model.learn(at, int(y > 0))
                 rows, last = rows + 1, place
@@ -168,13 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED, epoch
         model = Ftrl(size)
         for _ in range(epochs):
             total, seen, shards = np.zeros((2, size + 1)), np.zeros(size + 1), {}
-            epoch = rows.select("shard", "place", "x", "toxic").mapInArrow(_epoch(model.z.tobytes(), model.n.tobytes(), size), "shard long, rows long, at binary, z binary, n binary")
+            state = docs.sparkSession.sparkContext.broadcast((model.z, model.n))  # 8 bytes a coordinate, at any size of the input
+            epoch = rows.select("shard", "place", "x", "toxic").mapInArrow(_epoch(state, size), "shard long, rows long, at binary, z binary, n binary")
             for r in epoch.toLocalIterator():
                 at = np.frombuffer(r.at, dtype=np.int32)
                 total[0, at] += np.frombuffer(r.z, dtype=np.float32)
                 total[1, at] += np.frombuffer(r.n, dtype=np.float32)
                 seen[at] += 1
                 shards[r.shard] = shards.get(r.shard, 0) + 1
+            state.destroy()
             if set(shards.values()) != {1}:
                 raise RuntimeError("a shard was read in several pieces")
             now = seen > 0

@@ -61,3 +61,25 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, n: int = 10, sprea
     salt = F.pmod(F.xxhash64(*(large.columns if spread is None else [spread])), F.lit(n)).cast("int")
     many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return large.withColumn("_salt", salt).join(many, [key, "_salt"]).drop("_salt")
+
+
+def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
+    """The keys that have at least a share of the rows, at most 1 / share of them: candidates by Spark's frequent-item sketch (one pass
+    whose state has 1 / share entries), then counted exactly."""
+    found = df.where(F.col(key).isNotNull()).stat.freqItems([key], share).select(F.explode(f"{key}_freqItems").alias(key))
+    counts = df.join(F.broadcast(found), key).groupBy(key).agg(F.count("*").alias("n"))  # 1 / share candidates at most
+    total = df.count()
+    return sorted(r[key] for r in counts.where(F.col("n") >= share * total).collect())
+
+
+def split_join(large: DataFrame, small: DataFrame, key: str, share: float = 0.01, most_rows: int = 100_000) -> DataFrame:
+    """An equality join that treats measured hot keys of the large side apart: their rows stay where they are and meet the small side's few rows
+    by broadcast (by salts if these are many), all others are joined as Spark thinks best. Without hot keys it is a plain join."""
+    hot = heavy_keys(large, key, share)
+    if not hot:
+        return large.join(small, key)
+    is_hot = F.col(key).isin(hot)
+    few = small.where(is_hot)
+    fits = few.limit(most_rows + 1).count() <= most_rows
+    hot_rows = large.where(is_hot).join(F.broadcast(few), key) if fits else salted_join(large.where(is_hot), few, key)
+    return hot_rows.unionByName(large.where(~is_hot).join(small.where(~is_hot), key))

@@ -106,7 +106,8 @@ def stratified_sample(sessions: DataFrame, size: int = 100, order: Column | None
     quota = F.least(F.floor(F.col("sessions").cast("double") / F.col("day_sessions").cast("double") * daily), F.col("sessions"))
     quotas = hours.join(F.broadcast(days)).select("date", "hour", quota.cast("bigint").alias("quota"))  # days is one row
     rank = F.row_number().over(W.partitionBy("date", "hour").orderBy(F.xxhash64("session_id", F.lit(seed)) if order is None else order, "session_id"))
-    return rows.join(quotas, ["date", "hour"]).withColumn("rank", rank).where(F.col("rank") <= F.col("quota")).select("session_id", "start_time", "search_keywords", "click_category_ids")
+    first = rows.withColumn("rank", rank).where(F.col("rank") <= size)  # no quota is larger, and so much is dropped before the shuffle
+    return first.join(quotas, ["date", "hour"]).where(F.col("rank") <= F.col("quota")).select("session_id", "start_time", "search_keywords", "click_category_ids")
 
 
 def detail(actions: DataFrame, sessions: DataFrame) -> DataFrame:

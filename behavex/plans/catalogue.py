@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from behavex.functions import columns as C
 from behavex.functions import registry
 from behavex.functions.registry import concat_distinct
-from behavex.operators import ads, categories, funnel, products, sessions
+from behavex.operators import ads, categories, funnel, maintained, products, sessions
 from behavex.params import TaskParams
-from behavex.sources import click_log, readers, sinks
+from behavex.sources import click_log, colocated, readers, sinks
 from behavex.sources.files import shared_folder
 from behavex.streaming import ad_stream
 
 TASK = '{"startdate":["2024-01-05"],"enddate":["2024-01-25"],"startage":["20"],"endage":["50"],"professional":["BUILDING,MACHINERY,AUTOMOBILE"],"keywords":["kw1,kw2,kw3,kw4,kw5"]}'
 #: Every filter at once.
-TASK_ALL = '{"startdate":["2024-01-05"],"enddate":["2024-01-25"],"startage":["18"],"endage":["60"],"professional":["BUILDING,MACHINERY,AUTOMOBILE,FURNITURE"],"city":["FRANCE,GERMANY,CHINA,PERU,KENYA,JAPAN,EGYPT,INDIA"],"sex":["male"],"keywords":["kw1,kw2,kw3,kw4,kw5,kw6,kw7"],"categoryIds":["1,2,3,5,8,13,21,34,55,89,7,17,27,37,47,57,67,77,87,97,4,14,24,44,54,64,74,84,94"]}'
+TASK_ALL = '{"startdate":["2024-01-05"],"enddate":["2024-01-25"],"startage":["18"],"endage":["60"],"professional":["BUILDING,MACHINERY,AUTOMOBILE,FURNITURE"],"city":["%s"],"sex":["male"],"keywords":["kw0,kw1,kw2,kw3,kw4,kw5,kw6,kw7"],"categoryIds":["%s"]}' % (",".join(f"NATION_{i}" for i in range(18)), ",".join(str(i) for i in range(80)))
 FLOW = [1, 2, 3, 4, 5]
 LEVELS = {"AFRICA": "A级", "AMERICA": "A级", "ASIA": "B级", "EUROPE": "C级"}
 LEAST_CLICKS = 2
@@ -224,10 +224,53 @@ def _relative_days(s: SparkSession, d: str) -> DataFrame:
 def _sql_functions(s: SparkSession, d: str) -> DataFrame:
     """The registered functions, from SQL text."""
     registry.register(s)
-    cities(s, d).createOrReplaceTempView("function_cities")
-    return s.sql("""SELECT area, group_concat_distinct(collect_set(concat_long_string(city_id + 9007199254740993, city_name, ':'))) AS city_infos, min(json_top_field(concat('{"id": ', city_id, '}'), 'id')) AS least,
+    view = f"cities_{uuid.uuid4().hex}"
+    cities(s, d).createOrReplaceTempView(view)
+    out = s.sql(f"""SELECT area, concat_collected(collect_set(concat_long_string(city_id + 9007199254740993, city_name, ':'))) AS city_infos, min(json_top_field(concat('{{"id": ', city_id, '}}'), 'id')) AS least,
         max(remove_random_prefix(salted)) AS last, bool_and(salted RLIKE '^[0-9]_') AS prefixed
-        FROM (SELECT *, random_prefix(city_name, 10) AS salted FROM function_cities) GROUP BY area""")
+        FROM (SELECT *, random_prefix(city_name, 10) AS salted FROM {view}) GROUP BY area""")
+    s.catalog.dropTempView(view)  # the plan has it
+    return out
+
+
+def _sql_aggregate(s: SparkSession, d: str) -> DataFrame:
+    """The registered aggregate over the clicks of each area, from SQL text."""
+    registry.register(s)
+    view = f"clicks_{uuid.uuid4().hex}"
+    products.with_city(products.clicks(_dated(s, d)), cities(s, d)).createOrReplaceTempView(view)
+    out = s.sql(f"SELECT area, product_id, group_concat_distinct(concat_long_string(city_id, city_name, ':')) AS city_infos FROM {view} GROUP BY area, product_id")
+    s.catalog.dropTempView(view)
+    return out
+
+
+def _colocated(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of actions that are stored by date and session."""
+    name = f"actions_{uuid.uuid4().hex}"
+    colocated.store(actions(s, d), name, f"{_scratch(s, 'actions')}", buckets=8)
+    return sessions.aggregate(sessions.in_dates(colocated.read(s, name), TaskParams.parse(TASK)), users(s, d))
+
+
+def _maintained(kind: str):
+    """Sessions kept up to date over three batches, each of which has actions of nearly every session."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        kept = maintained.MaintainedSessions(s, _scratch(s, "maintained"), unit=600)
+        for i, part in enumerate(PARTS):
+            kept.update(_dated(s, d).where(part.replace("ts", "action_time")), i)
+        return kept.sessions(users(s, d)) if kind == "sessions" else kept.histogram()
+
+    return run
+
+
+def _summary_sample(s: SparkSession, d: str) -> DataFrame:
+    """The stratified sample from summaries of two halves of the sessions."""
+    chosen, half = _chosen(s, d), F.pmod(F.xxhash64("session_id"), F.lit(2))
+    parts = [maintained.hour_summaries(chosen.where(half == i), order=F.md5("session_id")) for i in (0, 1)]
+    return maintained.summary_sample(maintained.merged_summaries(parts[0].unionByName(parts[1])))
+
+
+def _split_join(s: SparkSession, d: str) -> DataFrame:
+    return products.split_join(products.clicks(_dated(s, d)), cities(s, d), "city_id", share=0.04).groupBy("area").agg(F.count("*").alias("clicks"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
@@ -287,6 +330,12 @@ QUERIES = {
     "database_ad_user_daily": _database("ad_user_click_count"),
     "relative_days": _relative_days,
     "sql_functions": _sql_functions,
+    "sql_aggregate": _sql_aggregate,
+    "colocated_sessions": _colocated,
+    "maintained_sessions": _maintained("sessions"),
+    "maintained_histogram": _maintained("histogram"),
+    "summary_sample": _summary_sample,
+    "split_join": _split_join,
     "session_filter_all": lambda s, d: sessions.matching(_aggregate(s, d), TaskParams.parse(TASK_ALL)),
     "jdbc_roundtrip": _jdbc,
     "upsert_add": _merge("add"),
@@ -298,6 +347,8 @@ _P, _A = TaskParams.parse(TASK), TaskParams.parse(TASK_ALL)
 _DAY = "strftime(ts, '%Y-%m-%d') AS date, user_id, ad_id, count(*) AS click_count"
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
+_HIST = "count(*) AS session_count, " + ", ".join(f"count(*) FILTER ({c} {f'>= {a}' if b is None else f'BETWEEN {a} AND {b}'}) AS {p}_{n}" for p, c, bs in (("visit", "visit_length // 600", sessions.VISIT_BUCKETS), ("step", "step_length", sessions.STEP_BUCKETS)) for n, a, b in bs)
+
 #: Common table expressions by name, each with the names it stands on.
 _CTE: dict[str, tuple[list[str], str]] = {
     "uva": ([], """SELECT strftime(ts, '%Y-%m-%d') AS date, user_id, CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS session_id, k % 10 AS page_id, ts, event_id,
@@ -312,7 +363,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
     "agg": (["dated", "users"], """SELECT s.*, age, professional, city, sex FROM (SELECT session_id, min(user_id) AS user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_time, CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS BIGINT) AS visit_length, count(*) AS step_length,
         string_agg(DISTINCT search_keyword, ',' ORDER BY search_keyword) AS search_keywords, string_agg(DISTINCT CAST(click_category_id AS VARCHAR), ',' ORDER BY CAST(click_category_id AS VARCHAR)) AS click_category_ids FROM dated GROUP BY session_id) s JOIN users USING (user_id)"""),
     "chosen": (["agg"], f"SELECT * FROM agg WHERE age BETWEEN {_P.startage} AND {_P.endage} AND list_contains({_list(_P.professional)}, professional) AND coalesce(list_has_any(string_split(search_keywords, ','), {_list(_P.keywords)}), false)"),
-    "hist": (["chosen"], "SELECT count(*) AS session_count, " + ", ".join(f"count(*) FILTER ({c} {f'>= {a}' if b is None else f'BETWEEN {a} AND {b}'}) AS {p}_{n}" for p, c, bs in (("visit", "visit_length // 600", sessions.VISIT_BUCKETS), ("step", "step_length", sessions.STEP_BUCKETS)) for n, a, b in bs) + " FROM chosen"),
+    "hist": (["chosen"], f"SELECT {_HIST} FROM chosen"),
     "hours": (["chosen"], "SELECT date, hour, count(*) AS sessions, CAST(sum(count(*)) OVER (PARTITION BY date) AS BIGINT) AS day_sessions FROM (SELECT start_time[1:10] AS date, start_time[12:13] AS hour FROM chosen) GROUP BY date, hour"),
     "sample": (["chosen", "hours"], """SELECT session_id, start_time, search_keywords, click_category_ids FROM (
         SELECT c.*, least(floor(CAST(sessions AS DOUBLE) / CAST(day_sessions AS DOUBLE) * (SELECT floor(100 / greatest(count(DISTINCT date), 1)) FROM hours)), sessions) AS quota, row_number() OVER (PARTITION BY date, hour ORDER BY md5(session_id), session_id) AS r
@@ -426,6 +477,12 @@ ORACLE = {
     "database_ad_user_daily": _sql("SELECT * FROM d2", "d2"),
     "relative_days": """SELECT event_id, day, ago, ago = 1 AS yesterday FROM (SELECT event_id, CAST(ts AS DATE) AS day, CAST(date_diff('day', CAST(ts AS DATE), CAST(max(ts) OVER () AS DATE) + 1) AS INTEGER) AS ago FROM events) WHERE ago <= 7""",
     "sql_functions": _sql("""SELECT area, string_agg(DISTINCT CAST(city_id + 9007199254740993 AS VARCHAR) || ':' || city_name, ',' ORDER BY CAST(city_id + 9007199254740993 AS VARCHAR) || ':' || city_name) AS city_infos, min(CAST(city_id AS VARCHAR)) AS least, max(city_name) AS last, true AS prefixed FROM cities GROUP BY area""", "cities"),
+    "sql_aggregate": _sql("SELECT area, product_id, city_infos FROM area", "area"),
+    "colocated_sessions": _sql("SELECT * FROM agg", "agg"),
+    "maintained_sessions": _sql("SELECT * FROM agg", "agg"),
+    "maintained_histogram": _sql(f"SELECT {_HIST} FROM (SELECT count(*) AS step_length, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS visit_length FROM dated GROUP BY session_id)", "dated"),
+    "summary_sample": _sql("SELECT * FROM sample", "sample"),
+    "split_join": _sql("SELECT area, count(*) AS clicks FROM dated JOIN cities USING (city_id) WHERE click_product_id IS NOT NULL GROUP BY area", "dated", "cities"),
     "session_filter_all": _sql(f"""SELECT * FROM agg WHERE age BETWEEN {_A.startage} AND {_A.endage} AND list_contains({_list(_A.professional)}, professional) AND list_contains({_list(_A.city)}, city) AND sex = '{_A.sex}'
         AND coalesce(list_has_any(string_split(search_keywords, ','), {_list(_A.keywords)}), false) AND coalesce(list_has_any(string_split(click_category_ids, ','), {_list(_A.categoryIds)}), false)""", "agg"),
     "jdbc_roundtrip": _sql("SELECT city_id AS city_id, city_name, area FROM cities", "cities"),
