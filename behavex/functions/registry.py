@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: SQL functions, which the optimizer sees through. get_json_object keeps its built-in meaning, and json_top_field takes a bare name.
 _SQL = {
@@ -14,7 +15,7 @@ _SQL = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def group_concat_distinct(values: pd.Series) -> str:
     """Distinct values in order, joined by commas; null where there are none. An aggregate in Python gets a
     group's rows in one task; where groups are hot, concat_collected(collect_set(x)) has partial sums."""

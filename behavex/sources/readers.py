@@ -45,7 +45,7 @@ def frame(spark: SparkSession, rows: list, schema: str, view: str | None = None)
 
 
 def mock_actions(spark: SparkSession, sessions: int = 1000, users: int = 100, most: int = 40, seed: int = 1) -> DataFrame:
-    """Synthetic actions in ACTION_SCHEMA, the same for the same seed; made where they are read."""
+    """Synthetic actions in ACTION_SCHEMA, the same for the same seed; made where they are read. All clicks of a session are in one category."""
     base = spark.range(sessions).select(F.col("id").alias("s"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(most)).alias("n"))
     rows = base.select("s", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
 
@@ -59,7 +59,7 @@ def mock_actions(spark: SparkSession, sessions: int = 1000, users: int = 100, mo
     return rows.select(
         F.lit("2024-01-01").alias("date"), user.alias("user_id"), F.md5(F.concat_ws("-", F.lit(seed), "s")).alias("session_id"), pick(10, 1).alias("page_id"),
         F.concat(F.lit("2024-01-01 "), hour, F.lit(":"), minute, F.lit(":"), second).alias("action_time"), when(0, F.concat(F.lit("kw"), text(10, 2))).alias("search_keyword"),
-        when(1, pick(100, 3)).alias("click_category_id"), when(1, pick(100, 4)).alias("click_product_id"), when(2, text(100, 8)).alias("order_category_ids"), when(2, text(100, 9)).alias("order_product_ids"),
+        when(1, F.pmod(F.xxhash64("s", F.lit(seed * 31 + 3)), F.lit(100))).alias("click_category_id"), when(1, pick(100, 4)).alias("click_product_id"), when(2, text(100, 8)).alias("order_category_ids"), when(2, text(100, 9)).alias("order_product_ids"),
         when(3, text(100, 10)).alias("pay_category_ids"), when(3, text(100, 11)).alias("pay_product_ids"), pick(10, 12).alias("city_id"),
     )
 
