@@ -37,7 +37,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 class Scratch:
@@ -83,9 +85,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes what cut() wrote, once no later plan reads it."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        remove(df.sparkSession, f)
+    """Deletes what cut() or a Scratch's result() wrote, given the frame that it returned, once no later plan reads it."""
+    remove(df.sparkSession, df.stored_at)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

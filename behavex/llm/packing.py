@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from behavex.llm.common import cut, table
+from behavex.llm.common import Scratch, cut, table
 from behavex.llm.tokens import encoder, tokenizer_path
 
 END = 2
@@ -106,21 +106,22 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = END, with_
     and null ids are packed like any other; an empty table gives none. With with_ids the token
     ids come along, so that concatenating a sequence's pieces by offset gives its content."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    pieces = rows.mapInArrow(_cut(path, capacity, end, with_ids), "doc_id long, row long, piece int, start long, length long, ids_crc32 long, ids array<int>")
-    pieces = cut(pieces if with_ids else pieces.drop("ids"), "pieces")
-    bucket = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(1024)).cast("int"))
-    counts = bucket.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
-    counts = cut(counts.select("length", "bucket", "n", F.coalesce("before", F.lit(0)).alias("before")), "counts")  # at most 1024 rows a length
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    slots = spark.createDataFrame(plan(histogram, capacity), "length long, low long, ranks long, first long, offset long")
-    ranked = bucket.withColumn("r", F.row_number().over(W.partitionBy("length", "bucket").orderBy("row", "piece")) - 1)
-    ranked = ranked.join(counts.select("length", "bucket", "before"), ["length", "bucket"]).withColumn("r", F.col("r") + F.col("before"))
-    slots = F.broadcast(slots.withColumnRenamed("length", "slot_length"))
-    placed = ranked.join(slots, (F.col("length") == F.col("slot_length")) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("low") + F.col("ranks")))
-    out = placed.withColumn("sequence_id", F.col("first") + F.col("r") - F.col("low"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
+    with Scratch(spark) as scratch:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+        pieces = rows.mapInArrow(_cut(path, capacity, end, with_ids), "doc_id long, row long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+        pieces = cut(pieces if with_ids else pieces.drop("ids"), "pieces")
+        bucket = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(1024)).cast("int"))
+        counts = bucket.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
+        counts = cut(counts.select("length", "bucket", "n", F.coalesce("before", F.lit(0)).alias("before")), "counts")  # at most 1024 rows a length
+        histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+        slots = spark.createDataFrame(plan(histogram, capacity), "length long, low long, ranks long, first long, offset long")
+        ranked = bucket.withColumn("r", F.row_number().over(W.partitionBy("length", "bucket").orderBy("row", "piece")) - 1)
+        ranked = ranked.join(counts.select("length", "bucket", "before"), ["length", "bucket"]).withColumn("r", F.col("r") + F.col("before"))
+        slots = F.broadcast(slots.withColumnRenamed("length", "slot_length"))
+        placed = ranked.join(slots, (F.col("length") == F.col("slot_length")) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("low") + F.col("ranks")))
+        out = placed.withColumn("sequence_id", F.col("first") + F.col("r") - F.col("low"))
+        return scratch.result(out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])), "packed")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A store is a folder: shards/ holds immutable Parquet files, manifests/ one JSON-lines file for each
 version, which says what shards it adds and removes. Writers put new files first and then
 commit: the manifest is written under a temporary name and renamed without overwriting, so that
-of two writers of one version the later fails and may retry; readers see a whole version or none.
+of two writers of one version the later fails; readers see a whole version or none. Appends and merges
+touch shards of their own only, so that one that comes too late goes on top of the newer version: an append always, a merge while its inputs are still
+there. What a writer that died has left is named by no version, and vacuum() takes it away.
 Shards of similar size form a tier (sizes within a factor of `factor`); once a tier has `fan_in`
 shards they are merged into files of about the target size, and never above two of it again.
 """
@@ -13,10 +15,12 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from behavex.llm.common import new_path, table
 from behavex.sources.files import Folder
@@ -79,11 +83,19 @@ class ShardStore:
         plain = [f"`{c}`" for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
         by = F.pmod(F.xxhash64(*plain), F.lit(arrivals)) if plain else F.pmod(F.monotonically_increasing_id(), F.lit(arrivals))
         df.withColumn(key, by).write.partitionBy(key).parquet(f"{self.path}/{folder}")
-        version = (self.versions() or [0])[-1]
+        version = 0
         for i in range(arrivals):
-            version = self.commit(version, self._written(f"{folder}/{key}={i}", f"a{version + 1}"))
+            version = self._on_top(lambda base, i=i: self.commit(base, self._written(f"{folder}/{key}={i}", f"a{base + 1}")))
         return version
 
+    def _on_top(self, commit: Callable[[int], int]) -> int:
+        """Commits on top of the newest version, and again if another writer was faster."""
+        while True:
+            try:
+                return commit((self.versions() or [0])[-1])
+            except CommitConflict:
+                continue
+
     def tier(self, s: Shard) -> int:
         return int(math.log(max(1.0, s.bytes / 65536), self.factor))
 
@@ -98,24 +110,50 @@ class ShardStore:
     def compact(self, rounds: int = 30) -> int:
         """Merges until no tier is full. Each run is a coalesced read and write, without a shuffle; old files
         stay for readers of older versions."""
-        version = (self.versions() or [0])[-1]
         for _ in range(rounds):
-            shards = self.manifest(version)
-            todo = self.plan(shards)
+            todo = self.plan(self.manifest())
             if not todo:
                 break
             for run in todo:
-                folder = f"shards/{uuid.uuid4().hex}"
-                n = max(1, round(sum(s.bytes for s in run) / self.target))
-                self.spark.read.parquet(*(s.path for s in run)).coalesce(n).write.parquet(f"{self.path}/{folder}")
-                version = self.commit(version, self._written(folder, f"m{version + 1}"), run)
-        return version
-
-    def read(self, version: int | None = None) -> DataFrame:
+                self.merge(run)
+        return (self.versions() or [0])[-1]
+
+    def merge(self, run: list[Shard]) -> bool:
+        """Puts one run's merged shards in the place of the run, on top of whatever was appended meanwhile; False, and nothing is left
+        behind, if another writer has merged one of its shards."""
+        folder, paths = f"shards/{uuid.uuid4().hex}", {s.path for s in run}
+        n = max(1, round(sum(s.bytes for s in run) / self.target))
+        self.spark.read.parquet(*(s.path for s in run)).coalesce(n).write.parquet(f"{self.path}/{folder}")
+
+        def commit(base: int) -> int:
+            if not paths <= {s.path for s in self.manifest(base)}:
+                return 0
+            return self.commit(base, self._written(folder, f"m{base + 1}"), run)
+
+        if self._on_top(commit):
+            return True
+        self._store.delete(folder)
+        return False
+
+    def vacuum(self, keep: int = 1, hours: float = 24.0) -> int:
+        """Deletes shards that none of the last `keep` versions names, if they are older than so many hours (a writer may be at work on
+        younger ones), and says how many. Older versions can't be read any more."""
+        named = {s.path for v in self.versions()[-keep:] for s in self.manifest(v)}
+        gone = 0
+        for folder in self._store.names("shards"):
+            parts = [f"shards/{folder}", *(f"shards/{folder}/{n}" for n in self._store.names(f"shards/{folder}", hidden=True) if "=" in n)]
+            for path, _ in [x for p in parts for x in self._store.files(p)]:
+                if path.endswith(".parquet") and path not in named and self._store.age_hours(path) >= hours:
+                    self._store.delete_path(path)
+                    gone += 1
+        return gone
+
+    def read(self, version: int | None = None, schema: StructType | None = None) -> DataFrame:
+        """The rows of a version; a store without shards gives an empty frame of the schema."""
         paths = [s.path for s in self.manifest(version)]
-        if not paths:
+        if not paths and schema is None:
             raise ValueError("the store has no shards")
-        return self.spark.read.parquet(*paths)
+        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +163,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, new_path(spark, "store"))
     store.append(docs, arrivals=4)
     store.compact()
-    kept = store.read() if store.manifest() else docs
-    return kept.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+    return store.read(schema=docs.schema).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 OP1_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"

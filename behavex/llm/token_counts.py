@@ -7,6 +7,7 @@ changes nothing. Totals are the sum over batches.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -61,11 +62,12 @@ def deltas(changes: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
 
 class Rollup:
     """The store. A batch's delta is written to a folder of its own; the file commits/<batch>, which can be made once only,
-    names that folder. Totals are sums over the committed deltas."""
+    names that folder. Every `fold` batches the committed deltas are summed into a snapshot, which names the batches that it has; totals
+    are the newest snapshot and the deltas since."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._commits, self._store = Folder(spark, f"{self.path}/commits"), Folder(spark, self.path)
+    def __init__(self, spark: SparkSession, path: str, fold: int = 64):
+        self.spark, self.path, self.fold = spark, path.rstrip("/"), fold
+        self._commits, self._store, self._snapshots = (Folder(spark, self.path + p) for p in ("/commits", "", "/snapshots"))
 
     def batches(self) -> set[str]:
         return {unquote(n[1:]) for n in self._commits.names()}
@@ -79,13 +81,38 @@ class Rollup:
         done = self._commits.create_once("b" + quote(batch, safe=""), folder)
         if not done:
             self._store.delete(folder)
+        elif len(self._open(self._snapshot())) >= self.fold:
+            self.snapshot()
+        return done
+
+    def _snapshot(self) -> dict:
+        have = self._snapshots.names()
+        return json.loads(self._snapshots.read(have[-1])) if have else {"number": 0, "folder": None, "commits": {}}
+
+    def _open(self, last: dict) -> dict[str, str]:
+        """The commits that the snapshot does not have yet, with their deltas' folders."""
+        return {n: self._commits.read(n) for n in self._commits.names() if n not in last["commits"]}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in folders]
+        rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def snapshot(self) -> bool:
+        """Sums what is committed; False if another writer has done so. The deltas that the snapshot before this one had are deleted."""
+        last = self._snapshot()
+        new, folder = self._open(last), f"sum-{uuid.uuid4().hex}"
+        self._rows([*filter(None, [last["folder"]]), *new.values()]).coalesce(1).write.parquet(f"{self.path}/{folder}")
+        text = json.dumps({"number": last["number"] + 1, "folder": folder, "commits": {**dict.fromkeys(last["commits"], ""), **new}})
+        done = self._snapshots.create_once(f"s{last['number'] + 1:012d}", text)
+        for f in filter(None, last["commits"].values()) if done else [folder]:
+            self._store.delete(f)
         return done
 
     def totals(self) -> DataFrame:
         """Totals by key; keys whose documents have all gone have no row."""
-        paths = [f"{self.path}/{self._commits.read(n)}" for n in self._commits.names()]
-        rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        last = self._snapshot()
+        return self._rows([*filter(None, [last["folder"]]), *self._open(last).values()]).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def changes(docs: DataFrame) -> list[tuple[str, DataFrame]]:
