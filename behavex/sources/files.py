@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,11 +34,11 @@ class Folder:
     def _at(self, name: str):
         return self._of(f"{self.path}/{name}")
 
-    def names(self, under: str = "") -> list[str]:
-        """The names in the folder or one below it; those that begin with _ or . are not listed."""
+    def names(self, under: str = "", hidden: bool = False) -> list[str]:
+        """The names in the folder or one below it; those that begin with _ or . only if hidden."""
         where = self._at(under) if under else self._of(self.path)
         found = (s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else ()
-        return sorted(n for n in found if n[0] not in "_.")
+        return sorted(n for n in found if hidden or n[0] not in "_.")
 
     def files(self, under: str) -> list[tuple[str, int]]:
         """(path, bytes) of the files in a folder below this one."""
@@ -74,5 +75,11 @@ class Folder:
         if self._fs.exists(self._at(to)) or not self._fs.rename(self._at(name), self._at(to)):
             raise FileExistsError(f"{self.path}/{to}")
 
+    def age_hours(self, path: str) -> float:
+        return (time.time() - self._fs.getFileStatus(self._of(path)).getModificationTime() / 1000) / 3600
+
+    def delete_path(self, path: str) -> None:
+        self._fs.delete(self._of(path), False)
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
