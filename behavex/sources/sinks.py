@@ -37,8 +37,8 @@ def publish_task(df: DataFrame, path: str, task_id: int, checks: dict[str, str]
     aside, name = f"_run-{uuid.uuid4().hex}", f"task_id={int(task_id)}"
     folder = Folder(spark, path)
     try:
-        df.drop("task_id").write.parquet(f"{path}/{aside}")
-        audited(spark.read.schema(df.drop("task_id").schema).parquet(f"{path}/{aside}"), checks or {})
+        df.write.parquet(f"{path}/{aside}")  # with task_id, so that it keeps its place among the columns
+        audited(spark.read.schema(df.schema).parquet(f"{path}/{aside}"), checks or {})
         folder.delete(name)
         folder.move(aside, name)
     finally:

@@ -182,7 +182,7 @@ def test_registered_functions(spark):
     registry.register(spark)
     long = spark.sql("SELECT concat_long_string(a, b, ':') AS c, json_top_field('{\"x\": {\"y\": 1}}', 'x') AS j, json_top_field('{bad', 'x') AS n FROM VALUES (9007199254740993L, 'v'), (NULL, NULL) AS t(a, b)")
     assert rows(long) == [("9007199254740993:v", '{"y":1}', None), ("null:null", '{"y":1}', None)]
-    one = spark.sql("SELECT random_prefix('a_b', 5) AS p, remove_random_prefix('3_4_x') AS r, group_concat_distinct(array('b', 'a', 'b', NULL)) AS g, group_concat_distinct(array()) AS e").first()
+    one = spark.sql("SELECT random_prefix('a_b', 5) AS p, remove_random_prefix('3_4_x') AS r, concat_collected(array('b', 'a', 'b', NULL)) AS g, concat_collected(array()) AS e").first()
     assert one.p[0] in "01234" and one.p[1:] == "_a_b" and (one.r, one.g, one.e) == ("4_x", "a,b", None)
 
 
