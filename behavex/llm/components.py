@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from behavex.llm.common import cut, discard, lookup_counted
@@ -12,6 +12,8 @@ from behavex.llm.common import cut, discard, lookup_counted
 
 #: A step's minima are broadcast for so many links at most; beyond, each is repeated for so many salts.
 FEW, SALTS = 500_000, 16
+#: A member of a key knows so many of its keys before that one.
+BEFORE = 8
 
 
 def _star(edges: DataFrame, large: bool, links: int) -> DataFrame:
@@ -56,6 +58,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def across(labelled: DataFrame, heads: DataFrame, rows: DataFrame | None, near: Callable[[str, str], Column] | None) -> DataFrame:
+    """(x, y) pairs of different components c that share a key of labelled(key, doc, c), but for the heads(key, heads) of a key, whom
+    all its members have met. Two that share many keys meet in the first of them, and again only in one before which the last
+    BEFORE keys of either have none in common."""
+    open_ = labelled.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("m")).where("a <> b and m > 2").select("key")
+    members = labelled.join(open_.join(heads.select("key", "heads"), "key"), "key").where("not array_contains(heads, doc)").drop("heads")
+    members = members.withColumn("before", F.collect_list("key").over(Window.partitionBy("doc").orderBy("key").rowsBetween(-BEFORE, -1)))
+    members = members.join(rows, "doc") if rows is not None else members
+    a, b = members.alias("a"), members.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") > F.col("b.doc")) & (F.col("a.c") != F.col("b.c"))
+    on = (on & near("a", "b") if near else on) & ~F.arrays_overlap("a.before", "b.before")
+    return a.join(b, on).select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y"))
+
+
 def connect(kept: DataFrame, verify: Callable[[DataFrame], DataFrame], rows: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Links among candidates: kept(key, doc, salt) -> verified (u, v) that connect all that the keys' pairs connect.
 
@@ -77,12 +93,7 @@ def connect(kept: DataFrame, verify: Callable[[DataFrame], DataFrame], rows: Dat
     part = components(linked.select(F.col("x").alias("u"), F.col("y").alias("v")))
     labelled = kept.select("key", "doc").join(part.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
     labelled = cut(labelled.select("key", "doc", "c"), "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("m")).where("a <> b and m > 2").select("key")
-    members = labelled.join(open_, "key")
-    members = members.join(rows, "doc") if rows is not None else members
-    a, b = members.alias("a"), members.alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") > F.col("b.doc")) & (F.col("a.c") != F.col("b.c"))
-    rest = a.join(b, on & near("a", "b") if near else on).select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y"))
+    rest = across(labelled, heads, rows, near)
     rest = cut(rest.distinct().join(first, ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():
         linked = linked.unionByName(cut(verify(rest), "more"))

@@ -11,11 +11,12 @@ enter two). What meets is verified exactly.
 Each set is a node, whatever ids its texts have. A node's id is a 64-bit hash of its set; that no two
 sets share one is checked, and the ids are drawn anew if they do. Texts are hashed once.
 
-Skew. Texts with equal sets are one node. A band value shared by more than HOT texts (a common
-passage) is dropped for every text whose other bands still outnumber the possible differences:
-the pigeonhole argument holds without it. The rest, such as members of a large group of near
-copies, meet a few salted leaders first; only texts that are still in different components of
-the same band value are compared with one another, after a Hamming test inside the join.
+Skew. Texts with equal sets are one node. Each text leaves out its commonest band values (those of
+common passages), as many as it has bands beyond the possible differences. Order all values by how
+many texts have them: of two texts that link, each would have to leave out one value more than it may
+before it left out the rarest that they share, so they still meet there. Members of a value, such as a
+large group of near copies, meet a few salted leaders first; only texts that are still in different
+components of the same band value are compared with one another, after a Hamming test inside the join.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from behavex.llm.common import Scratch, blocks, cut, discard, free_name, hashed_words, lookup, mix, row_key, semi, shingles, table, without_rows
@@ -36,6 +37,8 @@ HOT = 64
 SALTS = 4
 SKETCH_WORDS = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: Sets of so many shingles, for which those are few bits, have so many longs more that are compared inside the join.
+FINE = [(2048, 64), (256, 32)]
 #: Sets of so many shingles also have a parity sketch of a bit or two for each shingle.
 WIDE_FROM = 512
 
@@ -138,6 +141,12 @@ def _wide(sh: np.ndarray) -> bytes | None:
     return np.packbits((np.bincount((sh >> np.uint64(10)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _fine(sh: np.ndarray) -> np.ndarray | None:
+    """A parity sketch of as many longs as FINE has for the size."""
+    bits = 64 * next((words for least, words in FINE if len(sh) >= least), 0)
+    return np.packbits((np.bincount((sh >> np.uint64(10)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).view(np.int64) if bits else None
+
+
 def _apart(a: bytes, b: bytes) -> int:
     """Hamming distance of two wide sketches, the larger folded."""
     p, q = (np.frombuffer(x, dtype=np.uint8) for x in (a, b))
@@ -148,7 +157,7 @@ def _apart(a: bytes, b: bytes) -> int:
 
 #: What is known of each row: its text's key, size, node, a second hash of the set, its keys (the lowest bit says whether the
 #: smallest partner uses the key too), how many it can miss in its two roles, and its sketches.
-_PROFILE = "doc_id long, r1 long, r2 long, n long, node long, check long, keys array<long>, spare1 long, spare2 long, " + ", ".join(f"{s} long" for s in _SKETCH) + ", wide binary"
+_PROFILE = "doc_id long, r1 long, r2 long, n long, node long, check long, keys array<long>, spare1 long, spare2 long, " + ", ".join(f"{s} long" for s in _SKETCH) + ", fine array<long>, wide binary"
 
 
 def _profiles(bands: Bands, seed: int):
@@ -172,9 +181,10 @@ def _profiles(bands: Bands, seed: int):
                 for j in (0, 1):
                     np.minimum.at(least[j], entry, spares[j])
                 head = [rb.column(c).slice(at, len(held)) for c in ("doc_id", "r1", "r2")]
+                fine = pa.array([_fine(sh) for sh in sets], type=pa.list_(pa.int64()))
                 wide = pa.array([_wide(sh) for sh in sets], type=pa.binary())
                 longs = [pa.array(x.view(np.int64)) for x in f]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(n), *longs[:2], keys, *map(pa.array, least), *longs[2:], wide], names=[c.split()[0] for c in _PROFILE.split(", ")])
+                yield pa.RecordBatch.from_arrays([*head, pa.array(n), *longs[:2], keys, *map(pa.array, least), *longs[2:], fine, wide], names=[c.split()[0] for c in _PROFILE.split(", ")])
 
     return run
 
@@ -207,10 +217,12 @@ def _verify(bands: Bands):
 
 
 def _may_link(bands: Bands, a: str, b: str) -> Column:
-    """Sizes and the Hamming distance of the parity sketches allow the similarity; it never rejects a link."""
+    """Sizes and the Hamming distance of the parity sketches (the fine ones where both have as many longs) allow the similarity; it never rejects a link."""
     apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
+    finer = F.aggregate(F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (na * bands.den >= nb * bands.num) & (nb * bands.den >= na * bands.num) & (apart * (bands.den + bands.num) <= (na + nb) * (bands.den - bands.num))
+    few = lambda apart: apart * (bands.den + bands.num) <= (na + nb) * (bands.den - bands.num)
+    return (na * bands.den >= nb * bands.num) & (nb * bands.den >= na * bands.num) & few(apart) & F.coalesce(few(finer), F.lit(True))
 
 
 def _may_link_wide(bands: Bands):
@@ -288,13 +300,12 @@ def _links(nodes: DataFrame, texts, bands: Bands) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(keys.join(shared, "key"), "met")  # (key, doc, near, n): the rows of keys that sets share
 
-    hot = met.where(F.col("n") > HOT)
-    lost = hot.groupBy("doc").agg(F.count("*").alias("lost1"), F.count_if("near").alias("lost2"))
-    # sets that must stay in their hot bands: without them fewer bands are left than may differ
-    deep = nodes.select("doc", "spare1", "spare2").join(lost, "doc").where("lost1 > spare1 or lost2 > spare2").select("doc")
-    kept = met.where(F.col("n") <= HOT).select("key", "doc", F.lit(0).alias("salt"))
-    kept = cut(kept.unionByName(hot.join(cut(deep, "deep"), "doc", "left_semi").select("key", "doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))), "kept")
-    sketch, wide = nodes.select("doc", "n", *_SKETCH), nodes.select("doc", "n", "wide")
+    # a set leaves out its commonest keys, as many as its spare bands allow in both roles
+    ranked = Window.partitionBy("doc").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = met.join(nodes.select("doc", "spare1", "spare2"), "doc").withColumns({"lost1": F.count("*").over(ranked), "lost2": F.count_if("near").over(ranked)})
+    salt = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(0)
+    kept = cut(ranks.where("lost1 > spare1 or lost2 > spare2").select("key", "doc", salt.alias("salt")), "kept")
+    sketch, wide = nodes.select("doc", "n", *_SKETCH, "fine"), nodes.select("doc", "n", "wide")
     return connect(kept, lambda pairs: verified(pairs, texts, wide, bands), sketch, lambda a, b: _may_link(bands, a, b))
 
 
