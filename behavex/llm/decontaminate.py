@@ -3,8 +3,9 @@
 The hashes of the benchmark's n-gram windows are a set that every task holds, as a table of bits of
 a bounded size. A document's words are hashed once; each of its windows is probed first by the hash of its
 two ends, and what passes by the hash of all its words. Only what passes that too (hits, and one in
-thousands of the others) leaves the row as text and is verified by an equality join with the
-benchmark's windows. So nothing but hits is shuffled, however large the benchmark.
+thousands of the others) leaves the row as text, neighbouring windows as one run. Each different run is
+verified once, by an equality join of its windows with the benchmark's, however many documents have it, and
+the documents get it back by its text. So nothing but hits is shuffled, however large the benchmark.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavex.llm.common import Scratch, cut, free_name, row_key, table, without_rows
+from behavex.llm.common import Scratch, cut, free_name, lookup, row_key, table, without_rows
 
 #: Words are runs of digits, letters and non-ASCII characters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,8 +27,10 @@ def words(text: Column) -> Column:
 
 #: The bit table has so many bits for each of its keys, and 2^MOST_BITS (16 MB) at most.
 BITS_A_KEY, MOST_BITS = 32, 27
-#: Windows are broadcast to the hits if they are no more than this.
+#: Windows are broadcast to the runs if they are no more than this, and verified runs to the documents if they are no more than a fourth.
 FEW_WINDOWS = 200_000
+#: A longer run is several of so many windows.
+RUN = 64
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
@@ -56,6 +59,21 @@ def bit_table(windows: DataFrame, bits: int) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bits"))
 
 
+def _runs(at: str, k: int) -> str:
+    """(pos, len, run) of runs of neighbouring windows of k words, given the windows' places in the words s.w; a run begins with k as text."""
+    first, last = (f"filter({at}, (p, i) -> coalesce(get({at}, i {d} 1) <> p {d} 1, true))" for d in "-+")
+    text = f"concat('{k} ', array_join(slice(s.w, a + j + 1, least({RUN}, b - a + 1 - j) + {k} - 1), ' '))"
+    return f"flatten(zip_with({first}, {last}, (a, b) -> transform(sequence(0, b - a, {RUN}), j -> named_struct('pos', a + j, 'len', {k}, 'run', {text}))))"
+
+
+def verified_runs(runs: DataFrame, windows: DataFrame) -> DataFrame:
+    """runs(len, run), each once -> (run, at, items): places in the run where a benchmark's window begins, and the items of these."""
+    w = runs.withColumn("w", F.expr("slice(split(run, ' '), 2, length(run))"))
+    each = w.withColumn("i", F.explode(F.expr("sequence(0, size(w) - len)"))).select("run", "len", "i", F.expr("array_join(slice(w, i + 1, len), ' ')").alias("window"))
+    found = each.join(windows, ["len", "window"]).groupBy("run").agg(F.collect_set("i").alias("at"), F.collect_set("items").alias("items"))
+    return found.select("run", "at", F.array_distinct(F.flatten("items")).alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_words, n_hit, items array<string>, hits array<struct<pos, len>>, r1, r2), a row for
     each row of docs, also for repeated ones and null ids; r1 and r2 are its row_key.
@@ -74,8 +92,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFra
         for k in sorted(lengths):
             has = lambda key: f"exists(array(pmod({key}, {1 << bits}L)), x -> (shiftrightunsigned(get(s.bits, cast(shiftright(x, 6) as int)), cast(x % 64 as int)) & 1L) = 1L)"
             at = f"filter(if(size(s.h) >= {k}, sequence(0, size(s.h) - {k}), cast(array() as array<int>)), i -> {has(_ends('s.h', 'i', k))} AND {has(_all('s.h', 'i', k))})"
-            each.append(f"transform({at}, i -> named_struct('pos', i, 'len', {k}, 'window', array_join(slice(s.w, i + 1, {k}), ' ')))")
-        hits = f"concat({', '.join(each)})" if each else "cast(array() as array<struct<pos:int,len:int,window:string>>)"
+            each.append(f"get(transform(array({at}), at -> {_runs('at', k)}), 0)")
+        hits = f"concat({', '.join(each)})" if each else "cast(array() as array<struct<pos:int,len:int,run:string>>)"
         # words, their hashes and the bits are bound once a row, as variables of lambdas; the optimizer puts these projections into one
         docs = docs.withColumn("w", F.array(words(F.col("text"))))
         table_of_bits = bit_table(windows, bits).scalar() if each else F.array().cast("array<bigint>")
@@ -83,10 +101,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFra
         docs = docs.withColumn("s", F.arrays_zip("s", F.array(table_of_bits).alias("bits")))
         found = F.expr(f"get(transform(s, z -> get(transform(array(named_struct('w', z.s.w, 'h', z.s.h, 'bits', z.bits)), s -> named_struct('n_words', cast(size(s.w) as bigint), 'hits', {hits})), 0)), 0)")
         rows = docs.select("doc_id", "r1", "r2", "row", found.alias("f")).select("doc_id", "r1", "r2", "row", "f.n_words", F.explode_outer("f.hits").alias("hit"))
-        rows = rows.select("doc_id", "r1", "r2", "row", "n_words", F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len"), F.col("hit.window").alias("window"))
-        joined = rows.join(F.broadcast(windows) if total <= FEW_WINDOWS else windows, ["len", "window"], "left")
-        spot = F.when(F.col("items").isNotNull(), F.struct("pos", "len"))
-        of = joined.groupBy("doc_id", "r1", "r2", "row", "n_words").agg(F.collect_set(spot).alias("hits"), F.collect_set("items").alias("items"))
+        rows = cut(rows.select("doc_id", "r1", "r2", "row", "n_words", F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len"), F.col("hit.run").alias("run")), "rows")
+        met = rows.where("run is not null")
+        verified = cut(verified_runs(met.select("len", "run").distinct(), F.broadcast(windows) if total <= FEW_WINDOWS else windows), "verified")
+        met = lookup(met, verified, "run", FEW_WINDOWS // 4).withColumn("spots", F.expr("transform(at, i -> struct(pos + i as pos, len))"))
+        kept = met.select("doc_id", "r1", "r2", "row", "n_words", "spots", "items").unionByName(rows.where("run is null").select("doc_id", "r1", "r2", "row", "n_words"), allowMissingColumns=True)
+        of = kept.groupBy("doc_id", "r1", "r2", "row", "n_words").agg(F.flatten(F.collect_list("spots")).alias("hits"), F.collect_set("items").alias("items"))
         covered = F.aggregate(
             F.array_sort("hits"),
             F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
