@@ -187,14 +187,14 @@ def semi(left: DataFrame, ids: DataFrame, on: str | list[str], most_rows: int =
     return left.join(F.broadcast(ids) if fits_broadcast(ids, most_rows) else ids, on, how)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, most_rows: int = 1_000_000, salts: int = 16) -> DataFrame:
-    """left joined to the few columns that right, whose key is unique, has for the key, null where it has none. By broadcast
+def lookup(left: DataFrame, right: DataFrame, key: str, most_rows: int = 1_000_000, salts: int = 16, how: str = "left") -> DataFrame:
+    """left joined to the few columns that right, whose key is unique, has for the key, null where it has none (how="inner": without such rows). By broadcast
     while right has a checked size; else each row of right is repeated for each salt, so that a hot key of left is spread."""
     if fits_broadcast(right, most_rows):
-        return left.join(F.broadcast(right), key, "left")
+        return left.join(F.broadcast(right), key, how)
     salt = free_name(left, "salt")
     spread = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return spread.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], "left").drop(salt)
+    return spread.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], how).drop(salt)
 
 
 def lookup_counted(left: DataFrame, right: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:

@@ -3,9 +3,10 @@
 The hashes of the benchmark's n-gram windows are a set that every task holds, as a table of bits of
 a bounded size. A document's words are hashed once; each of its windows is probed first by the hash of its
 two ends, and what passes by the hash of all its words. Only what passes that too (hits, and one in
-thousands of the others) leaves the row as text, neighbouring windows as one run. Each different run is
+thousands of the others) leaves the row as text, neighbouring windows as one run, and each different run of a
+document once, with its places. Each different run is
 verified once, by an equality join of its windows with the benchmark's, however many documents have it, and
-the documents get it back by its text. So nothing but hits is shuffled, however large the benchmark.
+the documents get those that hold a hit back by their text. So nothing but hits is shuffled, however large the benchmark.
 """
 
 from __future__ import annotations
@@ -66,6 +67,21 @@ def _runs(at: str, k: int) -> str:
     return f"flatten(zip_with({first}, {last}, (a, b) -> transform(sequence(0, b - a, {RUN}), j -> named_struct('pos', a + j, 'len', {k}, 'run', {text}))))"
 
 
+def _each_once(hits: Column) -> Column:
+    """(len, run, places) of the different runs among (pos, len, run): a passage that a text repeats is one of them, with all its places."""
+
+    def grouped(h: Column) -> Column:
+        first = F.transform(h, lambda x, i: F.when(F.coalesce(F.get(h, i - 1)["run"] != x["run"], F.lit(True)), i))
+        return F.get(F.transform(F.array(F.filter(first, lambda i: i.isNotNull())), lambda at: F.transform(at, lambda a, j: one(h, a, F.coalesce(F.get(at, j + 1), F.size(h))))), F.lit(0))
+
+    def one(h: Column, a: Column, end: Column) -> Column:
+        places = F.transform(F.slice(h, a + 1, end - a), lambda x: x["pos"])
+        return F.struct(F.get(h, a)["len"].alias("len"), F.get(h, a)["run"].alias("run"), places.alias("places"))
+
+    by_run = F.array_sort(F.transform(hits, lambda x: F.struct(x["run"].alias("run"), x["pos"].alias("pos"), x["len"].alias("len"))))
+    return F.get(F.transform(F.array(by_run), grouped), F.lit(0))
+
+
 def verified_runs(runs: DataFrame, windows: DataFrame) -> DataFrame:
     """runs(len, run), each once -> (run, at, items): places in the run where a benchmark's window begins, and the items of these."""
     w = runs.withColumn("w", F.expr("slice(split(run, ' '), 2, length(run))"))
@@ -100,12 +116,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFra
         docs = docs.withColumn("s", F.transform("w", lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))))
         docs = docs.withColumn("s", F.arrays_zip("s", F.array(table_of_bits).alias("bits")))
         found = F.expr(f"get(transform(s, z -> get(transform(array(named_struct('w', z.s.w, 'h', z.s.h, 'bits', z.bits)), s -> named_struct('n_words', cast(size(s.w) as bigint), 'hits', {hits})), 0)), 0)")
-        rows = docs.select("doc_id", "r1", "r2", "row", found.alias("f")).select("doc_id", "r1", "r2", "row", "f.n_words", F.explode_outer("f.hits").alias("hit"))
-        rows = cut(rows.select("doc_id", "r1", "r2", "row", "n_words", F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len"), F.col("hit.run").alias("run")), "rows")
+        rows = docs.select("doc_id", "r1", "r2", "row", found.alias("f")).select("doc_id", "r1", "r2", "row", "f.n_words", F.posexplode_outer(_each_once(F.col("f.hits"))).alias("i", "hit"))
+        rows = cut(rows.select("doc_id", "r1", "r2", "row", "n_words", "i", "hit.len", "hit.run", "hit.places"), "rows")
         met = rows.where("run is not null")
         verified = cut(verified_runs(met.select("len", "run").distinct(), F.broadcast(windows) if total <= FEW_WINDOWS else windows), "verified")
-        met = lookup(met, verified, "run", FEW_WINDOWS // 4).withColumn("spots", F.expr("transform(at, i -> struct(pos + i as pos, len))"))
-        kept = met.select("doc_id", "r1", "r2", "row", "n_words", "spots", "items").unionByName(rows.where("run is null").select("doc_id", "r1", "r2", "row", "n_words"), allowMissingColumns=True)
+        spots = F.expr("flatten(transform(places, p -> transform(at, i -> struct(p + i as pos, len))))")
+        met = lookup(met, verified, "run", FEW_WINDOWS // 4, how="inner").withColumn("spots", spots)
+        every = rows.where("coalesce(i, 0) = 0").select("doc_id", "r1", "r2", "row", "n_words")
+        kept = met.select("doc_id", "r1", "r2", "row", "n_words", "spots", "items").unionByName(every, allowMissingColumns=True)
         of = kept.groupBy("doc_id", "r1", "r2", "row", "n_words").agg(F.flatten(F.collect_list("spots")).alias("hits"), F.collect_set("items").alias("items"))
         covered = F.aggregate(
             F.array_sort("hits"),
